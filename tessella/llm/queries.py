@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 
 #: The vocabulary that op5 encodes with; a file that the environment provides.
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -12,6 +13,16 @@ BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(docs, labels.filter(fold("doc_id", 5) != 0))
+    return docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), toxicity(docs, model, F.col("text")).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,6 +32,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tokenize(table(spark, sf_dir, "documents"), codec, ids=False)
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.filter(fold("doc_id", 4) != 2))
+    return docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), language(docs, model, F.col("text")).alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected", "p.cross_entropy"
+    )
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -28,7 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op2_toxicity, op5_bpe, op7_langid, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
