@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import WORD, fold, table
 
 #: The vocabulary that op5 encodes with; a file that the environment provides.
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -13,6 +13,19 @@ BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+#: Domains of op8, by the number that ends a source's name, and the target weights; other nodes weigh 1.
+DOMAINS = ("web", "books", "reference")
+MIX_WEIGHTS = {("web",): 0.5, ("books",): 0.3, ("reference",): 0.2} | {
+    (d, lang): w for d in DOMAINS for lang, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))
+}
+MIX_EPOCHS, MIX_SEED = 4, 42
+
+
+def domain_of(source: str = "source"):
+    last = F.coalesce(F.regexp_extract(source, r"(\d{1,9})$", 1).try_cast("int"), F.lit(0))
+    return F.element_at(F.array(*map(F.lit, DOMAINS)), F.pmod(last, F.lit(len(DOMAINS))) + 1)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity, train
 
@@ -42,6 +55,14 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = mix(docs, domain_of(), MIX_WEIGHTS, most_epochs=MIX_EPOCHS, seed=MIX_SEED, epoch="epoch")
+    return out.select("doc_id", domain_of().alias("domain"), "lang", "source", "epoch", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -49,7 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op5_bpe, op7_langid, op10_url_filter)}
+    return {f.__name__: f for f in (op2_toxicity, op5_bpe, op7_langid, op8_mixing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
