@@ -1,13 +1,71 @@
-"""The corpus pipeline (stages are added as their operators are)."""
+"""The corpus pipeline: toxicity, language, near duplicates, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and all but
+the last return the columns of documents. Rows with nulls, empty texts and repeated rows are handled
+as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import bpe, langid, mixing, ngram_jaccard, queries, toxicity
+from tessella.llm.common import Scratch, fold, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; learns from labels outside the held-out fold."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
+    return docs.filter(toxicity.toxicity(docs, model, F.col("text")) < 0.5)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known and not rejected; lang is then the predicted language."""
+    model = langid.train(docs.filter(fold("doc_id", 4) != 2))
+    columns = docs.columns
+    named = docs.withColumn("__language", langid.language(docs, model, F.col("text"))).filter(~F.col("__language.rejected"))
+    return named.select(*(F.col("__language.lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each component, by id; one row of it. Rows without an id stay."""
+    found = ngram_jaccard.near_duplicates(docs)
+    others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    first = docs.filter(F.col("doc_id").isNotNull()).join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by target weights: a row for each epoch that has them."""
+    return mixing.mix(docs, queries.domain_of(), queries.MIX_WEIGHTS, most_epochs=queries.MIX_EPOCHS, seed=queries.MIX_SEED)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row's whole text, with the digests of ids and decoded bytes."""
+    return bpe.bpe_tokenize(docs, queries.codec())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+
+#: Trained models and hash orders decide; SQL can't express them. tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        df = stage(spark, df, sf_dir)
-    return df
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.save(docs, f"{i}-{name}")
+            if i:
+                scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
+    return docs

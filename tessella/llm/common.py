@@ -117,8 +117,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n).bit_length())
     if size not in _POWERS:
         _POWERS.clear()
-        with np.errstate(over="ignore"):
-            up, down = (np.cumprod(np.concatenate([[1], np.full(size, p, np.uint64)]).astype(np.uint64)) for p in (_P, _P_INV))
+        up, down = np.full(size + 1, _P, np.uint64), np.full(size + 1, _P_INV, np.uint64)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
         _POWERS[size] = up, down
     return _POWERS[size]
 
@@ -158,7 +159,3 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     np.cumsum(_BYTE_LOWER[raw] * up[:n], out=s[1:])
     h = mix64((s[end] - s[start]) * down[start] + (end - start).astype(np.uint64))
     return h, start, end, np.searchsorted(offs, start, side="right") - 1
-
-
-def explode_hashes(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)

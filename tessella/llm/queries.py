@@ -36,13 +36,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def codec():
     import public_tokenizers
 
-    from .bpe import BpeCodec, bpe_tokenize, read_ranks
+    from .bpe import BpeCodec, read_ranks
+
+    return BpeCodec(read_ranks(public_tokenizers.path(BPE_FILE)), public_tokenizers.PATTERN)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_tokenize
 
-    codec = BpeCodec(read_ranks(public_tokenizers.path(BPE_FILE)), public_tokenizers.PATTERN)
-    return bpe_tokenize(table(spark, sf_dir, "documents"), codec, ids=False)
+    return bpe_tokenize(table(spark, sf_dir, "documents"), codec(), ids=False)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +68,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", domain_of().alias("domain"), "lang", "source", "epoch", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -70,7 +81,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op5_bpe, op7_langid, op8_mixing, op10_url_filter)}
+    return {f.__name__: f for f in (op2_toxicity, op5_bpe, op7_langid, op8_mixing, op9_ngram_jaccard, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
