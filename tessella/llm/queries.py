@@ -56,6 +56,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tokenize(table(spark, sf_dir, "documents"), codec(), ids=False)
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language, train
 
@@ -87,7 +93,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op4_embedding_dedup, op5_bpe, op7_langid, op8_mixing, op9_ngram_jaccard, op10_url_filter)}
+    return {f.__name__: f for f in (op2_toxicity, op4_embedding_dedup, op5_bpe, op6_ann, op7_langid, op8_mixing, op9_ngram_jaccard, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
