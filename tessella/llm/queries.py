@@ -26,6 +26,14 @@ def domain_of(source: str = "source"):
     return F.element_at(F.array(*map(F.lit, DOMAINS)), F.pmod(last, F.lit(len(DOMAINS))) + 1)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gru_lm import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, fold("doc_id", 10) != 0)
+    return out.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity, train
 
@@ -99,7 +107,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_html, op4_embedding_dedup, op5_bpe, op6_ann, op7_langid, op8_mixing, op9_ngram_jaccard, op10_url_filter)}
+    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_html, op4_embedding_dedup, op5_bpe, op6_ann, op7_langid, op8_mixing, op9_ngram_jaccard, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
