@@ -1,11 +1,572 @@
-"""All registered queries of the engine with their oracle SQL."""
+"""All registered queries of the engine with their oracle SQL.
+
+A query is named by the operators that it shows. Tables play the parts of the
+pipeline's data sets: documents as corpora, conversations as chats, orders and lineitem as
+prompts and generations, events as scored items.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import verifiers as V
+from ..operators import chat, clean, order, prefs, scoring
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def add(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def big(c):
+    return c.cast("bigint")
+
+
+# --- functions -----------------------------------------------------------------
+
+
+@add("SELECT doc_id, md5(text) AS digest FROM documents")
+def n1_nfkc(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.md5(T.nfkc("text").cast("binary")).alias("digest"))
+
+
+@add(r"SELECT doc_id, md5(regexp_replace(text || chr(7) || chr(9) || chr(57344) || chr(133) || 'x', '[\x00-\x08\x0B-\x1F\x7F-\x9F\x{E000}-\x{F8FF}]', '', 'g')) AS digest FROM documents")
+def n2_remove_control_chars(spark, sf):
+    c = F.concat(F.col("text"), F.lit("\x07\t\x85x"))
+    return t(spark, sf, "documents").select("doc_id", F.md5(T.remove_control_chars(c).cast("binary")).alias("digest"))
+
+
+@add(r"""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN repeat('日本のかな', n_chars::INT) ELSE '' END AS x FROM documents),
+ c AS (SELECT doc_id, length(regexp_replace(x, '[^\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}]', '', 'g')) AS ja, length(regexp_replace(x, '[^A-Za-z]', '', 'g')) AS en FROM d)
+ SELECT doc_id, CASE WHEN ja + en = 0 THEN 'other' WHEN ja / (ja + en) >= 0.5 THEN 'ja' WHEN en / (ja + en) >= 0.5 THEN 'en' ELSE 'other' END AS language FROM c""")
+def n3_detect_language(spark, sf):
+    c = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("日本のかな"), F.col("n_chars").cast("int"))).otherwise(""))
+    return t(spark, sf, "documents").select("doc_id", T.detect_language(c).alias("language"))
+
+
+@add("SELECT item_id, (SELECT count(DISTINCT substr(text, i::INT, 5)) FROM range(1, greatest(length(text) - 4, 1) + 1) r(i)) AS n_grams FROM benchmark")
+def n4_char_ngrams(spark, sf):
+    return t(spark, sf, "benchmark").select("item_id", big(F.size(T.char_ngrams("text", 5))).alias("n_grams"))
+
+
+@add(r"SELECT doc_id, CAST(len(list_filter(string_split(text || chr(10) || '- a' || chr(10) || ' 1. b', chr(10)), lambda x: regexp_matches(x, '^(\s*[-・*]|\s*[0-9]+\.)'))) AS BIGINT) AS bullets FROM documents")
+def n6_count_bullets(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", big(T.count_bullets(F.concat("text", F.lit("\n- a\n 1. b")))).alias("bullets"))
+
+
+@add(r"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'カメラ' WHEN 1 THEN '東京都' WHEN 2 THEN 'アア' END AS noun FROM orders""")
+def n7_keyword_noun(spark, sf):
+    c = F.element_at(F.array(*map(F.lit, ("東京でカメラとカメラ", "京都と東京都と京都と東京都", "漢字とアア", "ひらがな"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return t(spark, sf, "orders").select("o_orderkey", T.keyword_noun(c).alias("noun"))
+
+
+@add("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'x' || o_orderkey WHEN 1 THEN 'y' || o_orderkey ELSE 'はい z' END AS bare FROM orders")
+def n8_strip_preamble(spark, sf):
+    k = F.col("o_orderkey").cast("string")
+    c = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("はい、承知しました。\n以下のとおり、\n回答：x"), k)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("承知いたしました！\n```json\ny"), k, F.lit("\n```\n"))).otherwise("はい z ")
+    return t(spark, sf, "orders").select("o_orderkey", T.strip_preamble(c).alias("bare"))
+
+
+@add(r"""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[。!?！？]|\n'), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '' AND NOT regexp_matches(x, '^(\s*[-・*]|\s*[0-9]+\.)'))) AS BIGINT) AS n FROM documents""")
+def n9_split_sentences(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", big(F.size(T.split_sentences("text"))).alias("n"))
+
+
+@add(r"""SELECT doc_id, regexp_matches(left(text, 15), '[：:]') AS label FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents)""")
+def n10_label_lines(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", T.is_label_line(F.element_at(F.split("text", "\n"), 1)).alias("label"))
+
+
+@add(r"""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'それは ' || o_orderkey || '。' WHEN 1 THEN o_orderkey || ' です' ELSE '' END AS segment FROM orders""")
+def n11_answer_segment(spark, sf):
+    k = F.col("o_orderkey").cast("string")
+    c = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" それは\n　"), k, F.lit("。次の文。質問：x"))).when(F.col("o_orderkey") % 3 == 1, F.concat(k, F.lit(" です\n \nQuestion: A: b。"))).otherwise(F.lit("質問: a"))
+    return t(spark, sf, "orders").select("o_orderkey", T.answer_segment(c).alias("segment"))
+
+
+@add("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' ELSE '' END AS got FROM orders")
+def n12_custom_answer(spark, sf):
+    c = F.when(F.col("o_orderkey") % 3 == 0, F.lit("yes, then unknown")).when(F.col("o_orderkey") % 3 == 1, F.lit("no\nor yes.")).otherwise(F.lit("maybe"))
+    return t(spark, sf, "orders").select("o_orderkey", T.custom_answer(c, "(?s).*(yes|no|unknown|undef)").alias("got"))
+
+
+@add("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 4 END AS INT) AS score, CASE o_orderkey % 4 WHEN 0 THEN 'r' || o_orderkey END AS reason FROM orders")
+def n13_parse_judge(spark, sf):
+    k = F.col("o_orderkey").cast("string")
+    c = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('ok {"score": 4, "reason": "r'), k, F.lit('"} end'))).when(F.col("o_orderkey") % 4 == 1, F.lit('{"score": "4", "reason": "x"}')).when(F.col("o_orderkey") % 4 == 2, F.lit('{"score": true}')).otherwise("none")
+    return t(spark, sf, "orders").select("o_orderkey", T.parse_judge_output(c).alias("j")).select("o_orderkey", "j.score", "j.reason")
+
+
+@add("SELECT doc_id, CAST((SELECT sum(('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), i::INT, 1))::INT) FROM range(1, 41) r(i)) % 5 AS INT) AS bucket FROM documents")
+def n17_split_bucket(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", T.split_bucket(F.col("doc_id").cast("string")).cast("int").alias("bucket"))
+
+
+@add("SELECT p_partkey, p_name || chr(10) || 'A: ' || p_brand || chr(10) || 'B: ' || p_type AS question FROM part")
+def n18_question(spark, sf):
+    ch = F.array(*(F.struct(F.lit(x).alias("label"), F.col(c).alias("text")) for x, c in (("A", "p_brand"), ("B", "p_type"))))
+    return t(spark, sf, "part").select("p_partkey", T.question(F.col("p_name"), ch).alias("question"))
+
+
+@add("SELECT p_partkey, p_brand AS best FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_type ELSE '' END FROM part WHERE p_size % 2 = 1")
+def n16_best_answer(spark, sf):
+    answers = F.when(F.col("p_size") % 2 == 0, F.array("p_brand"))
+    choices = F.array(F.struct(F.lit("C").alias("label"), F.col("p_type").alias("text")))
+    return t(spark, sf, "part").select("p_partkey", T.best_answer(answers, choices, F.when(F.col("p_size") % 3 == 0, "C").otherwise("D")).alias("best"))
+
+
+@add("SELECT doc_id, substr(sha256(CAST(n_chars AS VARCHAR)), 1, 16) AS h FROM documents")
+def n19_hash_prefix(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.substring(F.sha2(F.col("n_chars").cast("string"), 256), 1, 16).alias("h"))
+
+
+# --- filters -------------------------------------------------------------------
+
+
+@add("SELECT doc_id, n_chars FROM documents WHERE length(text) BETWEEN 50 AND 50000")
+def f1_length_filter(spark, sf):
+    return t(spark, sf, "documents").filter(F.length("text").between(50, 50_000)).select("doc_id", "n_chars")
+
+
+@add("""SELECT doc_id, list_sort(list_filter(['en', 'license', 'spam'], lambda g: CASE g WHEN 'en' THEN contains(text, ' the ') WHEN 'license' THEN contains(text, 'License') OR contains(text, 'licensed') ELSE contains(text, 'casino') END)) AS cells FROM documents
+ WHERE contains(text, ' the ') OR contains(text, 'License') OR contains(text, 'licensed') OR contains(text, 'casino')""")
+def f6_keyword_groups(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", T.matched_groups({"en": [" the "], "license": ["License", "licensed"], "spam": ["casino"]}, "text").alias("cells"))
+    return d.filter(F.size("cells") > 0)
+
+
+@add("SELECT doc_id FROM documents WHERE NOT (contains(text, 'http') OR contains(text, '@') OR contains(text, 'License'))")
+def f7_banned_substrings(spark, sf):
+    return t(spark, sf, "documents").filter(~T.contains_any("text", ("http", "@", "License"))).select("doc_id")
+
+
+@add("""SELECT item_id, CASE WHEN length(trim(text)) < 20 THEN 'too_short'
+  WHEN EXISTS (SELECT 1 FROM (SELECT l, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l) WHERE trim(l) <> '' GROUP BY l) WHERE n >= 3)
+    OR EXISTS (SELECT 1 FROM (SELECT substr(text, i::INT, 10) AS g, count(*) AS n FROM range(1, greatest(length(text) - 9, 0) + 1) r(i) GROUP BY g) WHERE n >= 4) THEN 'repetition' END AS reason FROM benchmark""")
+def f9_f10_f11_degenerate(spark, sf):
+    return t(spark, sf, "benchmark").select("item_id", prefs.degenerate_reason("text").alias("reason"))
+
+
+@add("SELECT doc_id, lang, source FROM documents WHERE lang = 'de' OR source = 'src1'")
+def f4_language_subset(spark, sf):
+    return t(spark, sf, "documents").filter(F.col("lang").eqNullSafe("de") | F.col("source").eqNullSafe("src1")).select("doc_id", "lang", "source")
+
+
+# --- verifiers -----------------------------------------------------------------
+
+
+def _detail(**kw):
+    kinds = dict(x.split(" ", 1) for x in V.DETAIL.split(", "))
+    return F.struct(*(kw[k].cast(v).alias(k) if k in kw else F.lit(None).cast(v).alias(k) for k, v in kinds.items()))
+
+
+@add("SELECT doc_id, n_chars BETWEEN 500 AND 3000 AS ok FROM documents")
+def v1_char_count(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", V.char_count(F.col("text"), _detail(min=F.lit(500), max=F.lit(3000)))["ok"].alias("ok"))
+
+
+@add(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^(\s*[-・*]|\s*[0-9]+\.)'))) = doc_id % 2 AS ok FROM documents")
+def v2_bullet_count(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", V.bullet_count(F.col("text"), _detail(count=F.col("doc_id") % 2))["ok"].alias("ok"))
+
+
+@add("SELECT o_orderkey, o_orderkey % 3 <> 1 AS polite, o_orderkey % 3 = 1 AS plain FROM orders")
+def v3_polite_form(spark, sf):
+    c = F.element_at(F.array(*map(F.lit, ("件名: 会議\n本日は晴れです。明日も晴れでしょう。", "本日は晴れだ。明日は雨である。", "- 項目\nよろしくお願いします！"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return t(spark, sf, "orders").select("o_orderkey", *(V.polite_form(c, _detail(style=F.lit(s)))["ok"].alias(s) for s in ("polite", "plain")))
+
+
+@add("SELECT doc_id, contains(text, 'the') AND NOT contains(text, 'License') AS ok FROM documents")
+def v4_keyword(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", V.keyword(F.col("text"), _detail(include=F.array(F.lit("the")), exclude=F.array(F.lit("License"))))["ok"].alias("ok"))
+
+
+@add("SELECT event_id, event_id % 3 = 0 AS ok, event_id % 3 = 0 AND event_id % 2 = 0 AS items FROM events")
+def v5_v11_format_json(spark, sf):
+    c = F.when(F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 2 == 0, F.lit('```json\n{"x": [{"k": 1}, {"k": 2}]}\n```')).otherwise('[{"k": 1}]')).when(F.col("event_id") % 3 == 1, F.lit('{"a": 1} x')).otherwise("{'a': 1}")
+    return t(spark, sf, "events").select("event_id", V.format_json(c, _detail())["ok"].alias("ok"), V.format_json_detail(c, _detail(count=F.lit(2), keys=F.array(F.lit("k"))))["ok"].alias("items"))
+
+
+@add("SELECT event_id, event_id % 2 = 0 AS ok FROM events")
+def v6_markdown_table(spark, sf):
+    c = F.when(F.col("event_id") % 2 == 0, F.lit("x\n| a | b |\n| --- | :-: |\n| 1 | 2 |\n| 3 | 4 |\n\nend")).otherwise("| a |\n| --- |\n| 1 |\n")
+    return t(spark, sf, "events").select("event_id", V.format_markdown_table(c, _detail(min_rows=F.lit(2)))["ok"].alias("ok"))
+
+
+@add(r"SELECT l_orderkey, l_linenumber, regexp_matches(CAST(l_linenumber AS VARCHAR) || CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE 'kg' END, '^[+-]?[0-9]+(\.[0-9]+)?$') AS ok FROM lineitem")
+def v7_numeric_only(spark, sf):
+    c = F.concat(F.lit(" "), F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "").otherwise("kg"), F.lit("\n"))
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", V.numeric_only(c, _detail())["ok"].alias("ok"))
+
+
+@add(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text || chr(10) || chr(10) || 'end', '\n\s*\n+'), lambda x: trim(x) <> '')) = 2 AS two, starts_with(text, 'The') AS the, n_chars BETWEEN 20 AND 300 AS short FROM documents")
+def v8_v9_v10_shape(spark, sf):
+    c = F.col("text")
+    return t(spark, sf, "documents").select("doc_id", V.paragraph_count(F.concat(c, F.lit("\n\nend")), _detail(count=F.lit(2)))["ok"].alias("two"), V.start_word(c, _detail(start=F.lit("The")))["ok"].alias("the"), V.no_constraint(c, _detail())["ok"].alias("short"))
+
+
+# --- prompts, generations, verdicts, judgements: orders and lineitem -------------
+
+_PROMPTS_SQL = """prompts AS (SELECT 'p' || o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'char_count' WHEN 1 THEN 'polite_form' WHEN 2 THEN 'no_constraint' ELSE 'keyword' END AS category,
+  CAST(10 + o_orderkey % 7 AS INT) AS mx, CAST(4 AS INT) AS mn, 'topic ' || (o_custkey % 50) AS topic, o_orderkey AS pos FROM orders)"""
+_GEN_SQL = """gens AS (SELECT 'p' || l_orderkey AS prompt_id, l_linenumber - 1 AS k, repeat('x', CAST(l_quantity AS INT)) AS response, l_orderkey * 10 + l_linenumber AS pos,
+  CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_returnflag <> 'R' END AS rule_pass, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_quantity < 3 END AS degenerate, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(l_partkey % 5 + 1 AS INT) END AS score FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag) = 1))"""
+
+
+def _prompts(spark, sf):
+    k = F.col("o_orderkey")
+    cat = F.element_at(F.array(*map(F.lit, ("char_count", "polite_form", "no_constraint", "keyword"))), (k % 4 + 1).cast("int"))
+    p = t(spark, sf, "orders").select(F.concat(F.lit("p"), k.cast("string")).alias("id"), cat.alias("category"), (10 + k % 7).cast("int").alias("mx"), F.lit(4).alias("mn"), F.concat(F.lit("topic "), (F.col("o_custkey") % 50).cast("string")).alias("topic"), k.alias("pos"))
+    return p.withColumn("constraint_detail", _detail(min=F.col("mn"), max=F.col("mx"))).withColumn("prompt", F.concat("topic", F.lit("?")))
+
+
+def _generations(spark, sf):
+    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    rows = t(spark, sf, "lineitem").withColumn("r", F.row_number().over(first)).filter("r = 1")
+    return rows.select(F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("prompt_id"), (F.col("l_linenumber") - 1).alias("k"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("response"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), "l_linenumber", "l_returnflag", "l_quantity", "l_partkey")
+
+
+def _merged(spark, sf):
+    g = _generations(spark, sf)
+    v = g.filter(F.col("l_linenumber") % 5 != 0).select("prompt_id", "k", (F.col("l_returnflag") != "R").alias("rule_pass"), (F.col("l_quantity") < 3).alias("degenerate"), F.lit("r").alias("rule_reason"), F.lit(1).alias("pos"))
+    v = v.unionByName(v.withColumns({"rule_pass": F.lit(True), "pos": F.lit(0)}))  # an earlier row, which the last replaces
+    j = g.filter(F.col("l_partkey") % 3 != 0).select("prompt_id", "k", (F.col("l_partkey") % 5 + 1).cast("int").alias("score"), F.lit(0).alias("pos"))
+    return prefs.merge(g.select("prompt_id", "k", "response", "pos", F.lit("").alias("prompt")), v, j)
+
+
+@add(f"WITH {_GEN_SQL} SELECT prompt_id, k, coalesce(rule_pass, false) AS rule_pass, coalesce(degenerate, false) AS degenerate, score FROM gens")
+def j2_d7_merge(spark, sf):
+    return _merged(spark, sf).select("prompt_id", "k", "rule_pass", "degenerate", "score")
+
+
+@add(f"""WITH {_PROMPTS_SQL}, {_GEN_SQL}, s AS (SELECT g.*, p.category, p.mx, p.mn, coalesce(rule_pass, false) AS rp, coalesce(degenerate, false) AS dg FROM gens g JOIN prompts p ON g.prompt_id = p.id),
+ c AS (SELECT prompt_id, k, score, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, length(response), pos) AS r FROM s WHERE rp AND NOT dg AND score IS NOT NULL AND (category <> 'polite_form' OR score >= 3)),
+ x AS (SELECT prompt_id, k, score, row_number() OVER (PARTITION BY prompt_id ORDER BY score IS NULL, coalesce(-score, 0), CASE WHEN category = 'char_count' THEN greatest(length(response) - mx, 0) + greatest(mn - length(response), 0) ELSE 0 END, pos) AS r FROM s WHERE NOT rp AND NOT dg),
+ n AS (SELECT prompt_id, count(*) AS n FROM gens GROUP BY 1)
+ SELECT p.id AS prompt_id, CASE WHEN n.n IS NULL THEN 'no_generations' WHEN c.k IS NULL THEN 'no_chosen_candidate' WHEN x.k IS NULL THEN 'no_rejected_candidate' ELSE 'ok' END AS status, c.k AS chosen_k, c.score AS chosen_score, x.k AS rejected_k, x.score AS rejected_score
+ FROM prompts p LEFT JOIN n ON n.prompt_id = p.id LEFT JOIN c ON c.prompt_id = p.id AND c.r = 1 LEFT JOIN x ON x.prompt_id = p.id AND x.r = 1""")
+def w1_w2_w3_w4_o8_pairs(spark, sf):
+    p = prefs.build_pairs(_merged(spark, sf), _prompts(spark, sf))
+    return p.select("prompt_id", "status", "meta.chosen_k", "meta.chosen_score", "meta.rejected_k", "meta.rejected_score")
+
+
+@add(f"""WITH {_PROMPTS_SQL}, {_GEN_SQL}, m AS (SELECT prompt_id FROM gens WHERE rule_pass IS NOT NULL GROUP BY 1 HAVING bool_or(rule_pass) AND bool_or(NOT rule_pass))
+ SELECT g.prompt_id, g.k, p.category FROM gens g JOIN prompts p ON p.id = g.prompt_id WHERE trim(response) <> '' AND (p.category IN ('polite_form', 'no_constraint') OR g.prompt_id IN (SELECT prompt_id FROM m))""")
+def j3_j4_f13_a17_judge_targets(spark, sf):
+    g = _generations(spark, sf)
+    v = g.filter(F.col("l_linenumber") % 5 != 0).select("prompt_id", "k", (F.col("l_returnflag") != "R").alias("rule_pass"))
+    return prefs.judge_targets(g, v, _prompts(spark, sf)).select("prompt_id", "k", "category")
+
+
+@add(f"WITH {_PROMPTS_SQL}, {_GEN_SQL} SELECT id AS prompt_id, CAST(k.k AS INT) AS k FROM prompts, range(0, 6) k(k) WHERE NOT EXISTS (SELECT 1 FROM gens g WHERE g.prompt_id = id AND g.k = k.k)")
+def j5_j13_plan(spark, sf):
+    return prefs.plan(_prompts(spark, sf), 6, _generations(spark, sf)).select("prompt_id", "k")
+
+
+@add(f"""WITH {_PROMPTS_SQL}, {_GEN_SQL} SELECT prompt_id, k, CASE category WHEN 'char_count' THEN length(response) BETWEEN mn AND mx ELSE length(response) BETWEEN 20 AND 300 END AS rule_pass,
+  CASE WHEN length(response) < 20 THEN 'too_short' WHEN length(response) >= 13 THEN 'repetition' ELSE '' END AS degenerate_reason FROM gens JOIN prompts ON id = prompt_id WHERE category IN ('char_count', 'no_constraint')""")
+def j1_v14_v15_v16_verdicts(spark, sf):
+    p = _prompts(spark, sf).filter(F.col("category").isin("char_count", "no_constraint"))
+    g = _generations(spark, sf).join(p.select(F.col("id").alias("prompt_id")), "prompt_id", "left_semi")
+    return prefs.verify(g, p).select("prompt_id", "k", "rule_pass", "degenerate_reason")
+
+
+@add(f"WITH {_GEN_SQL} SELECT count(*) AS total, count(*) FILTER (rule_pass) AS passed, count(*) FILTER (degenerate) AS degenerate, avg(score) AS mean_score FROM gens")
+def a18_a19_verdict_totals(spark, sf):
+    m = _merged(spark, sf)
+    return m.agg(F.count(F.lit(1)).alias("total"), F.count_if("rule_pass").alias("passed"), F.count_if("degenerate").alias("degenerate"), F.avg("score").alias("mean_score"))
+
+
+@add("""SELECT DISTINCT topic FROM (SELECT n_name AS topic FROM nation) WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT upper(p_name) || ' FRANCE AND PERU' AS q FROM part) WHERE contains(q, topic))""")
+def j10_topic_in_prompts(spark, sf):
+    topics = t(spark, sf, "nation").select(F.col("n_name").alias("topic"))
+    return prefs.topics_in(topics, t(spark, sf, "part").select(F.concat(F.upper("p_name"), F.lit(" FRANCE AND PERU")).alias("prompt")))
+
+
+@add("SELECT o_custkey % 50 AS topic, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, min(o_orderkey) LIMIT 5")
+def a11_w6_topics(spark, sf):
+    return prefs.topic_stats(t(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("topic"), F.col("o_orderkey").alias("pos")))[1].select("topic", "n")
+
+
+@add("""WITH RECURSIVE d AS (SELECT l_suppkey % 7 AS p, l_quantity % 5 AS r, l_linenumber % 3 AS c, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem WHERE l_orderkey < 200),
+ s AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS a, CAST([] AS VARCHAR[]) AS b, CAST(NULL AS VARCHAR) AS why UNION ALL
+  SELECT d.pos, CASE WHEN w.why IS NULL THEN list_append(s.a, d.r || '|' || d.p) ELSE s.a END, CASE WHEN w.why IS NULL THEN list_append(s.b, d.r || '|' || d.c) ELSE s.b END, w.why
+  FROM s JOIN d ON d.pos = s.pos + 1, LATERAL (SELECT CASE WHEN list_contains(s.a, d.r || '|' || d.p) THEN 'prompt_response_dup' WHEN list_contains(s.b, d.r || '|' || d.c) THEN 'category_detail_dup' END AS why) w)
+ SELECT pos, why AS reject FROM s WHERE pos > 0""")
+def d4_d5_d6_sequential_duplicates(spark, sf):
+    d = order.with_position(t(spark, sf, "lineitem").filter("l_orderkey < 200"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    words = F.concat(F.lit("a long enough response number "), (F.col("l_quantity") % 5).cast("string"))
+    d = d.select((F.col("pos") + 1).alias("pos"), (F.col("l_suppkey") % 7).cast("string").alias("prompt"), words.alias("response"), F.lit("keyword").alias("category"), (F.col("l_linenumber") % 3).cast("string").alias("constraint_detail"))
+    return prefs.degenerate_filters(d).select("pos", "reject")
+
+
+# --- joins -----------------------------------------------------------------------
+
+
+@add(r"""WITH pool AS (SELECT DISTINCT substr(text, i::INT, 13) AS g FROM benchmark, range(1, 2000) r(i) WHERE i <= greatest(length(text) - 12, 1)),
+ d AS (SELECT doc_id, text FROM documents), g AS (SELECT DISTINCT doc_id, substr(text, i::INT, 13) AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(length(text) - 12, 1) + 1)) AS i) WHERE text <> '')
+ SELECT d.doc_id, coalesce(x.overlap, 0.0) AS overlap FROM d LEFT JOIN (SELECT g.doc_id, count(pool.g) / count(*) AS overlap FROM g LEFT JOIN pool USING (g) GROUP BY 1) x USING (doc_id)""")
+def j9_a25_f3_contamination(spark, sf):
+    return clean.contamination(t(spark, sf, "documents").select("doc_id", "text"), t(spark, sf, "benchmark"), 13, "doc_id")
+
+
+@add("SELECT c_custkey AS id, coalesce(max(o_totalprice) > 150000, false) AS correct FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def j7_left_outer(spark, sf):
+    o = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("m"))
+    return t(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(o, "id", "left").select("id", F.coalesce(F.col("m") > 150_000, F.lit(False)).alias("correct"))
+
+
+@add("""WITH a AS (SELECT source AS domain, avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END) AS accuracy FROM documents WHERE source <> 'src1' GROUP BY 1), b AS (SELECT source AS domain, avg(CASE WHEN n_chars > 1100 THEN 1.0 ELSE 0.0 END) AS accuracy FROM documents WHERE source <> 'src2' GROUP BY 1)
+ SELECT domain, a.accuracy AS candidate, b.accuracy AS base, coalesce(a.accuracy - b.accuracy >= -0.03 - 1e-12, false) AS passed FROM a FULL OUTER JOIN b USING (domain)""")
+def j12_g4_domain_gate(spark, sf):
+    acc = lambda skip, least: t(spark, sf, "documents").filter(F.col("source") != skip).groupBy(F.col("source").alias("domain")).agg(F.avg((F.col("n_chars") > least).cast("double")).alias("accuracy"))
+    return scoring.domain_gate(acc("src1", 1000), acc("src2", 1100)).select("domain", "candidate", "base", "passed")
+
+
+@add("SELECT CAST(s AS INT) AS seq_len, CAST(b AS INT) AS batch, CAST(l AS INT) AS layers FROM (SELECT unnest([1024, 2048, 4096]) s), (SELECT unnest([1, 2]) b), (SELECT unnest([4, 8, 12, 16]) l)")
+def j15_j16_grid(spark, sf):
+    of = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
+    return of("seq_len", (1024, 2048, 4096)).crossJoin(of("batch", (1, 2))).crossJoin(of("layers", (4, 8, 12, 16)))
+
+
+# --- aggregates, ranks, statistics: events as scored items ------------------------
+
+_SCORED_SQL = "scored AS (SELECT event_id AS id, event_type AS domain, 'd' || (user_id % 3) AS difficulty, value > 40 AS correct FROM events)"
+
+
+def _scored(spark, sf):
+    return t(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("domain"), F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("difficulty"), (F.col("value") > 40).alias("correct"))
+
+
+@add(f"""WITH {_SCORED_SQL} SELECT CASE WHEN grouping(domain) = 1 AND grouping(difficulty) = 1 THEN 'overall' WHEN grouping(difficulty) = 1 THEN 'by_domain' WHEN grouping(domain) = 1 THEN 'by_difficulty' ELSE 'by_cell' END AS level,
+ domain, difficulty, count(*) AS n, CAST(coalesce(sum(correct::INT), 0) AS BIGINT) AS correct, avg(correct::INT) AS accuracy FROM scored GROUP BY GROUPING SETS ((), (domain), (difficulty), (domain, difficulty))""")
+def a14_a15_rollup(spark, sf):
+    return scoring.rollup(_scored(spark, sf)).select("level", "domain", "difficulty", "n", big(F.col("correct")).alias("correct"), "accuracy")
+
+
+@add(f"WITH {_SCORED_SQL} SELECT domain, difficulty, count(*) AS n, avg(correct::INT) AS accuracy FROM scored GROUP BY 1, 2 ORDER BY accuracy, n DESC, domain, difficulty LIMIT 5")
+def w5_worst_cells(spark, sf):
+    return scoring.worst_cells(scoring.rollup(_scored(spark, sf)).filter("level = 'by_cell'"), 5).select("domain", "difficulty", "n", "accuracy")
+
+
+@add(f"""WITH {_SCORED_SQL}, g AS (SELECT domain, count(*)::DOUBLE AS n, sum(correct::INT)::DOUBLE AS k FROM scored GROUP BY 1), x AS (SELECT domain, n, k / n AS p, 1.959963985 AS z FROM g)
+ SELECT domain, round(greatest(((p + z*z/(2*n)) - z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 0), 9) AS lo, round(least(((p + z*z/(2*n)) + z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 1), 9) AS hi FROM x""")
+def e5_wilson(spark, sf):
+    g = _scored(spark, sf).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("int")).alias("k"))
+    return g.select("domain", scoring.wilson(F.col("k"), F.col("n")).alias("w")).select("domain", F.round("w.lo", 9).alias("lo"), F.round("w.hi", 9).alias("hi"))
+
+
+@add("""WITH r AS (SELECT 'm' || m AS model, event_id AS id, (event_id * (m + 3)) % 7 < 4 AS correct FROM events, range(0, 3) q(m) WHERE event_id < 500), b AS (SELECT id, correct AS cb FROM r WHERE model = 'm0'),
+ g AS (SELECT model, count(*) AS n, avg(correct::INT - cb::INT) AS delta, count(*) FILTER (cb AND NOT correct) AS b, count(*) FILTER (NOT cb AND correct) AS c FROM r JOIN b USING (id) WHERE model <> 'm0' GROUP BY 1)
+ SELECT model, n, delta, b, c FROM g""")
+def e6_e8_j8_paired(spark, sf):
+    e = t(spark, sf, "events").filter("event_id < 500").select(F.col("event_id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("m"))
+    r = e.select(F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), "id", ((F.col("id") * (F.col("m") + 3)) % 7 < 4).alias("correct"))
+    return scoring.compare_to_base(r, "m0").select("model", "n", "delta", "b", "c")
+
+
+@add("SELECT event_type, exp(sum(value * (user_id % 50)) / sum(user_id % 50) / 100) AS perplexity FROM events WHERE user_id % 50 >= 1 GROUP BY 1")
+def a22_perplexity(spark, sf):
+    e = t(spark, sf, "events").withColumns({"loss": F.col("value") / 100, "n_tokens": F.col("user_id") % 50 + 1}).filter("n_tokens >= 2")
+    w = F.col("n_tokens") - 1
+    return e.groupBy("event_type").agg(F.exp(F.sum(F.col("loss") * w) / F.sum(w)).alias("perplexity"))
+
+
+@add("SELECT lang, min(n_chars) AS min, max(n_chars) AS max, avg(n_chars) AS mean, median(n_chars) AS median FROM documents GROUP BY 1")
+def a8_length_summary(spark, sf):
+    n = F.length("text").cast("bigint")
+    return t(spark, sf, "documents").groupBy("lang").agg(F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"), F.median(n).alias("median"))
+
+
+@add("SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2")
+def a6_a7_group_counts(spark, sf):
+    return t(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("SELECT event_type, count(*) FILTER (value > 50) AS ok, count(*) FILTER (value <= 50) AS failed, arg_max(event_id, (user_id, value, event_id)) AS best FROM events GROUP BY 1")
+def a20_max_by(spark, sf):
+    return t(spark, sf, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("ok"), F.count_if(F.col("value") <= 50).alias("failed"), F.max_by("event_id", F.struct("user_id", "value", "event_id")).alias("best"))
+
+
+@add("SELECT * FROM (PIVOT (SELECT source, lang FROM documents) ON lang IN ('en', 'de', 'fr', 'es') USING count(*))")
+def a24_pivot(spark, sf):
+    return t(spark, sf, "documents").groupBy("source").pivot("lang", ["en", "de", "fr", "es"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+# --- order, samples, mixes ---------------------------------------------------------
+
+_SEEDED = "md5('42|' || doc_id)"
+
+
+@add("SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS pos FROM documents")
+def s11_positions(spark, sf):
+    return order.with_position(t(spark, sf, "documents").select("doc_id", "n_chars"), F.col("n_chars"), F.col("doc_id")).select("doc_id", "pos")
+
+
+@add(f"SELECT doc_id FROM documents ORDER BY {_SEEDED}, doc_id LIMIT 100")
+def x4_sample(spark, sf):
+    return order.sample_rows(t(spark, sf, "documents"), 100, 42, "doc_id").select("doc_id")
+
+
+@add(f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_SEEDED}, doc_id) AS r FROM documents) WHERE r <= 20")
+def x8_stratified(spark, sf):
+    return order.stratified_sample(t(spark, sf, "documents"), "source", 20, 42, "doc_id").select("doc_id", "source")
+
+
+@add(f"""WITH t AS (SELECT min(CASE lang WHEN 'en' THEN n / 0.85 ELSE n / 0.15 END) AS total FROM (SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY 1)),
+ r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_SEEDED}, doc_id) AS r FROM documents WHERE lang IN ('en', 'de')) SELECT doc_id, lang FROM r, t WHERE r <= floor(total * CASE lang WHEN 'en' THEN 0.85 ELSE 0.15 END)""")
+def x1_a3_mix_documents(spark, sf):
+    return order.mix(t(spark, sf, "documents").select("doc_id", "lang"), {"en": 0.85, "de": 0.15}, 42, "lang", key="doc_id")[0].select("doc_id", "lang")
+
+
+@add(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, sum(n_chars) OVER (PARTITION BY lang ORDER BY {_SEEDED}, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM documents) WHERE run <= 100000")
+def w7_x2_budget_prefix(spark, sf):
+    return order.budget_prefix(t(spark, sf, "documents").select("doc_id", "lang", "n_chars"), F.col("n_chars"), 100_000, ["lang"], 42, "doc_id").select("doc_id", "lang")
+
+
+@add("SELECT CASE WHEN k = 0 THEN CAST(doc_id AS VARCHAR) ELSE doc_id || '-dup' || k END AS id, n_chars FROM documents, range(0, 3) r(k)")
+def x6_x7_oversample(spark, sf):
+    return order.oversample(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars"), 3)
+
+
+@add("SELECT doc_id FROM documents ORDER BY doc_id OFFSET 100 LIMIT 50")
+def s14_slice(spark, sf):
+    return order.slice_rows(t(spark, sf, "documents").select("doc_id"), 100, 50, F.col("doc_id"))
+
+
+@add("SELECT doc_id FROM documents ORDER BY doc_id LIMIT (SELECT greatest(1, count(*) // 10) FROM documents)")
+def x13_package(spark, sf):
+    return order.package_prefix(t(spark, sf, "documents").select("doc_id"), "deci", F.col("doc_id"))
+
+
+@add("SELECT doc_id FROM documents ORDER BY n_chars, doc_id LIMIT (SELECT greatest(1, CAST(floor(count(*) * 0.25) AS BIGINT)) FROM documents)")
+def x14_fraction(spark, sf):
+    return order.head_fraction(t(spark, sf, "documents").select("doc_id", "n_chars"), 0.25, F.col("n_chars"), F.col("doc_id")).select("doc_id")
+
+
+@add("SELECT 'pref-' || lpad(CAST(row_number() OVER (ORDER BY n_name) + 99 AS VARCHAR), 5, '0') AS id, n_name FROM nation")
+def w10_ids(spark, sf):
+    return order.sequential_ids(t(spark, sf, "nation").select("n_name"), "pref", 100, F.col("n_name")).select("id", "n_name")
+
+
+@add("SELECT n_nationkey AS v FROM nation INTERSECT SELECT CAST(s_suppkey % 40 AS INT) FROM supplier")
+def x12_intersect(spark, sf):
+    return t(spark, sf, "nation").select(F.col("n_nationkey").alias("v")).intersect(t(spark, sf, "supplier").select((F.col("s_suppkey") % 40).cast("int").alias("v")))
+
+
+@add("SELECT c_custkey AS id, 'a' AS origin FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, 'b' FROM supplier")
+def x3_x11_components(spark, sf):
+    a = t(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
+    return chat.mix_components({"a": a, "b": t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))}, {"a": None})
+
+
+# --- chats and tokens -----------------------------------------------------------
+
+
+def _chats(spark, sf):
+    c = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
+    return c.select("conv_id", F.transform("x", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))
+
+
+_TURNS = "(SELECT conv_id, turn, role, text FROM conversations)"
+
+
+@add(f"SELECT conv_id, md5(string_agg('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text)) AS digest FROM {_TURNS} GROUP BY 1")
+def c1_chatml(spark, sf):
+    return _chats(spark, sf).select("conv_id", F.md5(chat.to_chatml("messages").cast("binary")).alias("digest"))
+
+
+@add(f"SELECT conv_id, CAST(arg_max(length(text), (turn, role, text)) AS INT) AS n FROM {_TURNS} WHERE role = 'assistant' GROUP BY 1")
+def a9_response_length(spark, sf):
+    return _chats(spark, sf).select("conv_id", chat.response_length("messages").alias("n")).filter("n is not null")
+
+
+@add(f"""WITH l AS (SELECT conv_id, arg_max(role, (turn, role, text)) AS r, arg_max(text, (turn, role, text)) AS a FROM {_TURNS} GROUP BY 1), u AS (SELECT conv_id, arg_max(text, (turn, role, text)) AS q FROM {_TURNS} WHERE role = 'user' GROUP BY 1)
+ SELECT conv_id, md5(q) AS question, md5(a) AS answer FROM l JOIN u USING (conv_id) WHERE r = 'assistant'""")
+def c5_question_answer(spark, sf):
+    q = _chats(spark, sf).select("conv_id", chat.question_answer("messages").alias("q")).filter("q is not null")
+    return q.select("conv_id", F.md5(F.col("q.question").cast("binary")).alias("question"), F.md5(F.col("q.answer").cast("binary")).alias("answer"))
+
+
+@add("""WITH d AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos, CAST(l_quantity AS INT) AS n FROM lineitem), o AS (SELECT pos, n, sum(n + 1) OVER (ORDER BY pos) - n - 1 AS a FROM d),
+ x AS (SELECT a + i AS g, CASE WHEN i = n THEN -1 ELSE i END AS tok FROM o, LATERAL (SELECT unnest(range(0, n + 1)) AS i)), c AS (SELECT g // 64 AS chunk_id, g, tok FROM x)
+ SELECT CAST(chunk_id AS BIGINT) AS chunk_id, md5(string_agg(CAST(tok AS VARCHAR), ',' ORDER BY g)) AS digest FROM c GROUP BY 1 HAVING count(*) = 64""")
+def c9_c10_pack(spark, sf):
+    d = order.with_position(t(spark, sf, "lineitem"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).select("pos", F.sequence(F.lit(0), F.col("l_quantity").cast("int") - 1).alias("input_ids"))
+    return chat.pack(d, 64, -1).select(big(F.col("chunk_id")).alias("chunk_id"), F.md5(F.array_join("input_ids", ",").cast("binary")).alias("digest"))
+
+
+@add("SELECT n_nationkey, list_transform(range(0, 10), lambda i: CAST(i % (n_nationkey % 4 + 1) AS INT)) AS ids FROM nation")
+def c13_repeat(spark, sf):
+    return t(spark, sf, "nation").select("n_nationkey", chat.repeat_to_length(F.sequence(F.lit(0), F.col("n_nationkey") % 4), 10).alias("ids"))
+
+
+@add("SELECT o_orderkey, md5('q' || o_orderkey || chr(10) || chr(10) || 'in') AS q, o_orderpriority AS a FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, md5('q' || o_orderkey), o_orderpriority FROM orders WHERE o_orderkey % 2 = 1")
+def c4_instruction(spark, sf):
+    m = chat.instruction_messages(F.concat(F.lit("q"), F.col("o_orderkey").cast("string")), F.when(F.col("o_orderkey") % 2 == 0, "in"), F.col("o_orderpriority"))
+    return t(spark, sf, "orders").select("o_orderkey", m.alias("m")).select("o_orderkey", F.md5(F.get("m", 0)["content"].cast("binary")).alias("q"), F.get("m", 1)["content"].alias("a"))
+
+
+@add("SELECT o_orderkey, o_orderkey % 3 = 0 AS ok FROM orders")
+def c3_conversations(spark, sf):
+    turn = lambda who: F.struct(F.lit(who).alias("from"), F.col("o_orderpriority").alias("value"))
+    c = F.when(F.col("o_orderkey") % 3 == 0, F.array(turn("human"), turn("gpt"))).when(F.col("o_orderkey") % 3 == 1, F.array(turn("human"), turn("nobody"))).otherwise(F.array(turn("user"), turn("human")))
+    return t(spark, sf, "orders").select("o_orderkey", chat.conversation_messages(c).isNotNull().alias("ok"))
+
+
+@add("""SELECT o_orderkey, o_orderkey % 3 = 0 AS short, o_orderkey % 2 = 0 AS mcq, true AS legacy FROM orders""")
+def e1_e2_e3_e4_answers(spark, sf):
+    ans = F.array(F.col("o_orderkey").cast("string"))
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.col("o_orderkey").cast("string"), F.lit("。"))).otherwise(F.concat(F.lit("別。"), F.col("o_orderkey").cast("string")))
+    m = F.when(F.col("o_orderkey") % 2 == 0, F.lit(" （B）です")).otherwise("答えは不明。答え：C")
+    return t(spark, sf, "orders").select("o_orderkey", scoring.score_row(F.lit("short"), raw, ans, F.lit(None)).alias("short"), scoring.score_row(F.lit("mcq"), m, ans, F.lit("B")).alias("mcq"), scoring.legacy_score(raw, ans).alias("legacy"))
+
+
+# --- pipelines -------------------------------------------------------------------
+
+
+def _corpora(spark, sf):
+    return t(spark, sf, "documents").select(F.col("lang").alias("corpus"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), "text")
+
+
+@add()
+def o1_clean_corpus_stats(spark, sf):
+    """Stage statistics of each corpus; greedy near-duplicate removal over hashed bands has no SQL form."""
+    return clean.stage_stats(clean.clean_corpus(_corpora(spark, sf), t(spark, sf, "benchmark")))
+
+
+@add("SELECT doc_id AS id, CASE WHEN NOT length(text) BETWEEN 50 AND 50000 THEN 'length' WHEN NOT (len(regexp_extract_all(text, '[A-Za-z]')) > 0) THEN 'language' END AS stage FROM documents")
+def a1_f2_drop_stage(spark, sf):
+    return clean.drop_stage(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "stage")
+
+
+@add()
+def d1_d2_d3_near_duplicates(spark, sf):
+    d = _corpora(spark, sf)
+    edges, copies = clean.lsh_edges(d, "corpus", "pos")
+    first = d.select("corpus", F.col("pos").alias("p")).join(copies, ["corpus", "p"], "left_anti")
+    return clean.greedy_keep_first(first, edges, "corpus").unionByName(copies.withColumn("kept", F.lit(False)))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
