@@ -10,7 +10,7 @@ The frequencies that the order needs are found without an inverted index of the
 corpus: shingle hashes go to shards by range, five bytes each, and only those that
 occur twice come back, so a shingle in a third of all documents is sent once per
 document and never multiplied. Equal sets are one class with one representative.
-Documents that are linked with the first one of a posting list need no other pair of
+Documents that are linked with the most central one of a posting list need no other pair of
 that list: only pairs across components that remain apart are joined, so a group of
 near copies costs pairs in proportion to its size.
 
@@ -108,15 +108,15 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names)
 
 
-def _prefix(n: int, keys: np.ndarray, df: np.ndarray, need: int, verify_cost: float) -> tuple[int, np.ndarray, int]:
-    """(l, repeated shingles of the l-prefix in order, how many of them are in the 1-prefix).
+def _prefix(n: int, keys: np.ndarray, df: np.ndarray, need: int, verify_cost: float) -> tuple[int, np.ndarray]:
+    """(l, repeated shingles of the l-prefix in order).
 
     ``keys`` are those that other sets have too; the n - len(keys) others stand before them.
     """
     order = np.lexsort((keys, df))
     alone, base = n - len(keys), n - need + 1
     if base <= alone:
-        return 1, keys[:0], 0
+        return 1, keys[:0]
     best, out = None, 1
     cost = np.cumsum(df[order].astype(np.float64) - 1)
     for ell in range(1, min(LONGEST, need) + 1):
@@ -124,11 +124,11 @@ def _prefix(n: int, keys: np.ndarray, df: np.ndarray, need: int, verify_cost: fl
         total = cost[k - 1] * (1 + verify_cost / ell)
         if best is None or total < best:
             best, out = total, ell
-    return out, keys[order[: min(len(keys), base + out - 1 - alone)]], min(len(keys), base - alone)
+    return out, keys[order[: min(len(keys), base + out - 1 - alone)]]
 
 
 def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, verify_cost: float) -> DataFrame:
-    """Sets that may have a partner: e, sig, n, ell, base, prefix (repeated shingles, rare first), keys (all repeated ones)."""
+    """Sets that may have a partner: e, sig, n, alone (its own shingles), own (mean of 1 / frequency), ell, prefix (repeated ones, rare first), keys (all repeated ones)."""
     bits = (shards - 1).bit_length()
     low = _U((1 << 40) - 1)
 
@@ -178,8 +178,8 @@ def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, ve
                     row = np.repeat(np.arange(len(sizes)), sizes)[many]
                     yield _batch([(chunk, shard, _pack(np.bincount(row, minlength=len(sizes)).astype(np.uint16), lo[many], hi[many], d[many]))], ["chunk", "shard", "blob"], [pa.int64(), pa.int32(), pa.binary()])
 
-    names = ["e", "sig", "n", "ell", "base", "prefix", "keys"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+    names = ["e", "sig", "n", "alone", "own", "ell", "prefix", "keys"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
 
     def gather(batches):
         for chunk, rows in _grouped(batches):
@@ -203,9 +203,9 @@ def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, ve
                 if not len(at) or n - len(at) >= n - need + 1:
                     continue
                 k = key[at]  # rising: shards come in order, and hashes rise within each
-                ell, prefix, base = _prefix(n, k, df[at], need, verify_cost)
+                ell, prefix = _prefix(n, k, df[at], need, verify_cost)
                 if len(prefix):
-                    out.append(((chunk << LOCAL_BITS) | i, int(sigs[i]), n, ell, base, prefix.astype(np.int64), k.tobytes()))
+                    out.append(((chunk << LOCAL_BITS) | i, int(sigs[i]), n, n - len(at), (n - len(at) + float((1.0 / df[at]).sum())) / n, ell, prefix.astype(np.int64), k.tobytes()))
                 if len(out) >= 256:
                     yield _batch(out, names, types)
                     out = []
@@ -214,15 +214,15 @@ def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, ve
 
     sent = docs.mapInArrow(send, "shard int, chunk bigint, blob binary")
     counted = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(count, "chunk bigint, shard int, blob binary")
-    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(gather, "e bigint, sig bigint, n bigint, ell int, base int, prefix array<bigint>, keys binary")
+    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(gather, "e bigint, sig bigint, n bigint, alone bigint, own double, ell int, prefix array<bigint>, keys binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_group: int = 256) -> DataFrame:
     """The pairs (a, b) that link. Each set goes once to each group of ``per_group`` partners of its leader a."""
     groups = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / per_group) + 1).cast("int").alias("groups"))
-    s = sets.select("e", "n", "keys")
-    members = pairs.join(groups, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")).join(s, F.col("b") == s["e"]).select("a", "g", F.lit(1).alias("kind"), "b", "n", "keys")
-    leaders = groups.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).join(s, F.col("a") == s["e"]).select("a", "g", F.lit(0).alias("kind"), F.col("a").alias("b"), "n", "keys")
+    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.lit(1).alias("kind"), F.col("b").alias("e"))
+    leaders = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("kind"), F.col("a").alias("e"))
+    rows = members.unionByName(leaders).join(sets.select("e", "n", "keys"), "e").select("a", "g", "kind", "e", "n", "keys")
 
     def check(batches):
         mine, me = None, None
@@ -240,7 +240,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_group: in
                         found.append((a, other))
             yield _batch(found, ["a", "b"], [pa.int64(), pa.int64()])
 
-    rows = members.unionByName(leaders).repartition("a", "g").sortWithinPartitions("a", "g", "kind")
+    rows = rows.repartition("a", "g").sortWithinPartitions("a", "g", "kind")
     return rows.mapInArrow(check, "a bigint, b bigint")
 
 
@@ -267,30 +267,36 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), wor
     sets = scratch.save(_candidates(src.select("text"), shards, num, den, words, verify_cost), "sets")
     # one representative of each class of equal sets
     first = sets.groupBy("sig").agg(F.min("e").alias("e"))
-    reps = scratch.save(sets.join(first.select("e"), "e", "left_semi"), "reps")
-    scratch.drop("sets")
-    tokens = reps.select("e", "n", "ell", "base", F.posexplode("prefix").alias("i", "token")).withColumn(
-        "level", F.when(F.col("i") < F.col("base"), 1).otherwise(F.col("i") - F.col("base") + 2)
+    reps = scratch.save(sets.select("e", "sig", "n", "alone", "own", "ell", "prefix").join(first.select("e"), "e", "left_semi"), "reps")
+    # where each shingle stands, and from which l on it is in the prefix: against smaller sets, and against larger ones,
+    # which share more of this one
+    place = F.col("alone") + F.col("i")
+    level = lambda need: F.greatest(F.lit(1), place - (F.col("n") - F.ceil(need)) + 1).cast("int")
+    tokens = reps.select("e", "n", "alone", "own", "ell", F.posexplode("prefix").alias("i", "token")).select(
+        "token", "e", "n", "own", "ell", place.alias("at"), level(F.col("n") * num / den).alias("probe"), level(F.col("n") * (2 * num) / (num + den)).alias("index")
     )
     fits = lambda a, b: (a * den >= b * num) & (b * den >= a * num)
-    base = tokens.filter("level = 1").select("token", "e", "n")
-    lead = base.groupBy("token").agg(F.min(F.struct("e", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # a list's first is the set whose shingles are the most common: what its near copies come from
+    base = tokens.filter("probe = 1").select("token", "e", "n", "own")
+    lead = base.groupBy("token").agg(F.min(F.struct("own", "e", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     stars = base.join(lead, "token").filter((F.col("e") != F.col("lead.e")) & fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.e").alias("a"), F.col("e").alias("b")).distinct()
-    links = scratch.save(_verify(scratch.save(stars, "stars"), reps, num, den), "links")
+    links = scratch.save(_verify(scratch.save(stars, "stars"), sets, num, den), "links")
     comp = scratch.save(components(links, scratch, "c"), "comp")
     # what the first pairs of each list have left apart
-    named = tokens.join(comp, F.col("e") == F.col("node"), "left").select("token", "e", "n", "ell", "level", F.coalesce("root", "e").alias("comp"))
-    open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    named = tokens.join(comp, F.col("e") == F.col("node"), "left").select("token", "e", "n", "ell", "at", "probe", "index", F.coalesce("root", "e").alias("comp"))
+    open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("index") - F.col("ell")).alias("first")).filter("lo < hi and first <= 0").select("token")
     named = scratch.save(named.join(open_, "token", "left_semi"), "open")
-    per = named.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pa_, pb_ = (per.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("comp", "lo", "hi"))) for x in "ab")
-    across = pa_.join(pb_, "token").filter("comp_a < comp_b").filter((F.col("hi_a") * den >= F.col("lo_b") * num) & (F.col("hi_b") * den >= F.col("lo_a") * num)).select("token", "comp_a", "comp_b")
-    left, right = (named.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("comp", "e", "n", "ell", "level"))) for x in "ab")
-    met = across.join(left, ["token", "comp_a"]).join(right, ["token", "comp_b"])
-    met = met.filter(fits(F.col("n_a"), F.col("n_b")) & (F.greatest("level_a", "level_b") <= F.least("ell_a", "ell_b")))
+    small, large = (x.select("token", *(F.col(c).alias(f"{c}_{tag}") for c in ("comp", "e", "n", "ell", "at", "probe", "index"))) for x, tag in ((named.filter("index <= ell"), "a"), (named, "b")))
+    per = lambda x, t: x.groupBy("token", f"comp_{t}").agg(F.min(f"n_{t}").alias(f"lo_{t}"), F.max(f"n_{t}").alias(f"hi_{t}"))
+    across = per(small, "a").join(per(large, "b"), "token").filter("comp_a <> comp_b and hi_b >= lo_a").filter(F.col("hi_a") * den >= F.col("lo_b") * num).select("token", "comp_a", "comp_b")
+    met = across.join(small, ["token", "comp_a"]).join(large, ["token", "comp_b"])
+    met = met.filter((F.struct("n_a", "e_a") < F.struct("n_b", "e_b")) & (F.col("n_a") * den >= F.col("n_b") * num) & (F.greatest("index_a", "probe_b") <= F.least("ell_a", "ell_b")))
+    # shingles before the place, at most, and those behind it must reach the overlap asked for
+    reach = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    met = met.filter(reach * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
     more = met.groupBy("e_a", "e_b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ell_a", "ell_b")).alias("need")).filter("k >= need")
     more = scratch.save(more.select(F.col("e_a").alias("a"), F.col("e_b").alias("b")), "more")
-    new = scratch.save(_verify(more, reps, num, den), "new")
+    new = scratch.save(_verify(more, sets, num, den), "new")
     if new.limit(1).count():
         comp = scratch.save(components(links.unionByName(new), scratch, "d"), "comp-2")
     # components of sets, named by their smallest document
