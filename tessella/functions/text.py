@@ -105,7 +105,7 @@ def strip(c: Column | str) -> Column:
 def lines(c: Column | str) -> Column:
     """Lines as Python splits them: a final line end opens no line, an empty text has none."""
     t = as_column(c)
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, f"(?:{LINE_END})$", ""), LINE_END))
+    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, rf"(?:{LINE_END})\z", ""), LINE_END))
 
 
 def count_bullets(c: Column | str) -> Column:

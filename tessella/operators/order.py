@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import storage
+
 
 def seeded(seed: int | str, *keys: Column) -> Column:
     """A seeded shuffle's sort key."""
@@ -24,6 +26,7 @@ def with_position(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = storage.cut(placed)  # the ranges are sampled: they must be drawn once only
     placed = placed.withColumn("__part", F.shiftright("__id", 33)).withColumn("__seq", F.col("__id").bitwiseAND((1 << 33) - 1))
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     offsets = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__off"))  # a row a partition

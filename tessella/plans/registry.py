@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import verifiers as V
-from ..operators import chat, clean, order, prefs, scoring
+from ..operators import chat, clean, order, prefs, prompts, scoring
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -304,13 +304,13 @@ def a11_w6_topics(spark, sf):
     return prefs.topic_stats(t(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("topic"), F.col("o_orderkey").alias("pos")))[1].select("topic", "n")
 
 
-@add("""WITH RECURSIVE d AS (SELECT l_suppkey % 7 AS p, l_quantity % 5 AS r, l_linenumber % 3 AS c, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem WHERE l_orderkey < 200),
+@add("""WITH RECURSIVE d AS (SELECT l_suppkey % 7 AS p, l_quantity % 5 AS r, l_linenumber % 3 AS c, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos FROM lineitem WHERE l_orderkey < 200),
  s AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS a, CAST([] AS VARCHAR[]) AS b, CAST(NULL AS VARCHAR) AS why UNION ALL
   SELECT d.pos, CASE WHEN w.why IS NULL THEN list_append(s.a, d.r || '|' || d.p) ELSE s.a END, CASE WHEN w.why IS NULL THEN list_append(s.b, d.r || '|' || d.c) ELSE s.b END, w.why
   FROM s JOIN d ON d.pos = s.pos + 1, LATERAL (SELECT CASE WHEN list_contains(s.a, d.r || '|' || d.p) THEN 'prompt_response_dup' WHEN list_contains(s.b, d.r || '|' || d.c) THEN 'category_detail_dup' END AS why) w)
  SELECT pos, why AS reject FROM s WHERE pos > 0""")
 def d4_d5_d6_sequential_duplicates(spark, sf):
-    d = order.with_position(t(spark, sf, "lineitem").filter("l_orderkey < 200"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    d = order.with_position(t(spark, sf, "lineitem").filter("l_orderkey < 200"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
     words = F.concat(F.lit("a long enough response number "), (F.col("l_quantity") % 5).cast("string"))
     d = d.select((F.col("pos") + 1).alias("pos"), (F.col("l_suppkey") % 7).cast("string").alias("prompt"), words.alias("response"), F.lit("keyword").alias("category"), (F.col("l_linenumber") % 3).cast("string").alias("constraint_detail"))
     return prefs.degenerate_filters(d).select("pos", "reject")
@@ -504,11 +504,11 @@ def c5_question_answer(spark, sf):
     return q.select("conv_id", F.md5(F.col("q.question").cast("binary")).alias("question"), F.md5(F.col("q.answer").cast("binary")).alias("answer"))
 
 
-@add("""WITH d AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos, CAST(l_quantity AS INT) AS n FROM lineitem), o AS (SELECT pos, n, sum(n + 1) OVER (ORDER BY pos) - n - 1 AS a FROM d),
+@add("""WITH d AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos, CAST(l_quantity AS INT) AS n FROM lineitem), o AS (SELECT pos, n, sum(n + 1) OVER (ORDER BY pos) - n - 1 AS a FROM d),
  x AS (SELECT a + i AS g, CASE WHEN i = n THEN -1 ELSE i END AS tok FROM o, LATERAL (SELECT unnest(range(0, n + 1)) AS i)), c AS (SELECT g // 64 AS chunk_id, g, tok FROM x)
  SELECT CAST(chunk_id AS BIGINT) AS chunk_id, md5(string_agg(CAST(tok AS VARCHAR), ',' ORDER BY g)) AS digest FROM c GROUP BY 1 HAVING count(*) = 64""")
 def c9_c10_pack(spark, sf):
-    d = order.with_position(t(spark, sf, "lineitem"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).select("pos", F.sequence(F.lit(0), F.col("l_quantity").cast("int") - 1).alias("input_ids"))
+    d = order.with_position(t(spark, sf, "lineitem"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).select("pos", F.sequence(F.lit(0), F.col("l_quantity").cast("int") - 1).alias("input_ids"))
     return chat.pack(d, 64, -1).select(big(F.col("chunk_id")).alias("chunk_id"), F.md5(F.array_join("input_ids", ",").cast("binary")).alias("digest"))
 
 
@@ -538,6 +538,77 @@ def e1_e2_e3_e4_answers(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", scoring.score_row(F.lit("short"), raw, ans, F.lit(None)).alias("short"), scoring.score_row(F.lit("mcq"), m, ans, F.lit("B")).alias("mcq"), scoring.legacy_score(raw, ans).alias("legacy"))
 
 
+# --- more of the inventory --------------------------------------------------------
+
+
+@add("SELECT o_orderkey, md5('POST ' || o_orderpriority) AS digest FROM orders")
+def n14_n15_judge_requests(spark, sf):
+    body = T.judge_request("judge", T.judge_prompt(F.col("o_orderpriority"), F.lit("r")))
+    good = (F.get_json_object(body, "$.messages[0].content").contains(F.col("o_orderpriority"))) & (F.get_json_object(body, "$.max_tokens") == "96")
+    return t(spark, sf, "orders").select("o_orderkey", F.md5(F.when(good, F.concat(F.lit("POST "), "o_orderpriority")).cast("binary")).alias("digest"))
+
+
+@add("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) ELSE printf('%.1f KiB', n_chars / 1024.0) END AS size FROM documents")
+def n23_format_bytes(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", T.format_bytes("n_chars").alias("size"))
+
+
+@add("SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END, '<line ' || event_id || '>') AS label FROM events")
+def n28_row_labels(spark, sf):
+    return t(spark, sf, "events").select("event_id", T.row_label(F.when(F.col("event_id") % 2 == 0, F.col("user_id")), F.col("event_id")).alias("label"))
+
+
+@add("""WITH s AS (SELECT doc_id, source, n_chars <= 2000 AS a, contains(text, 'the') AS b FROM documents), i AS (SELECT doc_id, source, 'char_count' AS v, a AS ok FROM s UNION ALL SELECT doc_id, source, 'keyword', b FROM s), p AS (SELECT doc_id, source, bool_and(ok) AS ok FROM i GROUP BY 1, 2)
+ SELECT 'prompt' AS level, 'all' AS name, count(*) AS n, avg(ok::INT) AS strict FROM p UNION ALL SELECT 'instruction', 'all', count(*), avg(ok::INT) FROM i UNION ALL SELECT 'category', source, count(*), avg(ok::INT) FROM p GROUP BY 2 UNION ALL SELECT 'verifier', v, count(*), avg(ok::INT) FROM i GROUP BY 2""")
+def v17_a13_o9_instruction_scores(spark, sf):
+    d = t(spark, sf, "documents")
+    kwargs = F.create_map(F.lit("char_count"), _detail(max=F.lit(2000)), F.lit("keyword"), _detail(include=F.array(F.lit("the"))))
+    prompts = d.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("category"), F.array(F.lit("char_count"), F.lit("keyword")).alias("instruction_id_list"), kwargs.alias("kwargs"))
+    scores = scoring.score_instructions(d.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("response")), prompts)
+    return scoring.aggregate_instructions(scores).select("level", "name", "n", "strict")
+
+
+@add("SELECT source, lang, count(*) AS n FROM documents WHERE CAST((SELECT sum(('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), i::INT, 1))::INT) FROM range(1, 41) r(i)) AS INT) % 5 = 0 GROUP BY 1, 2")
+def x15_a21_split_distribution(spark, sf):
+    return t(spark, sf, "documents").filter(T.split_bucket(F.col("doc_id").cast("string")) == 0).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("SELECT avg(x) AS mean, max(x) AS max, count(*) FILTER (x >= 0.5) AS over FROM (SELECT value / 100 AS x FROM events)")
+def a23_overlap_distribution(spark, sf):
+    x = F.col("value") / 100
+    return t(spark, sf, "events").agg(F.avg(x).alias("mean"), F.max(x).alias("max"), F.count_if(x >= 0.5).alias("over"))
+
+
+@add("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+def j6_j19_completeness(spark, sf):
+    return t(spark, sf, "nation").join(t(spark, sf, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_anti").select("n_nationkey")
+
+
+@add("SELECT unnest([5, 8, 13]) AS v INTERSECT SELECT DISTINCT p_size FROM part")
+def a12_d8_eval_values(spark, sf):
+    e = t(spark, sf, "part").select(F.struct(F.col("p_size").alias("min"), (F.col("p_size") + 0).alias("max")).alias("kwargs"))
+    return spark.createDataFrame([(v,) for v in prefs.eval_values(e, "kwargs.min", "kwargs.max") if v in (5, 8, 13)], "v int")
+
+
+@add()
+def x10_j14_template_prompts(spark, sf):
+    """Template prompts by bucket over sampled topics; the seeded topic samples are the engine's own."""
+    return prompts.source_b(t(spark, sf, "nation").select(F.col("n_name").alias("topic")), 0)
+
+
+@add()
+def c6_x17_constraint_rows(spark, sf):
+    """Rows of each verifier's quota, from chats of two turns."""
+    m = T.messages(F.col("o_orderpriority"), F.concat(F.lit("カメラの説明です。番号は"), F.col("o_orderkey").cast("string"), F.lit("です。")))
+    return chat.constraint_rows(t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), m.alias("messages"), F.lit("a").alias("origin")), {"char_count": 50, "polite_form": 40, "keyword": 30})
+
+
+@add()
+def e7_bootstrap(spark, sf):
+    """Percentiles of resampled paired differences."""
+    return scoring.bootstrap_interval(t(spark, sf, "events").select("event_type", ((F.col("value") > 50).cast("int") - (F.col("user_id") % 2 == 0).cast("int")).alias("diff")), "event_type")
+
+
 # --- pipelines -------------------------------------------------------------------
 
 
