@@ -35,7 +35,7 @@ SECOND_PERSON = frozenset(
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": "", "#": "", "+": "t", "|": "l"})
 
 _WORD = re.compile(r"[^\W\d_]+")
-_ODD = re.compile(r"(?<![\w@$*#])(?=[\w@$*#.!\-]*[^\W\d_])(?=[\w@$*#.!\-]*[@$*#0-9_.!\-][^\W\d_])[^\W_]?[\w@$*#.!\-]*[^\W_](?!\w)")
+_ODD = re.compile(r"(?<![\w@$*#.!\-])(?=[\w@$*#.!\-]*[^\W\d_])(?=[\w@$*#.!\-]*[@$*#0-9_.!\-][^\W\d_])[^\W_]?[\w@$*#.!\-]*[^\W_](?!\w)")
 _CAPS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 _UPPER = bytes(i for i in range(256) if chr(i).isupper())
 _PUNCT = b"\"#$%&'()*+,-./:;<=>@[\\]^_`{|}~"
