@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows
+from .common import Scratch, arrow_rows, tidied
 from .embedding_dedup import usable
 
 #: Windows' radii, as parts of the greatest norm: the rounds of virtual rehashing.
@@ -173,6 +173,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, projections: int
         if key and (out := answer()) is not None:
             yield out
 
-    found = data.unionByName(asks).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    found = data.unionByName(asks).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(tidied(run), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows
+from .common import arrow_rows, tidied
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -107,7 +107,7 @@ class _Memo(dict):
 class BpeCodec:
     """Encodes and decodes with a table of ranks and a splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 120_000):
         self.ranks, self.pattern, self.memo_limit = ranks, pattern, memo
         self.perfect = PerfectHash(ranks)
         self._ready()
@@ -203,7 +203,7 @@ def bpe_tokenize(docs: DataFrame, codec: BpeCodec, id_col: str = "doc_id", text_
     decode to. A narrow transformation: nothing is shuffled.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_rows(spark, 256)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     shared = spark.sparkContext.broadcast(codec)  # the vocabulary: of fixed size, whatever the input
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -234,4 +234,4 @@ def bpe_tokenize(docs: DataFrame, codec: BpeCodec, id_col: str = "doc_id", text_
                 cols.append(pa.array(out, pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", *["token_ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests, *["decoded"] * raw])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows
+from .common import Scratch, arrow_rows, tidied
 from .components import components
 
 #: Rows of a bucket's block.
@@ -151,7 +151,7 @@ def _linked(classes: DataFrame, lsh: CrossPolytope, threshold: float, n: int) ->
             flat = [r.tobytes() for r in np.ascontiguousarray(codes.transpose(2, 0, 1))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(flat, pa.binary()), pa.array(list(np.ascontiguousarray(codes.transpose(2, 0, 1).reshape(len(x), -1))))], ["e", "copies", "x", "codes", "list"])
 
-    rows = classes.select("e", "copies", "v").mapInArrow(hashed, "e bigint, copies bigint, x binary, codes binary, list array<bigint>")
+    rows = classes.select("e", "copies", "v").mapInArrow(tidied(hashed), "e bigint, copies bigint, x binary, codes binary, list array<bigint>")
     rows = rows.select("e", "copies", "x", "codes", F.posexplode("list").alias("i", "code")).select(
         "e", "copies", "x", "codes", F.floor(F.col("i") / (1 + probes)).cast("int").alias("t"), "code", ((F.col("i") % (1 + probes)) == 0).alias("own")
     )
@@ -220,7 +220,7 @@ def _linked(classes: DataFrame, lsh: CrossPolytope, threshold: float, n: int) ->
         yield flush()
 
     rows = rows.repartition("t", "code", "p", "q").sortWithinPartitions("t", "code", "p", "q")
-    return rows.mapInArrow(check, "e bigint, links bigint, root bigint")
+    return rows.mapInArrow(tidied(check), "e bigint, links bigint, root bigint")
 
 
 def _first_meeting(c: np.ndarray, a: np.ndarray, b: np.ndarray, t: int, code: int) -> np.ndarray:

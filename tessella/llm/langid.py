@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import arrow_rows
+from .common import arrow_rows, tidied, tidy
 
 ORDER = 4
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -258,7 +258,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", texts_per_lan
 
     from pyspark.sql import Window
 
-    grams = sample.filter(~held).mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.filter(~held).mapInArrow(tidied(count), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= grams_per_language)
     got = top.select("lang", "gram", "n").toArrow()
     cp = np.frombuffer("".join(got["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
@@ -272,7 +272,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", texts_per_lan
                 x, size, _ = model.cross_entropy(texts[at : at + 64])
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(at, 64), pa.array(list(x)), pa.array(size.astype(float))], ["lang", "xent", "size"])
 
-    cal = sample.filter(held).mapInArrow(score, "lang string, xent array<double>, size double").toArrow()
+    cal = sample.filter(held).mapInArrow(tidied(score), "lang string, xent array<double>, size double").toArrow()
     if cal.num_rows:
         model.calibrate(np.array([index[x] for x in cal["lang"].to_pylist()]), np.array(cal["xent"].to_pylist()), cal["size"].to_numpy())
     return model
@@ -280,7 +280,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", texts_per_lan
 
 def language(df: DataFrame, model: KneserNey, text: Column) -> Column:
     """A struct column: lang_pred, score, rejected, cross_entropy."""
-    arrow_rows(df.sparkSession)
+    arrow_rows(df.sparkSession, 256)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
 
     @arrow_udf("lang_pred string, score double, rejected boolean, cross_entropy double")
@@ -291,10 +291,11 @@ def language(df: DataFrame, model: KneserNey, text: Column) -> Column:
             for i, t in enumerate(texts):
                 held.append(t)
                 size += len(t or "")
-                if size > 700_000 or i == len(texts) - 1:
+                if size > 350_000 or i == len(texts) - 1:
                     lang, score, odd, x = m.predict(held)
                     parts.append(pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(odd), pa.array(x, pa.float64())], ["lang_pred", "score", "rejected", "cross_entropy"]))
                     held, size = [], 0
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_()), ("cross_entropy", pa.float64())]))
+        tidy()
 
     return predict(text.cast("string"))

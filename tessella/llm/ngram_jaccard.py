@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, binary_values, chunks, mix64, word_hashes
+from .common import Scratch, arrow_rows, binary_values, chunks, mix64, tidied, word_hashes
 from .components import components
 
 _U = np.uint64
 _Q = mix64(np.arange(101, 117, dtype=np.uint64))
 #: Text in one chunk; documents in it are numbered with 16 bits.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_500_000
 LOCAL_BITS = 20
 #: Shingles that one shard takes, about.
 SHARD_ROWS = 2_000_000
@@ -104,6 +104,22 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield key, held
 
 
+def _narrow(k: np.ndarray, width: int) -> bytes:
+    """Hashes in as many bytes as they have."""
+    return np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _widen(blob: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").ravel()
+
+
+def _width(shards: int) -> int:
+    return (40 + (shards - 1).bit_length() + 7) // 8
+
+
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names)
 
@@ -130,7 +146,7 @@ def _prefix(n: int, keys: np.ndarray, df: np.ndarray, need: int, verify_cost: fl
 def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, verify_cost: float) -> DataFrame:
     """Sets that may have a partner: e, sig, n, alone (its own shingles), own (mean of 1 / frequency), ell, prefix (repeated ones, rare first), keys (all repeated ones)."""
     bits = (shards - 1).bit_length()
-    low = _U((1 << 40) - 1)
+    low, width = _U((1 << 40) - 1), _width(shards)
 
     def send(batches):
         for uid, _, sets in _tables(batches):
@@ -205,19 +221,19 @@ def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, ve
                 k = key[at]  # rising: shards come in order, and hashes rise within each
                 ell, prefix = _prefix(n, k, df[at], need, verify_cost)
                 if len(prefix):
-                    out.append(((chunk << LOCAL_BITS) | i, int(sigs[i]), n, n - len(at), (n - len(at) + float((1.0 / df[at]).sum())) / n, ell, prefix.astype(np.int64), k.tobytes()))
+                    out.append(((chunk << LOCAL_BITS) | i, int(sigs[i]), n, n - len(at), (n - len(at) + float((1.0 / df[at]).sum())) / n, ell, prefix.astype(np.int64), _narrow(k, width)))
                 if len(out) >= 256:
                     yield _batch(out, names, types)
                     out = []
             if out:
                 yield _batch(out, names, types)
 
-    sent = docs.mapInArrow(send, "shard int, chunk bigint, blob binary")
-    counted = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(count, "chunk bigint, shard int, blob binary")
-    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(gather, "e bigint, sig bigint, n bigint, alone bigint, own double, ell int, prefix array<bigint>, keys binary")
+    sent = docs.mapInArrow(tidied(send), "shard int, chunk bigint, blob binary")
+    counted = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidied(count), "chunk bigint, shard int, blob binary")
+    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tidied(gather), "e bigint, sig bigint, n bigint, alone bigint, own double, ell int, prefix array<bigint>, keys binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_group: int = 256) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, width: int, per_group: int = 256) -> DataFrame:
     """The pairs (a, b) that link. Each set goes once to each group of ``per_group`` partners of its leader a."""
     groups = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / per_group) + 1).cast("int").alias("groups"))
     members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.lit(1).alias("kind"), F.col("b").alias("e"))
@@ -229,7 +245,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_group: in
         for b in batches:
             found = []
             for a, kind, other, n, keys in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                k = np.frombuffer(keys, np.uint64)
+                k = _widen(keys, width)
                 if kind == 0:
                     me, mine, size = a, k, n
                 elif me == a:
@@ -241,7 +257,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, per_group: in
             yield _batch(found, ["a", "b"], [pa.int64(), pa.int64()])
 
     rows = rows.repartition("a", "g").sortWithinPartitions("a", "g", "kind")
-    return rows.mapInArrow(check, "a bigint, b bigint")
+    return rows.mapInArrow(tidied(check), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), words: int = 5, id_col: str = "doc_id", text: str = "text", verify_cost: float = 8.0) -> DataFrame:
@@ -261,7 +277,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), wor
             n = [len(s) for s in sets]
             yield from pa.table([t.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "sig"]).to_batches()
 
-    meta = scratch.save(src.mapInArrow(describe, f"doc_id {kind}, n bigint, sig bigint"), "meta")
+    meta = scratch.save(src.mapInArrow(tidied(describe), f"doc_id {kind}, n bigint, sig bigint"), "meta")
     total = meta.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = 1 << max(3, min(16, int(total / SHARD_ROWS).bit_length()))
     sets = scratch.save(_candidates(src.select("text"), shards, num, den, words, verify_cost), "sets")
@@ -280,7 +296,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), wor
     base = tokens.filter("probe = 1").select("token", "e", "n", "own")
     lead = base.groupBy("token").agg(F.min(F.struct("own", "e", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     stars = base.join(lead, "token").filter((F.col("e") != F.col("lead.e")) & fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.e").alias("a"), F.col("e").alias("b")).distinct()
-    links = scratch.save(_verify(scratch.save(stars, "stars"), sets, num, den), "links")
+    links = scratch.save(_verify(scratch.save(stars, "stars"), sets, num, den, _width(shards)), "links")
     comp = scratch.save(components(links, scratch, "c"), "comp")
     # what the first pairs of each list have left apart
     named = tokens.join(comp, F.col("e") == F.col("node"), "left").select("token", "e", "n", "ell", "at", "probe", "index", F.coalesce("root", "e").alias("comp"))
@@ -296,7 +312,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), wor
     met = met.filter(reach * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
     more = met.groupBy("e_a", "e_b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ell_a", "ell_b")).alias("need")).filter("k >= need")
     more = scratch.save(more.select(F.col("e_a").alias("a"), F.col("e_b").alias("b")), "more")
-    new = scratch.save(_verify(more, sets, num, den), "new")
+    new = scratch.save(_verify(more, sets, num, den, _width(shards)), "new")
     if new.limit(1).count():
         comp = scratch.save(components(links.unionByName(new), scratch, "d"), "comp-2")
     # components of sets, named by their smallest document

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Scratch, arrow_rows
+from .common import Scratch, arrow_rows, tidied, tidy
 
 #: Second-person words of the languages at hand.
 SECOND_PERSON = frozenset(
@@ -55,7 +55,7 @@ def keys_of(word: str) -> tuple[str, ...]:
 class _Scores(dict):
     """Word -> lexicon score, plus 1000 for a second-person word; bounded."""
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 200_000):
+    def __init__(self, lexicon: dict[str, float], limit: int = 100_000):
         self.lexicon, self.limit = lexicon, limit
 
     def __missing__(self, word: str) -> float:
@@ -237,11 +237,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, lexicon_size
         for b in batches:
             for text_, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held[1 if y else 0].update({k for w in set(_WORD.findall(text_.lower())) for k in keys_of(w)})
-            if len(held[0]) + len(held[1]) > 300_000:
+            if len(held[0]) + len(held[1]) > 200_000:
                 yield from out()
         yield from out()
 
-    counted = rows.filter("part < 9").select("text", "y").mapInArrow(count, "key string, toxic bigint, clean bigint").groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counted = rows.filter("part < 9").select("text", "y").mapInArrow(tidied(count), "key string, toxic bigint, clean bigint").groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
     best = counted.filter(F.col("t") >= least_docs).withColumn("w", weight).filter("w > 1.0").orderBy(F.desc(F.col("w") * F.sqrt("t")), "key").limit(lexicon_size)
     lexicon = {r["key"]: float(r["w"]) for r in best.select("key", "w").collect()}
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, lexicon_size
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(model.table(b.column(0).to_pylist()))), b.column(1), b.column(2)], ["x", "y", "part"])
 
-    got = rows.filter("part >= 9").select("text", "y", "part").mapInArrow(vectors, "x array<double>, y int, part bigint").toArrow()
+    got = rows.filter("part >= 9").select("text", "y", "part").mapInArrow(tidied(vectors), "x array<double>, y int, part bigint").toArrow()
     x, y, part = np.array(got["x"].to_pylist()), got["y"].to_numpy().astype(float), got["part"].to_numpy()
     order = np.lexsort((*x.T, y, part))  # the same fit however rows were dealt
     x, y, part = x[order], y[order], part[order]
@@ -266,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, lexicon_size
 
 def toxicity(df: DataFrame, model: ToxicityModel, text: Column) -> Column:
     """The score column, 0 to 1."""
-    arrow_rows(df.sparkSession)
+    arrow_rows(df.sparkSession, 256)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the lexicon's and the trees' size
 
     @arrow_udf("double")
@@ -274,5 +274,6 @@ def toxicity(df: DataFrame, model: ToxicityModel, text: Column) -> Column:
         m = shared.value
         for b in batches:
             yield pa.array(m.score(b.to_pylist()), pa.float64())
+        tidy()
 
     return score(text.cast("string"))
