@@ -11,8 +11,8 @@ corpus: shingle hashes go to shards by range, five bytes each, and only those th
 occur twice come back, so a shingle in a third of all documents is sent once per
 document and never multiplied. Equal sets are one class with one representative.
 Documents that are linked with the most central one of a posting list need no other pair of
-that list: only pairs across components that remain apart are joined, so a group of
-near copies costs pairs in proportion to its size.
+that list: only pairs across components that remain apart are joined. That spares most pairs of
+a group of near copies, not all: the README has figures.
 
 Shingles are compared by 64-bit hashes cut to 40 bits and their shard's; sets by a
 64-bit sum. Null and empty texts have no shingles and are linked with nothing; texts
