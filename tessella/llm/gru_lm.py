@@ -7,8 +7,8 @@ symbols are the most frequent words and, for all others, buckets by a word's end
 within a bucket a word has its smoothed unigram share, so every text has a proper
 probability. The state is carried across windows over the whole document.
 
-Training takes a fixed share of the training documents, so it grows with the corpus:
-replicas train on partitions from common weights and are averaged, round by round.
+Training takes all training documents, so it grows with the corpus: replicas train on
+partitions from common weights and are averaged, round by round.
 
 Null and empty texts are one end token. Words unseen in training have the base's
 smoothed share. Without training documents the base is uniform, and the network is
@@ -217,10 +217,10 @@ class GatedUnit:
     def train(self, ids: np.ndarray, rows: int = 64, window: int = 32, rate: float = 0.01, clip: float = 5.0) -> int:
         """One pass of truncated backpropagation over a stream of texts cut into ``rows`` parallel parts."""
         rows = max(1, min(rows, len(ids) // window))
-        steps = len(ids) // rows
+        steps = -(-len(ids) // rows)
         if steps < 2:
             return 0
-        y = ids[: steps * rows].reshape(rows, steps).T
+        y = np.append(ids, np.zeros(steps * rows - len(ids), ids.dtype)).reshape(rows, steps).T  # the last part ends in end tokens
         n, h = self.hidden, np.zeros((rows, self.hidden), np.float32)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -441,7 +441,7 @@ def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, share: f
     return model
 
 
-def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "text", shards: int | None = None, share: float = 1 / 16, rounds: int = 2, replica_tokens: int = 400_000, seed: int = 3) -> DataFrame:
+def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "text", shards: int | None = None, share: float = 1.0, rounds: int = 2, replica_tokens: int = 400_000, seed: int = 3) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each document; ``trains`` marks what to learn from."""
     spark = docs.sparkSession
     arrow_rows(spark, 512)

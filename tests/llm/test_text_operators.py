@@ -154,6 +154,20 @@ def test_lm_base_is_exact_and_network_beats_it(docs):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
+def test_lm_network_sees_every_training_document(docs, monkeypatch):
+    saved, save = {}, gru_lm.Scratch.save
+
+    def noted(self, df, name):
+        saved[name] = save(self, df, name)
+        return saved[name]
+
+    monkeypatch.setattr(gru_lm.Scratch, "save", noted)
+    trains = F.col("doc_id") % 10 != 0
+    gru_lm.score(docs, trains)
+    n = sum(len(words(r["text"])) + 1 for r in docs.filter(trains).collect())
+    assert saved["sequences"].count() == docs.filter(trains).count() and saved["sequences"].agg(F.sum("n")).first()[0] == n
+
+
 def test_lm_state_goes_on_across_windows():
     import numpy as np
 
