@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import storage
+from . import order, storage
 
 
 def normalise(c: Column | str) -> Column:
@@ -89,22 +89,69 @@ def lsh_edges(docs: DataFrame, group: str, pos: str, text: str = "text", perms:
     return x.join(y, [group, "band", "h"]).filter("a < b").select(group, "a", "b").distinct(), signed.filter("p > first").select(group, "p")
 
 
-def greedy_keep_first(nodes: DataFrame, edges: DataFrame, group: str, most_rounds: int = 50) -> DataFrame:
+def _decide_in_blocks(left: DataFrame, edges: DataFrame, group: str, block: int) -> DataFrame:
+    """left (group, p: the undecided) with s, decided as far as links inside blocks of consecutive documents tell.
+
+    A task reads its block's links in order and holds only the block's decisions. The first block is always decided whole.
+    """
+    placed = storage.cut(order.with_position(left, F.col(group), F.col("p"), name="at"))
+    x, y = placed.select(group, F.col("p").alias("a"), F.col("at").alias("x")), placed.select(group, F.col("p").alias("b"), F.col("at").alias("y"))
+    links = edges.join(x, [group, "a"]).join(y, [group, "b"]).select("x", "y")
+    rows = links.unionByName(placed.select(F.lit(-1).cast("bigint").alias("x"), F.col("at").alias("y")))
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, s, kept, open_ = None, 1, set(), set()
+
+        def close():
+            if s != 2:
+                (kept if s == 1 else open_).add(at)
+            return at, s
+
+        for f in frames:
+            out = []
+            for x, y in zip(f["x"].tolist(), f["y"].tolist(), strict=True):
+                if y != at:
+                    if at is not None:
+                        out.append(close())
+                        if at // block != y // block:
+                            kept, open_ = set(), set()
+                    at, s = y, 1
+                if x in kept:
+                    s = 2
+                elif s == 1 and x >= 0 and (x // block != y // block or x in open_):
+                    s = 0
+            yield pd.DataFrame(out, columns=["at", "s"], dtype="int64")
+        if at is not None:
+            yield pd.DataFrame([close()], columns=["at", "s"], dtype="int64")
+
+    told = rows.withColumn("k", F.floor(F.col("y") / block)).repartition("k").sortWithinPartitions("y", "x").select("x", "y").mapInPandas(decide, "at bigint, s bigint")
+    return placed.join(told, "at").select(group, "p", F.col("s").cast("int").alias("s"))
+
+
+def greedy_keep_first(nodes: DataFrame, edges: DataFrame, group: str, most_rounds: int = 50, block: int = 1 << 15) -> DataFrame:
     """(group, p, kept): kept iff no kept earlier neighbour, as a pass in order decides (D3).
 
     Round by round: undecided documents without undecided or kept earlier neighbours are kept,
     later neighbours of kept ones are dropped. Documents without edges are never shuffled again.
+    After ``most_rounds`` rounds each round also decides whole blocks of what is left, so chains of any length end.
     """
     linked = edges.select(group, F.col("a").alias("p")).unionByName(edges.select(group, F.col("b").alias("p"))).distinct()
     state = storage.cut(linked.withColumn("s", F.lit(0)))  # 0 undecided, 1 kept, 2 dropped
     edges = storage.cut(edges)
-    for _ in range(most_rounds):
+    rounds = 0
+    while (left := state.filter("s = 0").count()) > 0:
+        rounds += 1
+        # blocks are decided once every neighbour of a kept document is dropped
+        free = F.coalesce("u", F.lit(0)) == 0 if rounds <= most_rounds else F.lit(False)
         seen = edges.join(state.select(group, F.col("p").alias("a"), F.col("s").alias("sa")), [group, "a"])
         by = seen.groupBy(group, F.col("b").alias("p")).agg(F.max((F.col("sa") == 1).cast("int")).alias("k"), F.max((F.col("sa") == 0).cast("int")).alias("u"))
-        new = state.join(by, [group, "p"], "left").select(group, "p", F.when(F.col("s") != 0, F.col("s")).when(F.col("k") == 1, 2).when(F.coalesce("u", F.lit(0)) == 0, 1).otherwise(0).alias("s"))
+        new = state.join(by, [group, "p"], "left").select(group, "p", F.when(F.col("s") != 0, F.col("s")).when(F.col("k") == 1, 2).when(free, 1).otherwise(0).alias("s"))
         state = storage.cut(new)
-        if state.filter("s = 0").limit(1).count() == 0:
-            break
+        if rounds > most_rounds:
+            told = _decide_in_blocks(state.filter("s = 0").select(group, "p"), edges, group, block)
+            state = storage.cut(state.filter("s <> 0").unionByName(told))
+        if state.filter("s = 0").count() >= left:
+            raise RuntimeError(f"{left} documents stay undecided: an edge must join an earlier document to a later one")
     return nodes.join(state, [group, "p"], "left").select(group, "p", (F.coalesce("s", F.lit(1)) == 1).alias("kept"))
 
 

@@ -44,6 +44,25 @@ def test_greedy_is_the_sequential_pass(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [16, 1 << 15])
+def test_greedy_decides_long_chains(spark, block):
+    """Each version links to the next only; two groups, and a link across blocks."""
+    rows = [(g, i, i + 1) for g, n in (("c", 200), ("d", 33)) for i in range(n - 1)] + [("c", 0, 150)]
+    nodes = spark.createDataFrame([("c", i) for i in range(200)] + [("d", i) for i in range(33)], "g string, p bigint")
+    before = {(g, b): {a for k, a, c in rows if (k, c) == (g, b)} for g, b in ((r["g"], r["p"]) for r in nodes.collect())}
+    want = {}
+    for g, b in sorted(before):
+        want[g, b] = not any(want[g, a] for a in before[g, b])
+    got = clean.greedy_keep_first(nodes, spark.createDataFrame(rows, "g string, a bigint, b bigint"), "g", most_rounds=2, block=block)
+    assert {(r["g"], r["p"]): r["kept"] for r in got.collect()} == want
+
+
+def test_greedy_raises_rather_than_drops(spark):
+    nodes = spark.createDataFrame([("c", 1), ("c", 2)], "g string, p bigint")
+    with pytest.raises(RuntimeError, match="undecided"):
+        clean.greedy_keep_first(nodes, spark.createDataFrame([("c", 1, 2), ("c", 2, 1)], "g string, a bigint, b bigint"), "g").count()
+
+
 def test_contamination_and_stages(spark):
     evals = spark.createDataFrame([("e", "評価用の特別な文章がここにあります")], "id string, text string")
     docs = spark.createDataFrame([("c", 0, "評価用の特別な文章がここにあります" * 1), ("c", 1, BASE), ("c", 2, "短い"), ("c", 3, "1234567890" * 10), ("c", 4, BASE)], "corpus string, pos bigint, text string")
