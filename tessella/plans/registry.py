@@ -316,6 +316,15 @@ def d4_d5_d6_sequential_duplicates(spark, sf):
     return prefs.degenerate_filters(d).select("pos", "reject")
 
 
+@add()
+def d4_d5_d6_sequential_duplicates_all(spark, sf):
+    """The pass over all rows; a recursive CTE takes too long there, so there is no SQL."""
+    d = order.with_position(t(spark, sf, "lineitem"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    words = F.concat(F.lit("a long enough response number "), (F.col("l_quantity") % 5).cast("string"))
+    d = d.select((F.col("pos") + 1).alias("pos"), (F.col("l_suppkey") % 7).cast("string").alias("prompt"), words.alias("response"), F.lit("keyword").alias("category"), (F.col("l_linenumber") % 3).cast("string").alias("constraint_detail"))
+    return prefs.degenerate_filters(d).select("pos", "reject")
+
+
 # --- joins -----------------------------------------------------------------------
 
 
@@ -381,6 +390,14 @@ def e6_e8_j8_paired(spark, sf):
     return scoring.compare_to_base(r, "m0").select("model", "n", "delta", "b", "c")
 
 
+@add()
+def e6_e8_j8_paired_all(spark, sf):
+    """All items, with McNemar's p."""
+    e = t(spark, sf, "events").select(F.col("event_id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("m"))
+    r = e.select(F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), "id", ((F.col("id") * (F.col("m") + 3)) % 7 < 4).alias("correct"))
+    return scoring.compare_to_base(r, "m0").select("model", "n", "delta", "b", "c", "p")
+
+
 @add("SELECT event_type, exp(sum(value * (user_id % 50)) / sum(user_id % 50) / 100) AS perplexity FROM events WHERE user_id % 50 >= 1 GROUP BY 1")
 def a22_perplexity(spark, sf):
     e = t(spark, sf, "events").withColumns({"loss": F.col("value") / 100, "n_tokens": F.col("user_id") % 50 + 1}).filter("n_tokens >= 2")

@@ -230,6 +230,44 @@ def test_stream_resumes_by_key(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "3"]
 
 
+def test_mcnemar_of_many_pairs(spark):
+    from fractions import Fraction
+
+    df = spark.createDataFrame([(1000, 1000), (1150, 1250), (900, 1500), (20_000, 20_300)], "b bigint, c bigint")
+    for r in df.select("b", "c", scoring.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect():
+        n, k, t, s = r["b"] + r["c"], min(r["b"], r["c"]), 1, 0
+        for i in range(k + 1):
+            s, t = s + t, t * (n - i) // (i + 1)
+        want = min(1.0, float(Fraction(2 * s, 2**n)))
+        assert abs(r["p"] - want) <= 1e-9 * want, r
+
+
+def test_paired_and_duplicates_take_all_rows(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    n = 1400
+    spark.range(n).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    lines = [(k, j, k * 7 + j, k * 13 % 29 + j, float(k * j % 11)) for k in range(1, 401) for j in range(1, 4)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    right = lambda i, m: i * (m + 3) % 7 < 4
+    got = {r["model"]: r for r in entry.queries()["e6_e8_j8_paired_all"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["m1", "m2"]
+    for m in (1, 2):
+        b, c = (sum(right(i, 0) is x and right(i, m) is not x for i in range(n)) for x in (True, False))
+        r = got[f"m{m}"]
+        want = min(1.0, 2 * sum(math.comb(b + c, i) for i in range(min(b, c) + 1)) / 2 ** (b + c))
+        assert (r["n"], r["b"], r["c"]) == (n, b, c) and abs(r["delta"] - (c - b) / n) < 1e-12 and abs(r["p"] - want) <= 1e-9 * want
+    first, second, want = set(), set(), {}
+    for i, (_, j, _, s, q) in enumerate(sorted(lines), 1):
+        p, d = (q % 5, s % 7), (q % 5, j % 3)
+        want[i] = "prompt_response_dup" if p in first else "category_detail_dup" if d in second else None
+        if want[i] is None:
+            first.add(p)
+            second.add(d)
+    got = {r["pos"]: r["reject"] for r in entry.queries()["d4_d5_d6_sequential_duplicates_all"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_registered_queries_equal_oracle(spark):
     """A few registered queries against DuckDB on the smallest tables, if they are there."""
     import glob
