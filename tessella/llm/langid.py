@@ -197,9 +197,13 @@ class KneserNey:
         self.sharp = best[1]
         for k in range(len(self.langs)):
             if (own := lang == k).any():
-                x = xent[own, k]
-                self.mean[k] = np.average(x, weights=size[own])
-                self.limit[k] = slack * max(0.0, np.max((x - self.mean[k]) * np.sqrt(size[own])))
+                x, n = xent[own, k], size[own]
+                s = (x - np.average(x, weights=n)) * np.sqrt(n)
+                low, high = np.quantile(s, (0.25, 0.75))
+                usual = s <= high + 3 * (high - low)  # a text far out, of no or another language, sets no limit
+                x, n = x[usual], n[usual]
+                self.mean[k] = np.average(x, weights=n)
+                self.limit[k] = slack * max(0.0, np.max((x - self.mean[k]) * np.sqrt(n)))
 
     def predict(self, texts: list[str | None], least_gap: float = 1.2) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, rejected, cross-entropy of the language) of each text."""

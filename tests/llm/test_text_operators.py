@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,18 @@ def test_language_is_found_on_held_out_texts(docs):
     assert not any(r["rejected"] for r in held) and all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_language_rejects_gibberish_despite_an_odd_calibration_text(docs, spark):
+    rng = random.Random(9)
+    junk = lambda n: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(n))
+    odd = spark.createDataFrame([(junk(40),) for _ in range(80)], "text string").filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(10)) == 0).limit(1).select("text", F.explode(F.array(*map(F.lit, ("en", "de", "fr")))).alias("lang"))
+    learn = docs.filter("doc_id % 4 <> 2 and doc_id < 240").select("text", "lang")
+    model = langid.train(learn.unionByName(spark.createDataFrame(odd.collect(), "text string, lang string")))
+    asked = [junk(10), junk(30), "hyvää huomenta kaikille, tänään aurinko paistaa ja linnut laulavat metsässä joka puolella järveä"]
+    assert all(model.predict(asked)[2])
+    held = [r["text"] for r in docs.filter("doc_id % 4 = 2 and doc_id < 240").collect()]
+    assert not any(model.predict(held)[2])
+
+
 def test_language_probabilities_sum_to_one(docs):
     import numpy as np
 
