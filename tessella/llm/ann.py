@@ -124,7 +124,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, projections: int
             id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that ``is_query`` marks, nearest first."""
     spark = vectors.sparkSession
-    arrow_rows(spark, 2048)
+    arrow_rows(spark)
     scratch = Scratch(spark, "ann")
     if shard_rows > 60_000:
         raise ValueError("places in a shard are 16-bit numbers")

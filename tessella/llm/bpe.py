@@ -203,7 +203,7 @@ def bpe_tokenize(docs: DataFrame, codec: BpeCodec, id_col: str = "doc_id", text_
     decode to. A narrow transformation: nothing is shuffled.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 256)
+    arrow_rows(spark)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     shared = spark.sparkContext.broadcast(codec)  # the vocabulary: of fixed size, whatever the input
     kind = src.schema["doc_id"].dataType.simpleString()

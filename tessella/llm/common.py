@@ -7,8 +7,11 @@ lost executor costs a recomputation of tasks, never a missing file.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,11 +27,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The shared scratch folder: spark.checkpoint.dir; where that is unset, one of our own in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessella-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     return base.rstrip("/")
@@ -55,9 +61,12 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 1024) -> None:
-    """Small Arrow batches: whole texts may be long, and Python workers share the executor's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_rows(spark: SparkSession) -> None:
+    """Small Arrow batches: whole texts may be long, and Python workers share the executor's memory.
+
+    One size for all operators, as a plan reads the setting when it runs, not when it is built.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
 
 def tidy() -> None:
@@ -97,19 +106,24 @@ def spread(df: DataFrame, per_row_bytes: int = 0) -> DataFrame:
     return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, 12))
 
 
-def chunks(batches: Iterator, column: str, max_bytes: int) -> Iterator:
-    """Joins Arrow batches until ``column`` holds about ``max_bytes``; memory stays bounded."""
-    held, size = [], 0
+def chunks(batches: Iterator, column: str, max_bytes: int, max_rows: int = 1 << 30) -> Iterator:
+    """Joins Arrow batches until ``column`` holds about ``max_bytes`` or ``max_rows`` are there; memory stays bounded."""
+    held, size, rows = [], 0, 0
     for b in batches:
         # a batch may itself be large: cut it
         step = max(1, int(b.num_rows * min(1.0, max_bytes / max(1, b.column(b.schema.get_field_index(column)).nbytes))))
+        step = min(step, max(1, max_rows // 4))
         for at in range(0, b.num_rows, step):
             part = b.slice(at, step)
+            if rows + part.num_rows > max_rows:
+                yield pa.Table.from_batches(held)
+                held, size, rows = [], 0, 0
             held.append(part)
             size += part.nbytes
+            rows += part.num_rows
             if size >= max_bytes:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 

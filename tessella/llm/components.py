@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, tag: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, tag: str, most_rounds: int = 100) -> DataFrame:
     """(node, root) of each node of ``edges`` (bigint a, b): the root is the smallest node reachable.
 
     Each round joins every edge with the smallest neighbour of one end, so work follows the number
-    of edges; no component is gathered in one task. Rounds grow with the logarithm of the longest path.
+    of edges; no component is gathered in one task. Rounds grow with the logarithm of the longest path;
+    labels that have not settled after ``most_rounds`` raise.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     e = scratch.save(edges.filter("a <> b").select(high.alias("u"), low.alias("v")).distinct(), f"{tag}-0")
@@ -32,4 +33,6 @@ def components(edges: DataFrame, scratch: Scratch, tag: str, most_rounds: int =
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -105,7 +105,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 10, per_bucket: int = 8, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 1) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    arrow_rows(spark, 2048)
+    arrow_rows(spark)
     scratch = Scratch(spark, "vectors")
     vec = F.col(vec_col).cast("array<double>")
     src = vectors.select(F.col(id_col).alias("vec_id"), F.when(usable(F.col(vec_col)), vec).alias("v"))

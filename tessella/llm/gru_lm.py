@@ -444,7 +444,7 @@ def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, share: f
 def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "text", shards: int | None = None, share: float = 1.0, rounds: int = 2, replica_tokens: int = 400_000, seed: int = 3) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each document; ``trains`` marks what to learn from."""
     spark = docs.sparkSession
-    arrow_rows(spark, 512)
+    arrow_rows(spark)
     scratch = Scratch(spark, "lm")
     src = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
     learn = src.filter("trains")

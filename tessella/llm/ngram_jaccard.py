@@ -11,13 +11,15 @@ corpus: shingle hashes go to shards by range, five bytes each, and only those th
 occur twice come back, so a shingle in a third of all documents is sent once per
 document and never multiplied. Equal sets are one class with one representative.
 Documents that are linked with the most central one of a posting list need no other pair of
-that list: only pairs across components that remain apart are joined. That spares most pairs of
-a group of near copies, not all: the README has figures.
+that list: only pairs across components that remain apart are compared. Before a pair leaves that
+comparison, a bound on its overlap must allow a link: shingles that only one set has, and
+the differing bits of two parity sketches, differ for certain. The bound loses no link.
 
 Shingles are compared by 64-bit hashes cut to 40 bits and their shard's; sets by a
 64-bit sum. Null and empty texts have no shingles and are linked with nothing; texts
 with fewer words than a shingle are one shingle. Rows with one id are rows of their
-own, whose component is named by that id. Extra columns are ignored.
+own, whose component is named by that id. Extra columns are ignored. A chunk holds one text at
+least, so memory follows the longest text: about 60 bytes for each byte of it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_rows, binary_values, chunks, mix64, tidied, word_hashes
@@ -35,9 +37,11 @@ from .components import components
 
 _U = np.uint64
 _Q = mix64(np.arange(101, 117, dtype=np.uint64))
-#: Text in one chunk; documents in it are numbered with 16 bits.
-CHUNK_BYTES = 1_500_000
+#: Text and rows in one chunk; documents in it are numbered with 16 bits.
+CHUNK_BYTES, CHUNK_ROWS = 1_500_000, 60_000
 LOCAL_BITS = 20
+#: 64-bit words of a set's parity sketch.
+SKETCH = 16
 #: Shingles that one shard takes, about.
 SHARD_ROWS = 2_000_000
 LONGEST = 6
@@ -72,7 +76,7 @@ def signature(s: np.ndarray) -> int:
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, list[np.ndarray]]]:
     task = TaskContext.get()
     part = task.partitionId() if task else 0
-    for i, t in enumerate(chunks(batches, "text", CHUNK_BYTES)):
+    for i, t in enumerate(chunks(batches, "text", CHUNK_BYTES, CHUNK_ROWS)):
         yield (part << 20) | i, t, shingle_sets(*binary_values(t.column("text")))
 
 
@@ -104,6 +108,23 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield key, held
 
 
+def _runs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, lengths) of the runs of equal rows in rising 16-bit numbers, in runs of at most 255."""
+    start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    n = np.diff(np.append(start, len(row)))
+    parts = -(-n // 255)
+    last = np.cumsum(parts) - 1
+    size = np.full(int(parts.sum()), 255, np.uint8)
+    size[last] = n - 255 * (parts - 1)
+    return np.repeat(row[start], parts).astype(np.uint16), size
+
+
+def _sketch(keys: np.ndarray) -> list[int]:
+    """For each of 64 * SKETCH bits, whether an odd number of the keys falls on it."""
+    odd = np.bincount((mix64(keys) >> _U(20)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _narrow(k: np.ndarray, width: int) -> bytes:
     """Hashes in as many bytes as they have."""
     return np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
@@ -144,7 +165,7 @@ def _prefix(n: int, keys: np.ndarray, df: np.ndarray, need: int, verify_cost: fl
 
 
 def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, verify_cost: float) -> DataFrame:
-    """Sets that may have a partner: e, sig, n, alone (its own shingles), own (mean of 1 / frequency), ell, prefix (repeated ones, rare first), keys (all repeated ones)."""
+    """Sets that may have a partner: e, sig, n, alone (its own shingles), own (mean of 1 / frequency), ell, prefix (repeated ones, rare first), bits (their sketch), keys (all repeated ones)."""
     bits = (shards - 1).bit_length()
     low, width = _U((1 << 40) - 1), _width(shards)
 
@@ -160,7 +181,7 @@ def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, ve
             size = np.array([len(sets[i]) for i in kept], np.uint32)
             yield _batch([(-1 - (uid % 61), uid, _pack(np.array(list(sigs), np.int64), size))], ["shard", "chunk", "blob"], [pa.int32(), pa.int64(), pa.binary()])
             flat, row = np.concatenate([sets[i] for i in kept]), np.repeat(np.arange(len(kept)), size)
-            shard = (flat >> _U(64 - bits)).astype(np.uint16) if bits else np.zeros(len(flat), np.uint16)
+            shard = (flat >> _U(64 - bits)).astype(np.uint32) if bits else np.zeros(len(flat), np.uint32)
             order = np.argsort(shard, kind="stable")
             cut = np.searchsorted(shard[order], np.arange(shards + 1))
             rows = []
@@ -168,7 +189,7 @@ def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, ve
                 at = order[cut[s] : cut[s + 1]]
                 if len(at):
                     key = (flat[at] >> _U(24 - bits)) & low  # the 40 bits after the shard's: rising within a set
-                    rows.append((s, uid, _pack(np.bincount(row[at], minlength=len(kept)).astype(np.uint16), (key & _U(0xFFFFFFFF)).astype(np.uint32), (key >> _U(32)).astype(np.uint8))))
+                    rows.append((s, uid, _pack(*_runs(row[at]), (key & _U(0xFFFFFFFF)).astype(np.uint32), (key >> _U(32)).astype(np.uint8))))
             yield _batch(rows, ["shard", "chunk", "blob"], [pa.int32(), pa.int64(), pa.binary()])
 
     def count(batches):
@@ -176,8 +197,8 @@ def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, ve
             if shard < 0:  # what each chunk holds passes through
                 yield _batch([(c, -1, blob) for c, blob in rows], ["chunk", "shard", "blob"], [pa.int64(), pa.int32(), pa.binary()])
                 continue
-            parts = [_unpack(blob, "u2 u4 u1") for _, blob in rows]
-            key = np.concatenate([lo.astype(np.uint64) | (hi.astype(np.uint64) << _U(32)) for _, lo, hi in parts])
+            parts = [_unpack(blob, "u2 u1 u4 u1") for _, blob in rows]
+            key = np.concatenate([lo.astype(np.uint64) | (hi.astype(np.uint64) << _U(32)) for _, _, lo, hi in parts])
             order = np.argsort(key)
             k = key[order]
             new = np.ones(len(k), bool)
@@ -186,16 +207,15 @@ def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, ve
             df = np.empty(len(k), np.uint16)
             df[order] = np.repeat(np.minimum(np.diff(np.append(start, len(k))), 65535), np.diff(np.append(start, len(k))))
             at = 0
-            for (chunk, _), (sizes, lo, hi) in zip(rows, parts, strict=True):
+            for (chunk, _), (docs_, sizes, lo, hi) in zip(rows, parts, strict=True):
                 d = df[at : at + len(lo)]
                 at += len(lo)
                 many = d > 1
                 if many.any():
-                    row = np.repeat(np.arange(len(sizes)), sizes)[many]
-                    yield _batch([(chunk, shard, _pack(np.bincount(row, minlength=len(sizes)).astype(np.uint16), lo[many], hi[many], d[many]))], ["chunk", "shard", "blob"], [pa.int64(), pa.int32(), pa.binary()])
+                    yield _batch([(chunk, shard, _pack(*_runs(np.repeat(docs_, sizes)[many]), lo[many], hi[many], d[many]))], ["chunk", "shard", "blob"], [pa.int64(), pa.int32(), pa.binary()])
 
-    names = ["e", "sig", "n", "alone", "own", "ell", "prefix", "keys"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+    names = ["e", "sig", "n", "alone", "own", "ell", "prefix", "bits", "keys"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
     def gather(batches):
         for chunk, rows in _grouped(batches):
@@ -205,8 +225,8 @@ def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, ve
             sigs, sizes = _unpack(rows[0][1], "i8 u4")
             row, key, df = [], [], []
             for shard, blob in rows[1:]:
-                per, lo, hi, d = _unpack(blob, "u2 u4 u1 u2")
-                row.append(np.repeat(np.arange(len(per)), per))
+                docs_, per, lo, hi, d = _unpack(blob, "u2 u1 u4 u1 u2")
+                row.append(np.repeat(docs_, per))
                 key.append((_U(shard) << _U(40)) | lo.astype(np.uint64) | (hi.astype(np.uint64) << _U(32)))
                 df.append(d)
             row, key, df = np.concatenate(row), np.concatenate(key), np.concatenate(df)
@@ -221,7 +241,7 @@ def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, ve
                 k = key[at]  # rising: shards come in order, and hashes rise within each
                 ell, prefix = _prefix(n, k, df[at], need, verify_cost)
                 if len(prefix):
-                    out.append(((chunk << LOCAL_BITS) | i, int(sigs[i]), n, n - len(at), (n - len(at) + float((1.0 / df[at]).sum())) / n, ell, prefix.astype(np.int64), _narrow(k, width)))
+                    out.append(((chunk << LOCAL_BITS) | i, int(sigs[i]), n, n - len(at), (n - len(at) + float((1.0 / df[at]).sum())) / n, ell, prefix.astype(np.int64), _sketch(k), _narrow(k, width)))
                 if len(out) >= 256:
                     yield _batch(out, names, types)
                     out = []
@@ -230,7 +250,7 @@ def _candidates(docs: DataFrame, shards: int, num: int, den: int, words: int, ve
 
     sent = docs.mapInArrow(tidied(send), "shard int, chunk bigint, blob binary")
     counted = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidied(count), "chunk bigint, shard int, blob binary")
-    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tidied(gather), "e bigint, sig bigint, n bigint, alone bigint, own double, ell int, prefix array<bigint>, keys binary")
+    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tidied(gather), "e bigint, sig bigint, n bigint, alone bigint, own double, ell int, prefix array<bigint>, bits array<bigint>, keys binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, width: int, per_group: int = 256) -> DataFrame:
@@ -260,6 +280,22 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, width: int, p
     return rows.mapInArrow(tidied(check), "a bigint, b bigint")
 
 
+def _may_link(num: int, den: int) -> Column:
+    """Whether sets _a and _b that meet at a shingle are a pair to count, and bounds on their overlap allow a link."""
+    n = F.col("n_a") + F.col("n_b")
+    smaller = F.struct("n_a", "e_a") < F.struct("n_b", "e_b")
+    index, probe = F.when(smaller, F.col("index_a")).otherwise(F.col("index_b")), F.when(smaller, F.col("probe_b")).otherwise(F.col("probe_a"))
+    met = (F.col("comp_a") != F.col("comp_b")) & (~F.col("apart_b") | (F.col("e_a") < F.col("e_b")))  # two sets apart meet once
+    met &= (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num) & (F.greatest(index, probe) <= F.least("ell_a", "ell_b"))
+    # shingles before the place, at most, and those behind it must reach the overlap asked for
+    reach = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    met &= reach * (num + den) >= n * num
+    differ = F.col("alone_a") + F.col("alone_b")
+    for i in range(SKETCH):
+        differ += F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i]))
+    return met & (differ * (num + den) <= n * (den - num))
+
+
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), words: int = 5, id_col: str = "doc_id", text: str = "text", verify_cost: float = 8.0) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -267,7 +303,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), wor
     """
     num, den = threshold
     spark = docs.sparkSession
-    arrow_rows(spark, 256)
+    arrow_rows(spark)
     scratch = Scratch(spark, "jaccard")
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -279,11 +315,11 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), wor
 
     meta = scratch.save(src.mapInArrow(tidied(describe), f"doc_id {kind}, n bigint, sig bigint"), "meta")
     total = meta.agg(F.sum("n").alias("n")).first()["n"] or 0
-    shards = 1 << max(3, min(16, int(total / SHARD_ROWS).bit_length()))
+    shards = 1 << max(3, min(20, int(total / SHARD_ROWS).bit_length()))
     sets = scratch.save(_candidates(src.select("text"), shards, num, den, words, verify_cost), "sets")
     # one representative of each class of equal sets
     first = sets.groupBy("sig").agg(F.min("e").alias("e"))
-    reps = scratch.save(sets.select("e", "sig", "n", "alone", "own", "ell", "prefix").join(first.select("e"), "e", "left_semi"), "reps")
+    reps = scratch.save(sets.select("e", "sig", "n", "alone", "own", "ell", "prefix", "bits").join(first.select("e"), "e", "left_semi"), "reps")
     # where each shingle stands, and from which l on it is in the prefix: against smaller sets, and against larger ones,
     # which share more of this one
     place = F.col("alone") + F.col("i")
@@ -298,26 +334,25 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), wor
     stars = base.join(lead, "token").filter((F.col("e") != F.col("lead.e")) & fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.e").alias("a"), F.col("e").alias("b")).distinct()
     links = scratch.save(_verify(scratch.save(stars, "stars"), sets, num, den, _width(shards)), "links")
     comp = scratch.save(components(links, scratch, "c"), "comp")
-    # what the first pairs of each list have left apart
+    # what the first pairs of each list have left apart: sets outside a list's largest component, against all others of the list
     named = tokens.join(comp, F.col("e") == F.col("node"), "left").select("token", "e", "n", "ell", "at", "probe", "index", F.coalesce("root", "e").alias("comp"))
-    open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("index") - F.col("ell")).alias("first")).filter("lo < hi and first <= 0").select("token")
-    named = scratch.save(named.join(open_, "token", "left_semi"), "open")
-    small, large = (x.select("token", *(F.col(c).alias(f"{c}_{tag}") for c in ("comp", "e", "n", "ell", "at", "probe", "index"))) for x, tag in ((named.filter("index <= ell"), "a"), (named, "b")))
-    per = lambda x, t: x.groupBy("token", f"comp_{t}").agg(F.min(f"n_{t}").alias(f"lo_{t}"), F.max(f"n_{t}").alias(f"hi_{t}"))
-    across = per(small, "a").join(per(large, "b"), "token").filter("comp_a <> comp_b and hi_b >= lo_a").filter(F.col("hi_a") * den >= F.col("lo_b") * num).select("token", "comp_a", "comp_b")
-    met = across.join(small, ["token", "comp_a"]).join(large, ["token", "comp_b"])
-    met = met.filter((F.struct("n_a", "e_a") < F.struct("n_b", "e_b")) & (F.col("n_a") * den >= F.col("n_b") * num) & (F.greatest("index_a", "probe_b") <= F.least("ell_a", "ell_b")))
-    # shingles before the place, at most, and those behind it must reach the overlap asked for
-    reach = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    met = met.filter(reach * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
+    held = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("index") - F.col("ell")).alias("first"))
+    open_ = held.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("k"), F.min("first").alias("first")).filter("k > 1 and first <= 0").select("token", "most")
+    named = named.join(open_, "token").withColumn("apart", F.col("comp") != F.col("most")).drop("most")
+    named = scratch.save(named.join(reps.select("e", "alone", "bits"), "e"), "open")
+    left, right = (x.select("token", *(F.col(c).alias(f"{c}_{tag}") for c in named.columns if c != "token")) for x, tag in ((named.filter("apart"), "a"), (named, "b")))
+    met = left.join(right, (left["token"] == right["token"]) & _may_link(num, den))
+    met = met.select(F.least("e_a", "e_b").alias("e_a"), F.greatest("e_a", "e_b").alias("e_b"), "ell_a", "ell_b")
     more = met.groupBy("e_a", "e_b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ell_a", "ell_b")).alias("need")).filter("k >= need")
     more = scratch.save(more.select(F.col("e_a").alias("a"), F.col("e_b").alias("b")), "more")
     new = scratch.save(_verify(more, sets, num, den, _width(shards)), "new")
     if new.limit(1).count():
         comp = scratch.save(components(links.unionByName(new), scratch, "d"), "comp-2")
     # components of sets, named by their smallest document
-    of_set = meta.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
+    whole = meta.filter("sig is not null")
+    of_set = whole.groupBy("sig").agg(F.min("doc_id").alias("id"))
     linked = reps.select("e", "sig").join(comp, F.col("e") == F.col("node")).select("sig", "root").join(of_set, "sig")
     label = linked.groupBy("root").agg(F.min("id").alias("label"))
     names = scratch.save(of_set.join(linked.join(label, "root").select("sig", "label"), "sig", "left").select("sig", F.coalesce("label", "id").alias("label")), "names")
-    return meta.join(names, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    out = whole.join(names, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    return out.unionByName(meta.filter("sig is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
