@@ -67,6 +67,7 @@ def arrow_rows(spark: SparkSession) -> None:
     One size for all operators, as a plan reads the setting when it runs, not when it is built.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")  # 4096 whole texts are arrays of many MB in the executor's heap
 
 
 def tidy() -> None:

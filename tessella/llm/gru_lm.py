@@ -7,8 +7,9 @@ symbols are the most frequent words and, for all others, buckets by a word's end
 within a bucket a word has its smoothed unigram share, so every text has a proper
 probability. The state is carried across windows over the whole document.
 
-Training takes all training documents, so it grows with the corpus: replicas train on
-partitions from common weights and are averaged, round by round.
+Training is one pass over all training documents, so it grows with the corpus. They are dealt
+into a few rounds; in each, replicas train on parts of the round's documents from common weights, which
+are then averaged.
 
 Null and empty texts are one end token. Words unseen in training have the base's
 smoothed share. Without training documents the base is uniform, and the network is
@@ -214,7 +215,7 @@ class GatedUnit:
             at += steps
         return out
 
-    def train(self, ids: np.ndarray, rows: int = 64, window: int = 32, rate: float = 0.01, clip: float = 5.0) -> int:
+    def train(self, ids: np.ndarray, rows: int = 256, window: int = 32, rate: float = 0.02, clip: float = 5.0) -> int:
         """One pass of truncated backpropagation over a stream of texts cut into ``rows`` parallel parts."""
         rows = max(1, min(rows, len(ids) // window))
         steps = -(-len(ids) // rows)
@@ -251,7 +252,10 @@ class GatedUnit:
             dx = flat @ self.p["wx"].T
             g["wx"] = self.p["e"][xt.ravel()].T @ flat
             g["e"] = np.zeros_like(self.p["e"])
-            np.add.at(g["e"], xt.ravel(), dx)
+            by = np.argsort(xt, axis=None, kind="stable")
+            used = xt.ravel()[by]
+            start = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
+            g["e"][used[start]] = np.add.reduceat(dx[by], start, axis=0)
             h = states[-1]
             updates += 1
             scale = 1.0 / yt.size
@@ -287,6 +291,15 @@ def _shard_rows(shards: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(s[order], np.arange(shards + 1))
 
 
+def _level(c: np.ndarray) -> np.ndarray:
+    """Counts in steps: each its own up to 4095, then of about a hundredth. So levels are few, and no step holds many frequent words."""
+    high = 4096 + np.floor(64 * np.log2(np.maximum(c, 4096) / 4096.0)).astype(np.int64)
+    return np.where(c < 4096, c, high)
+
+
+LEVELS = 4096 + 64 * 52
+
+
 def count_tokens(docs: DataFrame, scratch: Scratch, shards: int, held_tokens: int = 3_000_000) -> DataFrame:
     """(shard, blob, hist, tokens, words): the counts of all words of column ``text``, in shards by hash.
 
@@ -331,7 +344,7 @@ def count_tokens(docs: DataFrame, scratch: Scratch, shards: int, held_tokens: in
 
         def row(shard, parts):
             blob, c, u = out(shard, parts)
-            few = np.bincount(np.minimum(c, 65535), minlength=65536)  # how many words have each count
+            few = np.bincount(_level(c), minlength=LEVELS)  # how many words have each count
             at = np.flatnonzero(few)
             by = np.column_stack([np.bincount(u, c, BUCKETS), np.bincount(u, minlength=BUCKETS)]).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), pa.array([_pack(at.astype(np.int64), few[at].astype(np.int64))], pa.binary()), pa.array([by.tobytes()], pa.binary()), pa.array([int(c.sum())], pa.int64()), pa.array([len(c)], pa.int64())], ["shard", "blob", "hist", "buckets", "tokens", "words"])
@@ -352,21 +365,20 @@ def count_tokens(docs: DataFrame, scratch: Scratch, shards: int, held_tokens: in
 
 def learn_vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     """The most frequent words, all of those with the least count that keeps them under TOP, and sums over all words."""
-    few, by, n, v = np.zeros(65536, np.int64), np.zeros((BUCKETS, 2), np.int64), 0, 0
+    few, by, n, v = np.zeros(LEVELS, np.int64), np.zeros((BUCKETS, 2), np.int64), 0, 0
     for r in counts.select("hist", "buckets", "tokens", "words").toLocalIterator():  # a row a shard, of bounded size
         at, k = _unpack(r["hist"], "i8 i8")
         few[at] += k
         by += np.frombuffer(r["buckets"], np.int64).reshape(BUCKETS, 2)
         n, v = n + r["tokens"], v + r["words"]
     above = np.cumsum(few[::-1])[::-1]
-    ok = np.flatnonzero(above <= TOP)
-    least = int(ok[0]) if len(ok) else 65535
+    least = int(np.flatnonzero(np.append(above, 0) <= TOP)[0])  # words with a TOP-th of all tokens each are TOP at most
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(0).to_pylist():
                 h, c, u = _unpack(blob, "u8 i8 u1")
-                k = c >= least
+                k = _level(c) >= least
                 yield pa.RecordBatch.from_arrays([pa.array([_pack(h[k], c[k], u[k])], pa.binary())], ["blob"])
 
     parts = [_unpack(r["blob"], "u8 i8 u1") for r in counts.select("blob").mapInArrow(tidied(frequent), "blob binary").toLocalIterator()]
@@ -374,8 +386,8 @@ def learn_vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     return Vocabulary(h, c, u, n + ends, v + (ends > 0), ends, by)
 
 
-def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, share: float, rounds: int, replica_tokens: int, seed: int) -> GatedUnit:
-    """Weights averaged over replicas, each trained on its part of ``share`` of the documents, ``rounds`` times."""
+def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, rounds: int, replica_tokens: int, seed: int) -> GatedUnit:
+    """One pass over all documents in ``rounds`` parts: weights averaged over replicas, each trained on some of the round's documents."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)  # at most TOP words
 
@@ -385,19 +397,18 @@ def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, share: f
             s, _, _, _, row = shared.value.symbols(raw, offs)
             cut = np.searchsorted(row, np.arange(t.num_rows + 1))
             seqs = [np.append(s[cut[i] : cut[i + 1]], 0).astype(np.int16) for i in range(t.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in seqs], pa.int64()), pa.array([x.tobytes() for x in seqs], pa.binary())], ["n", "seq"])
+            yield pa.RecordBatch.from_arrays([t.column("part").combine_chunks(), pa.array([len(x) for x in seqs], pa.int64()), pa.array([x.tobytes() for x in seqs], pa.binary())], ["part", "n", "seq"])
 
-    picked = docs.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) < int(share * 1_000_003))
-    seqs = scratch.save(picked.select("id", "text").select("text").mapInArrow(tidied(encode), "n bigint, seq binary"), "sequences")
+    dealt = docs.select(F.pmod(F.xxhash64("id", F.length("text"), F.lit(seed)), F.lit(rounds)).alias("part"), "text")
+    seqs = scratch.save(dealt.mapInArrow(tidied(encode), "part bigint, n bigint, seq binary"), "sequences")
     total = seqs.agg(F.sum("n").alias("n")).first()["n"] or 0
     model = GatedUnit(vocab.counts)
     if not total:
         return model
-    replicas = max(1, round(total / replica_tokens))
-    seqs = scratch.save(seqs.repartition(replicas), "replicas") if replicas > 1 else seqs.coalesce(1)
+    replicas = max(1, round(total / rounds / replica_tokens))
     for k in range(rounds):
         weights = spark.sparkContext.broadcast(model.flat())
-        rate = 0.01 / (1 + k)
+        rate = 0.02 / (1 + k) ** 0.5
 
         def fit(batches: Iterator[pa.RecordBatch], weights=weights, rate=rate) -> Iterator[pa.RecordBatch]:
             m, held, size, sums, done = GatedUnit(shared.value.counts), [], 0, None, 0
@@ -430,7 +441,8 @@ def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, share: f
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["n", "w"])
 
-        got = seqs.select("seq").mapInArrow(tidied(fit), "n bigint, w binary")
+        mine = seqs.filter(F.col("part") == k).select("seq")
+        got = (mine.repartition(replicas) if replicas > 1 else mine.coalesce(1)).mapInArrow(tidied(fit), "n bigint, w binary")
         if replicas > 16:  # sums meet in a few tasks first
             got = got.repartition(max(1, int(replicas**0.5))).mapInArrow(tidied(average), "n bigint, w binary")
         n, w = 0, 0.0
@@ -441,7 +453,7 @@ def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, share: f
     return model
 
 
-def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "text", shards: int | None = None, share: float = 1.0, rounds: int = 2, replica_tokens: int = 400_000, seed: int = 3) -> DataFrame:
+def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "text", shards: int | None = None, rounds: int = 4, replica_tokens: int = 600_000, seed: int = 3) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each document; ``trains`` marks what to learn from."""
     spark = docs.sparkSession
     arrow_rows(spark)
@@ -452,7 +464,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "
     shards = shards or 1 << max(4, min(16, (ends >> 14).bit_length()))  # a shard's words stay as many as the corpus grows
     counts = count_tokens(learn, scratch, shards)
     vocab = learn_vocabulary(counts, ends)
-    model = train_network(learn, vocab, scratch, share, rounds, replica_tokens, seed)
+    model = train_network(learn, vocab, scratch, rounds, replica_tokens, seed)
     shared = spark.sparkContext.broadcast((vocab, model))
     kind = src.schema["id"].dataType.simpleString()
 

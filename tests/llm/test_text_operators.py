@@ -156,7 +156,7 @@ def test_isotonic_rises():
 
 def test_lm_base_is_exact_and_network_beats_it(docs):
     held = F.col("doc_id") % 10 == 0
-    got = {r["doc_id"]: r for r in gru_lm.score(docs, ~held, share=1.0, rounds=2).collect()}
+    got = {r["doc_id"]: r for r in gru_lm.score(docs, ~held, rounds=2).collect()}
     texts = {r["doc_id"]: words(r["text"]) + [None] for r in docs.collect()}
     c = collections.Counter(w for i, t in texts.items() if i % 10 for w in t)
     n, v = sum(c.values()), len(c)
