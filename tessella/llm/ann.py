@@ -128,11 +128,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, projections: int
     scratch = Scratch(spark, "ann")
     v = F.col(vec_col).cast("array<double>")
     rows = vectors.filter(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(
-        F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("id"), v.alias("v"), F.size(vec_col).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks")
+        F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("id"), v.alias("v"), F.size(vec_col).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks"),
+        F.greatest(F.array_max(v), -F.array_min(v)).alias("most"),
     )
     rows = scratch.save(rows, "rows")
-    most = F.array_max(F.transform("v", F.abs))
-    norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    norm = F.col("most") * F.sqrt(F.aggregate(F.transform("v", lambda x: x / F.col("most")), F.lit(0.0), lambda a, x: a + x * x))
     facts = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).orderBy("dim").limit(MOST_LENGTHS + 1).collect()
     if len(facts) > MOST_LENGTHS:
         raise ValueError(f"more than {MOST_LENGTHS} vector lengths")
