@@ -6,6 +6,10 @@ the cross-polytope hash. Besides its own bucket a vector probes those with a blo
 nearest axis (multiprobe). Vectors that meet in a bucket are candidates; their cosine is
 computed in double precision, and a pair counts once, in the first table where it met.
 
+As many tables are made as a simulation of pairs at the threshold asks for, so that the chance to
+miss one, ``miss``, doesn't move with the number of vectors; pairs above the threshold are missed far less.
+Codes go about without vectors first; only what shares a bucket with another's own code is sent with its vector.
+
 Equal vectors are one class, so copies are never paired. A bucket is read in blocks
 of bounded size, pair of blocks by pair of blocks, with links summed and components
 contracted inside each, so what leaves a bucket grows with its rows, not its pairs.
@@ -81,8 +85,19 @@ class CrossPolytope:
         return own, probes
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(len(col), -1)
+def tables_for(dim: int, blocks: int, threshold: float, miss: float, pairs: int = 4000) -> int:
+    """Tables with which a pair at the threshold meets in none with a probability of ``miss``."""
+    rng = np.random.default_rng(0)
+    a, b = (rng.standard_normal((pairs, dim)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    norm = np.linalg.norm(b, axis=1, keepdims=True)
+    b = threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * np.divide(b, norm, out=np.zeros_like(b), where=norm > 0)
+    lsh = CrossPolytope(dim, 2, blocks, 2)
+    (own_a, more_a), (own_b, more_b) = lsh.hash(a), lsh.hash(b)
+    met = (own_a == own_b) | (more_a == own_b[:, None]).any(axis=1) | (more_b == own_a[:, None]).any(axis=1)
+    p = min(0.999, max(0.01, met.mean()))
+    return max(2, int(np.ceil(np.log(miss) / np.log(1 - p))))
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,7 +117,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 10, per_bucket: int = 8, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 1) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, miss: float = 1e-4, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 1) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     arrow_rows(spark)
@@ -118,8 +133,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 10,
     for r in sorted(sizes, key=lambda r: r["dim"]):
         d, n = r["dim"], r["count"]
         width = 1 << max(3, (d - 1).bit_length())
-        blocks = max(1, min(4, round(np.log(max(2, n / per_bucket)) / np.log(2 * width))))
-        parts.append(_linked(classes.filter(F.col("dim") == d), CrossPolytope(d, tables, blocks, seed), threshold, n))
+        blocks = max(1, min(60 // (2 * width).bit_length(), int(np.ceil(np.log(8.0 * n) / np.log(2 * width)))))  # eight codes a vector
+        tables = tables_for(d, blocks, threshold, miss)
+        parts.append(_linked(classes.filter(F.col("dim") == d), CrossPolytope(d, tables, blocks, seed), threshold, scratch, f"codes-{d}"))
     if not parts:
         return src.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]
@@ -136,31 +152,32 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 10,
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("label", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(classes: DataFrame, lsh: CrossPolytope, threshold: float, n: int) -> DataFrame:
+def _linked(classes: DataFrame, lsh: CrossPolytope, threshold: float, scratch: Scratch, name: str) -> DataFrame:
     """(e, links, root) rows: sums of e's links by bucket, counted in copies, and a smaller set linked in the bucket."""
     tables, probes = lsh.tables, lsh.blocks
+    kind = np.int32 if (2 * lsh.width) ** lsh.blocks < 1 << 31 else np.int64
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array(b.column(2).to_pylist())
-            x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
             own, more = lsh.hash(x)
-            codes = np.concatenate([own[:, None], more], axis=1)  # (tables, 1 + probes, rows)
-            flat = [r.tobytes() for r in np.ascontiguousarray(codes.transpose(2, 0, 1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(flat, pa.binary()), pa.array(list(np.ascontiguousarray(codes.transpose(2, 0, 1).reshape(len(x), -1))))], ["e", "copies", "x", "codes", "list"])
-
-    rows = classes.select("e", "copies", "v").mapInArrow(tidied(hashed), "e bigint, copies bigint, x binary, codes binary, list array<bigint>")
-    rows = rows.select("e", "copies", "x", "codes", F.posexplode("list").alias("i", "code")).select(
-        "e", "copies", "x", "codes", F.floor(F.col("i") / (1 + probes)).cast("int").alias("t"), "code", ((F.col("i") % (1 + probes)) == 0).alias("own")
-    )
-    # buckets over BLOCK rows are read as pairs of blocks
-    big = rows.groupBy("t", "code").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("t", "code", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(big, ["t", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            codes = np.ascontiguousarray(np.concatenate([own[:, None], more], axis=1).transpose(2, 0, 1).reshape(len(x), -1))  # a row: tables, 1 + probes
+            flat = pa.array([r.tobytes() for r in codes.astype(kind)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary()), flat, pa.array(list(codes), pa.list_(pa.int64()))], ["e", "copies", "x", "codes", "list"])
+
+    wide = scratch.save(classes.select("e", "copies", "v").mapInArrow(tidied(hashed), "e bigint, copies bigint, x binary, codes binary, list array<bigint>"), name)
+    rows = wide.select("e", F.posexplode("list").alias("i", "code")).select("e", F.floor(F.col("i") / (1 + probes)).cast("int").alias("t"), "code", ((F.col("i") % (1 + probes)) == 0).alias("own"))
+    # a bucket matters if a vector's own code meets another there; over BLOCK rows it is read as pairs of blocks
+    met = rows.groupBy("t", "code").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("own")).filter(F.col("own") & (F.col("m") > 1))
+    rows = rows.join(met.select("t", "code", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), ["t", "code"])
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("e", F.lit(5)), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("p"), F.greatest(o, F.col("mine")).alias("q")))
-    rows = rows.withColumn("pq", F.explode(pairs)).select("t", "code", "pq.p", "pq.q", "mine", "own", "e", "copies", "x", "codes")
+    rows = rows.withColumn("pq", F.explode(pairs)).select("t", "code", "pq.p", "pq.q", "mine", "own", "e").join(wide.select("e", "copies", "x", "codes"), "e")
+    rows = rows.select("t", "code", "p", "q", "mine", "own", "e", "copies", "x", "codes")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -183,7 +200,7 @@ def _linked(classes: DataFrame, lsh: CrossPolytope, threshold: float, n: int) ->
             a, b = np.nonzero(np.triu(sim, 1))
             if not len(a):
                 return
-            c = np.frombuffer(b"".join(r[5] for r in held), np.int64).reshape(len(held), tables, 1 + probes)
+            c = np.frombuffer(b"".join(r[5] for r in held), kind).reshape(len(held), tables, 1 + probes)
             ok = e[a] != e[b]
             a, b = a[ok], b[ok]
             first = _first_meeting(c, a, b, t, code)

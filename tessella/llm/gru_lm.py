@@ -216,8 +216,9 @@ class GatedUnit:
         return out
 
     def train(self, ids: np.ndarray, rows: int = 256, window: int = 32, rate: float = 0.02, clip: float = 5.0) -> int:
-        """One pass of truncated backpropagation over a stream of texts cut into ``rows`` parallel parts."""
-        rows = max(1, min(rows, len(ids) // window))
+        """One pass of truncated backpropagation over a stream of texts cut into ``rows`` parallel parts, fewer for a short stream."""
+        most, rows = rows, max(1, min(rows, max(8, len(ids) // (64 * window)), len(ids) // window))
+        rate *= np.sqrt(rows / most)
         steps = -(-len(ids) // rows)
         if steps < 2:
             return 0

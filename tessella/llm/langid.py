@@ -236,6 +236,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", texts_per_lan
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, texts_per_language / r["count"])))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
     sample = rows.filter(F.col("lang").isin(langs) & (draw < share[F.col("lang")] * 1_000_003))
+    sample = sample.dropDuplicates(["lang", "text"])  # a text's copies are drawn together: they count once
     held = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(10)) == 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,8 @@ documents whose tokens fit the rest.
 
 Null domains, languages and sources are a leaf named by the empty string. Empty and
 null texts have no tokens and cost nothing: they are in each epoch's prefix that
-reaches them. An empty table gives an empty result. Repeated rows are rows of their own; rows that
-tie in the seeded order follow their content.
+reaches them. An empty table gives an empty result. Repeated rows are rows of their own. Rows that
+tie in the seeded order, being of one id, follow hashes of their text and then of all their columns.
 """
 
 from __future__ import annotations
@@ -106,9 +106,17 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], budget:
     staged = staged.withColumn("bucket", bucket(F.col("id")))
     more = (F.col("rest") > 0) & (F.col("bucket") < F.col("end"))
     sure = staged.select("row", (F.col("whole") + more.cast("bigint")).alias("times"), "whole", F.lit(False).alias("edge")).filter("times > 0")
-    within = Window.partitionBy("leaf").orderBy("h", "id", "th").rowsBetween(Window.unboundedPreceding, 0)
-    edge = staged.filter((F.col("rest") > 0) & (F.col("bucket") == F.col("end"))).withColumns({"h": order(F.col("id")), "th": F.xxhash64("t"), "n": F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0))})
-    edge = edge.withColumn("upto", F.col("before") + F.sum("n").over(within)).filter(F.col("upto") <= F.col("rest")).select("row", F.lit(1).cast("bigint").alias("times"), "whole", F.lit(True).alias("edge"))
+    # equal rows of the bucket in which a leaf's rest ends are one; only their order, not their texts, is sorted by leaf
+    key = ["leaf", "h", "id", "th", "rh"]
+    last = staged.filter((F.col("rest") > 0) & (F.col("bucket") == F.col("end"))).withColumns({"h": order(F.col("id")), "th": F.xxhash64("t"), "rh": F.xxhash64("row")})
+    last = last.groupBy(*key, "whole", "rest", "before").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("c"), F.first(F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("bigint")).alias("n"))
+    last = scratch.save(last, "last")
+    within = Window.partitionBy("leaf").orderBy("h", "id", "th", "rh").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("c") * F.col("n")).over(within), F.lit(0))
+    fit = last.select(*key, "rest", "before", "c", "n").withColumn("left", left).filter("left >= n")
+    fit = fit.select(*key, F.when(F.col("n") == 0, F.col("c")).otherwise(F.least(F.col("c"), F.floor(F.col("left") / F.greatest("n", F.lit(1))))).alias("times"))
+    same = [last[k].eqNullSafe(fit[k]) for k in key]
+    edge = last.join(fit, same).select("row", "times", "whole", F.lit(True).alias("edge"))
     out = sure.unionByName(edge).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)))
     fields = [F.col("row").getField(c).alias(c) for c in columns]
     return out.select(*fields, *([F.when(F.col("edge"), F.col("whole")).otherwise(F.col("k")).alias(epoch)] if epoch else []))

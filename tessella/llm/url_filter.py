@@ -64,12 +64,13 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, most_steps: int = 2000, tolerance: float = 1e-4) -> DataFrame:
     """(host, trust, distrust): both personalised walks, advanced together.
 
     ``edges``: src, dst, w. ``seeds``: host, t0, d0 >= 0. Each kind's seeds are scaled to sum to 1;
     a kind without seeds stays 0. What a host without links to pass on holds leaves the walk.
-    Stops after ``iterations`` steps or when no score moves by more than ``tolerance``.
+    Stops when no host's score moves by more than ``tolerance`` of itself; raises if ``most_steps`` don't get there.
+    Links are walked to any distance from a seed.
     """
     scratch = Scratch(edges.sparkSession, "url")
     edges = scratch.save(edges, "edges")
@@ -88,25 +89,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
     )
     start = tele.select("host", (F.col("t0") * (1 - damping)).alias("t0"), (F.col("d0") * (1 - damping)).alias("d0"))
     scores = start.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
-    for i in range(iterations):
+    for i in range(most_steps):
         moved = steps.join(scores, steps["at"] == scores["host"]).select(
             F.col("to").alias("host"), (F.col("t") * F.col("trust") * damping).alias("t0"), (F.col("d") * F.col("distrust") * damping).alias("d0")
         )
         new = moved.unionByName(start).groupBy("host").agg(F.sum("t0").alias("trust"), F.sum("d0").alias("distrust"))
         new = scratch.save(new, f"scores-{i}")
         old = scores.select("host", F.col("trust").alias("t1"), F.col("distrust").alias("d1"))
-        gap = new.join(old, "host", "left").agg(
-            F.max(F.greatest(F.abs(F.col("trust") - F.coalesce("t1", F.lit(0.0))), F.abs(F.col("distrust") - F.coalesce("d1", F.lit(0.0))))).alias("gap")
-        ).first()["gap"]
+        moved_by = lambda a, b: F.when(F.col(a) > 0, F.abs(F.col(a) - F.coalesce(b, F.lit(0.0))) / F.col(a)).otherwise(0.0)
+        gap = new.join(old, "host", "left").agg(F.max(F.greatest(moved_by("trust", "t1"), moved_by("distrust", "d1"))).alias("gap")).first()["gap"]
         if i:
             scratch.drop(f"scores-{i - 1}")
         scores = new
         if (gap or 0.0) <= tolerance:
-            break
-    return scores
+            return scores
+    raise RuntimeError(f"the walk has not settled in {most_steps} steps")
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], threshold: float = 0.5, damping: float = 0.85, iterations: int = 20,
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], threshold: float = 0.5, damping: float = 0.85,
                 page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust.
 
@@ -120,7 +120,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], threshold: f
         .groupBy("host")
         .agg(F.avg((F.col("fit.action") == "allow").cast("double")).alias("t0"), F.avg((F.col("fit.action") == "block").cast("double")).alias("d0"))
     )
-    scores = propagate(host_edges(pages, url, html), seeds, damping, iterations)
+    scores = propagate(host_edges(pages, url, html), seeds, damping)
     share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
     method = F.when((F.coalesce("distrust", F.lit(0.0)) > 0) & (share > threshold), "block").otherwise("allow")
     return judged.join(scores, "host", "left").select(

@@ -56,6 +56,34 @@ def test_ngram_jaccard_near_copies_of_a_base(spark):
     assert got == brute_components(rows)
 
 
+def test_ngram_jaccard_equals_brute_force_on_mutated_families(spark):
+    rng, rows = random.Random(3), []
+    for f in range(6):
+        base = [f"f{f}w{i}" for i in range(80)]
+        for k in range(45):
+            w = list(base)
+            for _ in range(k % 7):  # from none to more changes than a link allows
+                w[rng.randrange(80)] = f"x{rng.randrange(50)}"
+            rows.append((1000 * f + k, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_ngram_jaccard_reads_very_long_texts(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(900_000))), (2, " ".join(f"w{i}" for i in range(890_000))), (3, "a b"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.near_duplicates(df).collect()}
+    assert got == {1: (899_996, 1), 2: (889_996, 1), 3: (1, 3), 4: (0, 4)}
+
+
+def test_ngram_jaccard_runs_keep_counts():
+    import numpy as np
+
+    row = np.sort(np.random.default_rng(0).integers(0, 40, 60_000))
+    docs_, size = ngram_jaccard._runs(row)
+    assert (np.repeat(docs_, size) == row).all() and len(ngram_jaccard._runs(row[:0])[0]) == 0
+
+
 def test_ngram_jaccard_empty_table(docs):
     assert ngram_jaccard.near_duplicates(docs.filter("false")).count() == 0
 
@@ -116,6 +144,34 @@ def test_language_probabilities_sum_to_one(docs):
     assert (total <= 1.0 + 1e-4).all() and (total > 0.5).all()
 
 
+def test_language_model_equals_plain_kneser_ney():
+    import numpy as np
+
+    texts, n = ["the cat sat on the mat", "a dog and the other cat", "that mat"], langid.ORDER
+    clean = lambda t: " " * (n - 1) + t
+    counts = {n: collections.Counter(clean(t)[i - n + 1 : i + 1] for t in texts for i in range(n - 1, len(clean(t))))}
+    for k in range(n - 1, 0, -1):  # in how many ways a shorter n-gram is preceded
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    letters = {g[-1] for g in counts[n]}
+
+    def p(g):
+        k = len(g)
+        if k == 0:
+            return 1 / (len(letters) + 1)
+        c = collections.Counter(counts[k].values())
+        d = min(0.95, max(0.1, c[1] / max(1, c[1] + 2 * c[2])))
+        follow = {x: v for x, v in counts[k].items() if x[:-1] == g[:-1]}
+        if not follow:
+            return p(g[1:])
+        return max(follow.get(g, 0) - d, 0) / sum(follow.values()) + d * len(follow) / sum(follow.values()) * p(g[1:])
+
+    grams = np.array([[ord(x) for x in g] for g in counts[n]], np.uint32)
+    model = langid.KneserNey(["en"], np.zeros(len(grams), int), grams, np.array(list(counts[n].values())))
+    for t in ("the cat", "a zebra on that", "mat"):
+        plain = -sum(math.log(p(clean(t)[i - n + 1 : i + 1])) for i in range(n - 1, len(clean(t)))) / len(t)
+        assert model.cross_entropy([t])[0][0, 0] == pytest.approx(plain, rel=1e-4)
+
+
 def test_language_without_training_rows(docs):
     model = langid.train(docs.filter("false"))
     assert {r["p"]["lang_pred"] for r in docs.select(langid.language(docs, model, F.col("text")).alias("p")).collect()} == {"und"}
@@ -194,6 +250,33 @@ def test_lm_state_goes_on_across_windows():
     assert abs(np.exp(m.log_probs(np.repeat(h, len(y), 0), y)).sum() - 1) < 1e-4
 
 
+def test_lm_network_equals_plain_recurrence():
+    import numpy as np
+
+    m = gru_lm.GatedUnit(np.arange(gru_lm.SYMBOLS, 0, -1, dtype=float))
+    ids = np.random.default_rng(1).integers(0, gru_lm.SYMBOLS, 3000).astype(np.int16)
+    m.train(ids, rows=8)
+    p, n, h, total = {k: v.astype(np.float64) for k, v in m.p.items()}, m.hidden, np.zeros(m.hidden), 0.0
+    for before, y in zip([0, *ids[:39]], ids[:40], strict=True):
+        g, a = p["e"][before] @ p["wx"] + p["b"], h @ p["wh"]
+        z, r = (1 / (1 + np.exp(-(g[k : k + n] + a[k : k + n]))) for k in (0, n))
+        c = np.tanh(g[2 * n :] + r * a[2 * n :])
+        h = (1 - z) * c + z * h
+        at = int(m.place[y])
+        lc = h @ p["wc"] + p["bc"]
+        lo = h @ p["wo"][at // gru_lm.CLASS_SIZE] + p["bo"][at // gru_lm.CLASS_SIZE]
+        total += lc[at // gru_lm.CLASS_SIZE] - np.log(np.exp(lc).sum()) + lo[at % gru_lm.CLASS_SIZE] - np.log(np.exp(lo).sum())
+    assert m.score(ids[:40], np.array([0, 40]))[0] == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_levels_bound_the_frequent_words():
+    import numpy as np
+
+    c = np.array([1, 4095, 4096, 70_000, 70_100, 10**12, 2**62])
+    x = gru_lm._level(c)
+    assert (np.diff(x) >= 0).all() and x[0] == 1 and x[-1] < gru_lm.LEVELS and x[5] > x[4]
+
+
 def test_lm_without_documents(docs):
     assert gru_lm.score(docs.filter("false"), F.lit(True)).count() == 0
 
@@ -227,5 +310,32 @@ def test_mixing_takes_whole_epochs_and_a_prefix(docs):
         assert used[leaf] > n - top or used[leaf] == n
 
 
+def test_mixing_equals_a_plain_prefix(docs, spark):
+    extra = docs.filter("doc_id < 6").withColumn("score", F.lit("other"))  # ids and texts again, other columns
+    rows = docs.unionByName(docs.filter("doc_id < 4")).unionByName(extra).withColumn("row", F.monotonically_increasing_id())
+    weights, budget, seed = {("d",): 1.0}, 5000, 42
+    out = mixing.mix(docs.unionByName(docs.filter("doc_id < 4")).unionByName(extra), F.lit("d"), weights, budget=budget, most_epochs=2, seed=seed, epoch="epoch").collect()
+    have, leaves = collections.Counter(), collections.defaultdict(list)
+    for r in rows.collect():
+        leaf = ("d", r["lang"] or "", r["source"] or "")
+        have[leaf] += len(words(r["text"]))
+        leaves[leaf].append(r)
+    want = collections.Counter()
+    for leaf, given in mixing.leaf_budgets(have, budget, weights, 2).items():
+        whole, rest = divmod(given, have[leaf]) if have[leaf] else (1, 0)
+        own = spark.createDataFrame(leaves[leaf], rows.schema)
+        order = own.select("*", F.xxhash64(F.lit(seed), F.lit(whole).cast("bigint"), "doc_id").alias("h"), F.xxhash64("text").alias("th"), F.xxhash64(F.struct(*docs.columns)).alias("rh"))
+        order = order.withColumn("first", F.shiftrightunsigned("h", 64 - (mixing.BUCKETS - 1).bit_length())).orderBy("first", "h", "doc_id", "th", "rh").collect()
+        for r in order:
+            for e in range(whole):
+                want[r["doc_id"], r["score"], e] += 1
+        used = 0
+        for r in order:
+            used += len(words(r["text"]))
+            if rest and used <= rest:
+                want[r["doc_id"], r["score"], whole] += 1
+    assert collections.Counter((r["doc_id"], r["score"], r["epoch"]) for r in out) == want
+
+
 def test_mixing_empty_table(docs):
     assert mixing.mix(docs.filter("false"), F.lit("d"), {}).count() == 0
