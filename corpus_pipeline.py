@@ -1,8 +1,8 @@
 """The corpus pipeline: toxicity, language, near duplicates, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and all but
-the last return the columns of documents. Rows with nulls, empty texts and repeated rows are handled
-as the operators' docstrings say.
+the last return the columns of documents. Nulls, empty and very long texts, repeated rows and empty tables are
+handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -20,20 +20,38 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(toxicity.toxicity(docs, model, F.col("text")) < 0.5)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known and not rejected; lang is then the predicted language."""
     model = langid.train(docs.filter(fold("doc_id", 4) != 2))
-    columns = docs.columns
-    named = docs.withColumn("__language", langid.language(docs, model, F.col("text"))).filter(~F.col("__language.rejected"))
-    return named.select(*(F.col("__language.lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in columns))
+    columns, own = docs.columns, _free(docs, "language")
+    named = docs.withColumn(own, langid.language(docs, model, F.col("text"))).filter(~F.col(f"{own}.rejected"))
+    return named.select(*(F.col(f"{own}.lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component, by id; one row of it. Rows without an id stay."""
-    found = ngram_jaccard.near_duplicates(docs)
-    others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    first = docs.filter(F.col("doc_id").isNotNull()).join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """The first document of each component, by id and a hash of the text; one row of it.
+
+    Texts that share an id are documents of their own; so are rows without a word. Of rows of one id and text,
+    the first by all columns stays.
+    """
+    columns, own = docs.columns, _free(docs, "key")
+    keyed = docs.withColumn(own, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    found = ngram_jaccard.near_duplicates(keyed, id_col=own)
+    # keys to drop, and keys of several rows
+    facts = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("other"))
+    facts = facts.filter("other or rows > 1").select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.text_hash").alias("th"), "other")
+    same = keyed[f"{own}.doc_id"].eqNullSafe(facts["id"]) & (keyed[f"{own}.text_hash"] == facts["th"])
+    marked = keyed.join(facts, same, "left")
+    single = marked.filter(F.col("other").isNull()).select(*(keyed[f"`{c}`"] for c in columns))
+    several = marked.filter(~F.col("other")).groupBy("id", "th").agg(F.min(F.struct(*(keyed[f"`{c}`"] for c in columns))).alias(own))
+    return single.unionByName(several.select(*(F.col(own).getField(c).alias(c) for c in columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
