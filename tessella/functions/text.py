@@ -233,7 +233,9 @@ def format_bytes(c: Column | str) -> Column:
     n = as_column(c).cast("double")
     k = F.least(F.when(F.abs(n) < 1, 0).otherwise(F.floor(F.log(F.greatest(F.abs(n), F.lit(1.0))) / F.log(F.lit(1024.0)))), F.lit(4)).cast("int")
     unit = F.element_at(F.array(*map(F.lit, ("B", "KiB", "MiB", "GiB", "TiB"))), k + 1)
-    return F.format_string("%.1f %s", n / F.pow(F.lit(1024.0), k), unit)
+    x = n / F.pow(F.lit(1024.0), k)
+    x = F.when(F.abs(x) < 1e18, F.bround(x.cast("decimal(38,18)"), 1).cast("double")).otherwise(x)  # an exact half goes to the even digit
+    return F.format_string("%.1f %s", x, unit)
 
 
 def messages(question_: Column | str, answer: Column | str) -> Column:

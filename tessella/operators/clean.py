@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import text as T
 from . import order, storage
@@ -18,15 +20,56 @@ def normalise(c: Column | str) -> Column:
     return T.remove_control_chars(T.nfkc(c))
 
 
-def contamination(docs: DataFrame, evals: DataFrame, n: int = 13, key: str = "id", text: str = "text") -> DataFrame:
+def gram_hashes(text: str | None, n: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's character n-grams; a shorter text is its own."""
+    cp = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    k = min(n, len(cp))
+    if not k:
+        return cp
+    h = np.full(len(cp) - k + 1, k, np.uint64)
+    for i in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + cp[i : len(cp) - k + 1 + i] + np.uint64(1)
+        h ^= h >> np.uint64(29)
+    return np.unique(h * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def contamination(docs: DataFrame, evals: DataFrame, n: int = 13, key: str = "id", text: str = "text", most_pool: int = 8_000_000) -> DataFrame:
     """key, overlap: the share of a document's distinct n-grams that an evaluation text has.
 
-    Grams are hashed to 64 bits before the shuffle. A text without grams has overlap 0.
+    Grams are hashed to 64 bits, in time linear in the text. The evaluation set's distinct grams go to all tasks where they are
+    ``most_pool`` at most, so documents are read once and nothing is shuffled; a larger pool is joined by gram.
+    A text without grams has overlap 0.
     """
-    pool = evals.select(F.explode(T.char_ngrams(text, n)).alias("g")).select(F.xxhash64("g").alias("g")).distinct().withColumn("hit", F.lit(1))
-    grams = docs.select(key, F.explode(T.char_ngrams(text, n)).alias("g")).select(key, F.xxhash64("g").alias("g"))
-    found = grams.join(pool, "g", "left").groupBy(key).agg((F.count("hit") / F.count(F.lit(1))).alias("overlap"))
-    return docs.select(key).join(found, key, "left").select(key, F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    spark = docs.sparkSession
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                g = pa.array(gram_hashes(b.column(b.num_columns - 1)[at].as_py(), n).view(np.int64))
+                keys = [b.column(i).take(pa.array(np.full(len(g), at, np.int64))) for i in range(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*keys, g], [*b.schema.names[:-1], "g"])
+
+    pool = storage.cut(evals.select(F.col(text).cast("string")).mapInArrow(grams, "g bigint").distinct())
+    kind = docs.select(key).schema
+    rows = docs.select(key, F.col(text).cast("string").alias("__text"))
+    if pool.count() > most_pool:
+        found = rows.mapInArrow(grams, StructType([*kind, StructField("g", LongType())])).join(pool.withColumn("hit", F.lit(1)), "g", "left")
+        found = found.groupBy(key).agg((F.count("hit") / F.count(F.lit(1))).alias("overlap"))
+        return docs.select(key).join(found, key, "left").select(key, F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    known = spark.sparkContext.broadcast(np.sort(pool.toArrow()["g"].to_numpy().view(np.uint64)))  # most_pool at most
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = known.value
+        for b in batches:
+            out = []
+            for t in b.column(1):
+                g = gram_hashes(t.as_py(), n)
+                at = np.searchsorted(p, g)
+                at[at == len(p)] = 0
+                out.append(float((p[at] == g).mean()) if len(g) and len(p) else 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], [key, "overlap"])
+
+    return rows.mapInArrow(share, StructType([*kind, StructField("overlap", DoubleType())]))
 
 
 def banding(threshold: float, perms: int) -> tuple[int, int]:

@@ -56,19 +56,19 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, skip: int, take: int, *order: Column) -> DataFrame:
-    """Rows skip to skip + take in order (S14); filters come after."""
-    return df.orderBy(*order).offset(skip).limit(take)
+    """Rows skip to skip + take in order (S14); filters come after. No task gathers what is skipped."""
+    at = F.col("__at")
+    return with_position(df, *order, name="__at").filter((at >= skip) & (at < skip + take)).drop("__at")
 
 
 def head_fraction(df: DataFrame, fraction: float, *order: Column) -> DataFrame:
     """The first max(1, int(n * fraction)) rows in order."""
-    return df.orderBy(*order).limit(max(1, int(df.count() * fraction)))
+    return slice_rows(df, 0, max(1, int(df.count() * fraction)), *order)
 
 
 def package_prefix(df: DataFrame, package: str, *order: Column) -> DataFrame:
     """full, deci or centi: all, a tenth or a hundredth of the rows in order, one at least."""
-    n = df.count()
-    return df.orderBy(*order).limit(max(1, n // {"full": 1, "deci": 10, "centi": 100}[package]))
+    return slice_rows(df, 0, max(1, df.count() // {"full": 1, "deci": 10, "centi": 100}[package]), *order)
 
 
 def budget_prefix(df: DataFrame, size: Column, budget: Column | int, group: Sequence[str], seed: int, key: str, buckets: int = 256) -> DataFrame:
@@ -128,8 +128,7 @@ def mix(df: DataFrame, ratios: Mapping[str, float], seed: int = 42, group: str =
     wanted = F.create_map(*[x for g, n in target.items() for x in (F.lit(g), F.lit(n))])
     rows = df.filter(F.col(group).isin(list(share)))
     if unit == "documents":
-        w = Window.partitionBy(group).orderBy(seeded(seed, F.col(key)), F.col(key))
-        out = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= wanted[F.col(group)]).drop("__r")
+        out = budget_prefix(rows, F.lit(1), wanted[F.col(group)], [group], seed, key)
     else:
         out = budget_prefix(rows, F.col(tokens), wanted[F.col(group)], [group], seed, key)
     size = F.count(F.lit(1)) if unit == "documents" else F.sum(tokens)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import verifiers as V
-from ..operators import chat, clean, order, prefs, prompts, scoring
+from ..operators import chat, clean, order, prefs, prompts, recipes, scoring
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -652,6 +652,29 @@ def d1_d2_d3_near_duplicates(spark, sf):
     return clean.greedy_keep_first(first, edges, "corpus").unionByName(copies.withColumn("kept", F.lit(False)))
 
 
+@add("""SELECT doc_id AS id, 'Q ' || source AS question, text AS answer FROM documents WHERE lang = 'en' AND source IS NOT NULL AND text IS NOT NULL AND n_chars % 3 <> 0""")
+def o3_c2_f5_instructions(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.concat(F.lit("Q "), "source").alias("q"), F.when(F.col("n_chars") % 3 != 0, F.col("text")).alias("a"))
+    rows, _ = recipes.prepare_instructions(d, "q", "a", F.col("lang") == "en")
+    return rows.select("id", F.col("messages")[0]["content"].alias("question"), F.col("messages")[1]["content"].alias("answer"))
+
+
+@add("""SELECT count(*) AS input_count, count(*) FILTER (lang = 'en') AS kept_count, count(*) FILTER (lang = 'en' AND n_chars % 3 = 0) AS skipped, least(count(*) FILTER (lang = 'en' AND n_chars % 3 <> 0), 100) AS output_count FROM documents""")
+def o3_instruction_counts(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source", F.when(F.col("n_chars") % 3 != 0, F.col("text")).alias("a"))
+    return recipes.prepare_instructions(d, "source", "a", F.col("lang") == "en", 100)[1]
+
+
+@add()
+def o2_o11_prepare_data(spark, sf):
+    """Two corpora to a mixture; near-duplicate removal over hashed bands has no SQL form."""
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("").alias("title"))
+    config = {"corpora": [{"name": "web"}, {"name": "topical", "filter": {"type": "keyword_oversample", "oversample_weight": 2}}], "mix": {"ratios": {"en": 1.0}}}
+    corpora = {"web": d.filter("id % 2 = 0"), "topical": d.filter("id % 2 = 1")}
+    mixture, _ = recipes.prepare_data(corpora, config, evals=t(spark, sf, "benchmark"), groups={"the": [" the "], "license": ["License"]})
+    return mixture.select("key", "corpus", "language")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -144,6 +144,29 @@ def merge_configs(base: Mapping, over: Mapping) -> dict:
     return {k: merge_configs(base[k], over[k]) if isinstance(base.get(k), Mapping) and isinstance(over.get(k), Mapping) else over.get(k, base.get(k)) for k in {**base, **over}}
 
 
+def load_config(path: str) -> dict:
+    """A YAML file's mapping (S24); a missing file or another kind of content is an error."""
+    import yaml
+
+    if not Path(path).exists():
+        raise FileNotFoundError(path)
+    config = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    if not isinstance(config, dict):
+        raise ValueError(f"{path} is no mapping")
+    return config
+
+
+def file_md5(path: str, block: int = 1 << 20) -> str:
+    """The md5 of a file, read in blocks."""
+    import hashlib
+
+    digest = hashlib.md5()
+    with open(path, "rb") as f:
+        while part := f.read(block):
+            digest.update(part)
+    return digest.hexdigest()
+
+
 def config_hash(config: Mapping) -> str:
     """sha256 of the sorted JSON, 16 digits."""
     import hashlib
