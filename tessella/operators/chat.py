@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -124,6 +125,24 @@ def sft_example(df: DataFrame, encode: Callable[[str], Sequence[int]], max_len:
     return df.withColumn("__x", build(F.col(messages).cast(MESSAGES))).select(*df.columns, "__x.*")
 
 
+#: Marks around learned tokens.
+LEARNED = ("【learned】", "【/learned】")
+
+
+def decode_for_inspection(df: DataFrame, decode: Callable[[Sequence[int]], str], name: str = "shown") -> DataFrame:
+    """df with its input_ids as text, each run of learned tokens between marks (C8). ``decode`` is injected."""
+
+    @F.pandas_udf("string")
+    def show(ids: pd.Series, labels: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(ids, labels, strict=True):
+            runs = groupby(zip(x if x is not None else (), y if y is not None else (), strict=True), lambda p: p[1] != IGNORED)
+            out.append("".join(t.join(LEARNED) if learned else t for learned, t in ((k, decode([int(i) for i, _ in run])) for k, run in runs)))
+        return pd.Series(out, dtype=object)
+
+    return df.withColumn(name, show("input_ids", "labels"))
+
+
 def token_stats(df: DataFrame) -> DataFrame:
     """Rows, token lengths and learned tokens (A10)."""
     learned = F.size(F.filter("labels", lambda x: x != IGNORED))
@@ -140,10 +159,10 @@ def pack(df: DataFrame, seq_len: int, eos: int, ids: str = "input_ids", pos: str
         raise ValueError("seq_len must be positive")
     rows = order.with_position(df.select(pos, F.concat(F.col(ids), F.array(F.lit(eos))).alias("t")), F.col(pos), name="__at")
     rows = storage.cut(rows.withColumn("n", F.size("t").cast("bigint")).withColumn("block", F.floor(F.col("__at") / 4096)))
-    from pyspark.sql import Window
-
-    sums = rows.groupBy("block").agg(F.sum("n").alias("s"))
-    sums = sums.select("block", (F.sum("s").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("from"))  # a row for 4096 documents
+    upto = lambda by, *part: F.sum("s").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")
+    sums = rows.groupBy("block").agg(F.sum("n").alias("s")).withColumn("super", F.floor(F.col("block") / 4096))
+    supers = sums.groupBy("super").agg(F.sum("s").alias("s")).select("super", upto("super", F.lit(0)).alias("base"))  # a row for 16.8 million documents
+    sums = sums.withColumn("in", upto("block", "super")).join(supers, "super").select("block", (F.col("base") + F.col("in")).alias("from"))
     within = Window.partitionBy("block").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(sums, "block").withColumn("a", F.col("from") + F.sum("n").over(within) - F.col("n"))
     first, last = F.floor(F.col("a") / seq_len), F.floor((F.col("a") + F.col("n") - 1) / seq_len)
@@ -155,6 +174,21 @@ def pack(df: DataFrame, seq_len: int, eos: int, ids: str = "input_ids", pos: str
     return joined.filter(F.size("input_ids") == seq_len)
 
 
+def build_sequences(docs: DataFrame, encode: Callable[[str], Sequence[int]], seq_len: int, eos: int | None, max_docs: int | None = None, pos: str = "pos", text: str = "text") -> DataFrame:
+    """chunk_id, input_ids: the first ``max_docs`` texts in order, encoded and packed (C10). ``encode`` is injected; a null text is empty."""
+    if eos is None:
+        raise ValueError("an end token is needed")
+    if max_docs is not None and max_docs <= 0:
+        raise ValueError("max_docs must be positive")
+
+    @F.pandas_udf("array<int>")
+    def ids(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(encode(t or "")) for t in texts], dtype=object)
+
+    picked = docs if max_docs is None else order.slice_rows(docs, 0, max_docs, F.col(pos))
+    return pack(picked.select(pos, ids(text).alias("input_ids")), seq_len, eos, "input_ids", pos)
+
+
 def compact(df: DataFrame, ids: str = "input_ids") -> DataFrame:
     """Token ids as 32-bit integers (C11)."""
     return df.withColumn(ids, F.col(ids).cast("array<int>"))

@@ -40,8 +40,8 @@ def last_wins(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """Up to n rows without replacement, in seeded order."""
-    return df.orderBy(seeded(seed, F.col(key)), key).limit(n)
+    """Up to n rows without replacement, the first in seeded order (X4). No task gathers the sample."""
+    return budget_prefix(df, F.lit(1), n, [], seed, key)
 
 
 def stratified_sample(df: DataFrame, group: str, n: int, seed: int, key: str) -> DataFrame:
@@ -71,17 +71,16 @@ def package_prefix(df: DataFrame, package: str, *order: Column) -> DataFrame:
     return slice_rows(df, 0, max(1, df.count() // {"full": 1, "deci": 10, "centi": 100}[package]), *order)
 
 
-def budget_prefix(df: DataFrame, size: Column, budget: Column | int, group: Sequence[str], seed: int, key: str, buckets: int = 256) -> DataFrame:
+def budget_prefix(df: DataFrame, size: Column, budget: Column | int, group: Sequence[str], seed: int, key: str, digits: int = 4) -> DataFrame:
     """Of each group, in seeded order, rows while the running size is within budget.
 
-    Only the bucket of the order in which a group's budget ends is summed row by row, so a
-    large group is no single task's window.
+    The order is cut into 16^``digits`` buckets. Only the one in which a group's budget ends is summed row by row, so a large group is no single task's window.
     """
     b = F.lit(budget) if isinstance(budget, int) else budget
     h = seeded(seed, F.col(key))
-    rows = df.withColumns({"__h": h, "__n": size, "__b": F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % buckets, "__budget": b})
+    rows = df.withColumns({"__h": h, "__n": size, "__b": F.conv(F.substring(h, 1, digits), 16, 10).cast("int"), "__budget": b})
     sums = rows.groupBy(*group, "__b").agg(F.sum("__n").alias("__s"))
-    run = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     starts = sums.withColumn("__from", F.sum("__s").over(run) - F.col("__s"))
     placed = rows.join(starts, [*group, "__b"])
     sure = placed.filter(F.col("__from") + F.col("__s") <= F.col("__budget")).select(*df.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import verifiers as V
 from ..sources import readers
-from . import chat, clean, order, prefs, prompts
+from . import chat, clean, order, prefs, prompts, scoring
 
 
 def prepare_data(corpora: Mapping[str, DataFrame], config: Mapping, names: Sequence[str] | None = None, sample_limit: int | None = None, evals: DataFrame | None = None,
@@ -115,3 +115,23 @@ def prepare_distill_mix(rows: DataFrame, evals: DataFrame, base: DataFrame, base
     made = accepted.select(F.concat(F.lit("distill/"), F.col(pos).cast("string")).alias("id"), T.messages("prompt", "response").alias("messages"))
     mixed = made.unionByName(base.select(F.concat(F.lit("base/"), F.col("id").cast("string")).alias("id"), "messages"))
     return order.with_position(mixed, order.seeded(seed, F.col("id")), F.col("id"), name="at"), {"rejects": rejects.groupBy("category", "reason").count()}
+
+
+def run_verification(generations: DataFrame, prompts_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, one row of total, rule_pass, degenerate) of all generations."""
+    verdicts = clean.storage.cut(prefs.verify(generations, prompts_))
+    return verdicts, verdicts.agg(F.count(F.lit(1)).alias("total"), F.count_if("rule_pass").alias("rule_pass"), F.count_if("degenerate").alias("degenerate"))
+
+
+def compare_models(items: DataFrame, scored: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
+    """(rollups of each model over all items, paired statistics against ``base``)."""
+    rows = clean.storage.cut(scoring.reaggregate(items, scored))
+    return scoring.rollup(rows, ["model"]), scoring.compare_to_base(rows, base)
+
+
+def decide(spark, candidate: Mapping, base: Mapping, instructions: Mapping, benchmark: Mapping) -> tuple[dict[str, bool], DataFrame]:
+    """(the gate's conditions, each domain's drop) from four result records."""
+    rows = lambda of: spark.createDataFrame(list(of.items()), "domain string, accuracy double")
+    overall, domains = readers.accuracies(candidate)
+    gate = scoring.domain_gate(rows(domains), rows(readers.accuracies(base)[1]))
+    return scoring.decision_gate(overall, gate, readers.instruction_aggregate(instructions)["prompt_strict"], readers.average(benchmark)), gate

@@ -52,6 +52,19 @@ def score_items(items: DataFrame, answers: DataFrame) -> DataFrame:
     return d.select("id", "domain", "difficulty", score_row(F.col("format"), F.col("__raw"), F.col("answers"), F.col("correct_choice")).alias("correct"))
 
 
+def reaggregate(items: DataFrame, scored: DataFrame) -> DataFrame:
+    """model, id, domain, difficulty, correct: every item for every model; one that a model lacks is wrong."""
+    models = [r["model"] for r in scored.select("model").distinct().collect()]  # names, a row a model
+    every = items.select(F.explode(F.array(*map(F.lit, models)).cast("array<string>")).alias("model"), "id", "domain", "difficulty")
+    return every.join(scored.select("model", "id", F.col("correct").alias("__c")), ["model", "id"], "left").select("model", "id", "domain", "difficulty", F.coalesce("__c", F.lit(False)).alias("correct"))
+
+
+def in_order(df: DataFrame, column: str, values: Sequence[str], *then: str) -> DataFrame:
+    """df by the place of ``column`` in ``values``; others come last, by name."""
+    place = F.array_position(F.array(*map(F.lit, values)), F.col(column))
+    return df.orderBy(F.when(place == 0, len(values) + 1).otherwise(place), column, *then)
+
+
 def wilson(correct: Column, n: Column, z: float = Z_95) -> Column:
     """struct<lo, hi>: the Wilson interval; (0, 0) without trials (E5)."""
     nd, p = n.cast("double"), correct.cast("double") / F.when(n == 0, 1.0).otherwise(n.cast("double"))

@@ -304,20 +304,8 @@ def a11_w6_topics(spark, sf):
     return prefs.topic_stats(t(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("topic"), F.col("o_orderkey").alias("pos")))[1].select("topic", "n")
 
 
-@add("""WITH RECURSIVE d AS (SELECT l_suppkey % 7 AS p, l_quantity % 5 AS r, l_linenumber % 3 AS c, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos FROM lineitem WHERE l_orderkey < 200),
- s AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS a, CAST([] AS VARCHAR[]) AS b, CAST(NULL AS VARCHAR) AS why UNION ALL
-  SELECT d.pos, CASE WHEN w.why IS NULL THEN list_append(s.a, d.r || '|' || d.p) ELSE s.a END, CASE WHEN w.why IS NULL THEN list_append(s.b, d.r || '|' || d.c) ELSE s.b END, w.why
-  FROM s JOIN d ON d.pos = s.pos + 1, LATERAL (SELECT CASE WHEN list_contains(s.a, d.r || '|' || d.p) THEN 'prompt_response_dup' WHEN list_contains(s.b, d.r || '|' || d.c) THEN 'category_detail_dup' END AS why) w)
- SELECT pos, why AS reject FROM s WHERE pos > 0""")
-def d4_d5_d6_sequential_duplicates(spark, sf):
-    d = order.with_position(t(spark, sf, "lineitem").filter("l_orderkey < 200"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
-    words = F.concat(F.lit("a long enough response number "), (F.col("l_quantity") % 5).cast("string"))
-    d = d.select((F.col("pos") + 1).alias("pos"), (F.col("l_suppkey") % 7).cast("string").alias("prompt"), words.alias("response"), F.lit("keyword").alias("category"), (F.col("l_linenumber") % 3).cast("string").alias("constraint_detail"))
-    return prefs.degenerate_filters(d).select("pos", "reject")
-
-
 @add()
-def d4_d5_d6_sequential_duplicates_all(spark, sf):
+def d4_d5_d6_sequential_duplicates(spark, sf):
     """The pass over all rows; a recursive CTE takes too long there, so there is no SQL."""
     d = order.with_position(t(spark, sf, "lineitem"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
     words = F.concat(F.lit("a long enough response number "), (F.col("l_quantity") % 5).cast("string"))
@@ -381,17 +369,10 @@ def e5_wilson(spark, sf):
     return g.select("domain", scoring.wilson(F.col("k"), F.col("n")).alias("w")).select("domain", F.round("w.lo", 9).alias("lo"), F.round("w.hi", 9).alias("hi"))
 
 
-@add("""WITH r AS (SELECT 'm' || m AS model, event_id AS id, (event_id * (m + 3)) % 7 < 4 AS correct FROM events, range(0, 3) q(m) WHERE event_id < 500), b AS (SELECT id, correct AS cb FROM r WHERE model = 'm0'),
+@add("""WITH r AS (SELECT 'm' || m AS model, event_id AS id, (event_id * (m + 3)) % 7 < 4 AS correct FROM events, range(0, 3) q(m)), b AS (SELECT id, correct AS cb FROM r WHERE model = 'm0'),
  g AS (SELECT model, count(*) AS n, avg(correct::INT - cb::INT) AS delta, count(*) FILTER (cb AND NOT correct) AS b, count(*) FILTER (NOT cb AND correct) AS c FROM r JOIN b USING (id) WHERE model <> 'm0' GROUP BY 1)
- SELECT model, n, delta, b, c FROM g""")
+ SELECT model, n, delta, b, c, least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) AS p FROM g""")
 def e6_e8_j8_paired(spark, sf):
-    e = t(spark, sf, "events").filter("event_id < 500").select(F.col("event_id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("m"))
-    r = e.select(F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), "id", ((F.col("id") * (F.col("m") + 3)) % 7 < 4).alias("correct"))
-    return scoring.compare_to_base(r, "m0").select("model", "n", "delta", "b", "c")
-
-
-@add()
-def e6_e8_j8_paired_all(spark, sf):
     """All items, with McNemar's p."""
     e = t(spark, sf, "events").select(F.col("event_id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("m"))
     r = e.select(F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), "id", ((F.col("id") * (F.col("m") + 3)) % 7 < 4).alias("correct"))
@@ -675,6 +656,38 @@ def o2_o11_prepare_data(spark, sf):
     return mixture.select("key", "corpus", "language")
 
 
+_MODELS_SQL = "items AS (SELECT event_id AS id, event_type AS domain, 'd' || (user_id % 3) AS difficulty FROM events), scored AS (SELECT 'm' || m AS model, event_id AS id, (user_id * (m + 3) + m) % 7 < 4 - m AS correct FROM events, range(0, 3) q(m) WHERE event_id % 5 <> m)"
+
+
+def _models(spark, sf):
+    e = t(spark, sf, "events")
+    items = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("domain"), F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("difficulty"))
+    s = e.select("event_id", "user_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("m")).filter("event_id % 5 <> m")  # what a model lacks counts as wrong
+    return items, s.select(F.concat(F.lit("m"), F.col("m").cast("string")).alias("model"), F.col("event_id").alias("id"), ((F.col("user_id") * (F.col("m") + 3) + F.col("m")) % 7 < 4 - F.col("m")).alias("correct"))
+
+
+@add(f"""WITH {_MODELS_SQL}, r AS (SELECT q.model, i.*, coalesce(s.correct, false) AS correct FROM items i CROSS JOIN (SELECT DISTINCT model FROM scored) q LEFT JOIN scored s ON s.model = q.model AND s.id = i.id)
+ SELECT model, CASE WHEN grouping(domain) = 1 AND grouping(difficulty) = 1 THEN 'overall' WHEN grouping(difficulty) = 1 THEN 'by_domain' WHEN grouping(domain) = 1 THEN 'by_difficulty' ELSE 'by_cell' END AS level,
+ domain, difficulty, count(*) AS n, CAST(sum(correct::INT) AS BIGINT) AS correct, avg(correct::INT) AS accuracy FROM r GROUP BY GROUPING SETS ((model), (model, domain), (model, difficulty), (model, domain, difficulty))""")
+def o10_j18_model_rollup(spark, sf):
+    return recipes.compare_models(*_models(spark, sf), "m0")[0].select("model", "level", "domain", "difficulty", "n", big(F.col("correct")).alias("correct"), "accuracy")
+
+
+@add(f"""WITH {_MODELS_SQL}, r AS (SELECT q.model, i.id, coalesce(s.correct, false) AS correct FROM items i CROSS JOIN (SELECT DISTINCT model FROM scored) q LEFT JOIN scored s ON s.model = q.model AND s.id = i.id), b AS (SELECT id, correct AS cb FROM r WHERE model = 'm0')
+ SELECT model, count(*) AS n, avg(correct::INT - cb::INT) AS delta, count(*) FILTER (cb AND NOT correct) AS b, count(*) FILTER (NOT cb AND correct) AS c FROM r JOIN b USING (id) WHERE model <> 'm0' GROUP BY 1""")
+def o10_model_statistics(spark, sf):
+    return recipes.compare_models(*_models(spark, sf), "m0")[1].select("model", "n", "delta", "b", "c")
+
+
+@add(f"""WITH {_PROMPTS_SQL}, {_GEN_SQL} SELECT count(*) AS total, count(*) FILTER (CASE category WHEN 'char_count' THEN length(response) BETWEEN mn AND mx WHEN 'no_constraint' THEN length(response) BETWEEN 20 AND 300
+ WHEN 'keyword' THEN length(response) >= 2 ELSE length(response) > 0 END) AS rule_pass, count(*) FILTER (length(response) < 20 OR length(response) >= 13) AS degenerate FROM gens JOIN prompts ON id = prompt_id""")
+def o7_verification(spark, sf):
+    plain, words = F.when(F.col("category") == "polite_form", "plain"), F.when(F.col("category") == "keyword", F.array(F.lit("xx")))
+    p = _prompts(spark, sf).withColumn("constraint_detail", _detail(min=F.col("mn"), max=F.col("mx"), style=plain, include=words))
+    g = _generations(spark, sf).join(p.select(F.col("id").alias("prompt_id")), "prompt_id", "left_semi")
+    return recipes.run_verification(g, p)[1]
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

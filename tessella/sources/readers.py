@@ -37,6 +37,16 @@ def sample_texts(spark: SparkSession, paths: Sequence[str], most: int, schema: s
     return jsonl(spark, there, schema).filter("text <> ''").limit(most)
 
 
+def eval_prompts(spark: SparkSession, path: str, schema: str | StructType, limit: int | None = None) -> DataFrame:
+    """The prompts with their line's position ``at``, the first ``limit`` of them (S16); a missing file is an error."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    place = ("_metadata.file_path", "_metadata.file_block_start")
+    rows = jsonl(spark, path, schema).select("*", *(F.col(c).alias(f"__{i}") for i, c in enumerate(place)), F.monotonically_increasing_id().alias("__2"))
+    rows = order.with_position(rows, F.col("__0"), F.col("__1"), F.col("__2"), name="at").drop("__0", "__1", "__2")
+    return rows if limit is None else rows.filter(F.col("at") < limit)
+
+
 def distill_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a byte order mark and quoted line ends; detail is the parsed constraint."""
     df = spark.read.schema(DISTILL).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
@@ -103,6 +113,38 @@ def first_path(record: Mapping, *paths: str) -> float | None:
     return None
 
 
+def json_record(path: str) -> dict:
+    """One JSON document of a small file (S21); an unreadable one is named in the error."""
+    try:
+        return json.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError) as e:
+        raise ValueError(f"{path}: {e}") from e
+
+
+def accuracies(record: Mapping) -> tuple[float, dict[str, float]]:
+    """(overall, by domain) of an aggregate whose entries are numbers or mappings with an accuracy."""
+    of = lambda x: float(x["accuracy"] if isinstance(x, Mapping) else x)
+    return of(record["overall"]), {k: of(v) for k, v in (record.get("by_domain") or {}).items()}
+
+
+#: Where a benchmark's result may have its average, the first that it has.
+AVERAGE_PATHS = ("AVG", "avg", "score", "scores.AVG", "evaluation.scores.AVG", "evaluation.lang_scores.JA.AVG")
+
+
+def average(record: Mapping) -> float:
+    """The average of a benchmark result (S21); none is an error."""
+    got = first_path(record, *AVERAGE_PATHS)
+    if got is None:
+        raise ValueError("a result without an average")
+    return float(got)
+
+
+def instruction_aggregate(record: Mapping) -> dict[str, float | None]:
+    """The rates of an instruction-following aggregate, of two verifiers too."""
+    out = {k: record[f"{k}_acc"] for k in ("prompt_strict", "prompt_loose", "instruction_strict")}
+    return out | {v: first_path(record, f"by_verifier.{v}.instruction_strict_acc") for v in ("polite_form", "char_count")}
+
+
 def out_of_label(scores: str, tasks: Sequence[str]):
     """The {task}_ool entries of a JSON object column."""
     wanted = [f"{t}_ool" for t in tasks]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,21 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> int:
     return n
 
 
+def judge_new(targets: DataFrame, path: str, judge: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: Sequence[str], order_by: Sequence[str] = ()) -> int:
+    """Appends ``judge``'s rows for the targets whose key the table lacks, in order within each file; their number (K3).
+
+    ``judge`` takes and returns a frame; tasks call it side by side, and a lost one calls it again.
+    """
+    spark = targets.sparkSession
+    if exists(spark, path):
+        targets = targets.join(spark.read.parquet(path).select(*keys).distinct(), list(keys), "left_anti")
+    by = list(order_by or keys)
+    before = spark.read.parquet(path).count() if exists(spark, path) else 0
+    rows = targets.dropDuplicates(list(keys)).repartitionByRange(*by).sortWithinPartitions(*by)
+    rows.mapInPandas(lambda frames: map(judge, frames), schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).count() - before
+
+
 def split(df: DataFrame, path: str, column: str = "split") -> None:
     """One folder a split (K6)."""
     df.write.mode("overwrite").partitionBy(column).json(path)
@@ -40,6 +56,34 @@ def packed_cache(df: DataFrame, path: str, manifest: Mapping) -> None:
     df.sparkSession.createDataFrame([(json.dumps(dict(manifest), sort_keys=True),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
+def fingerprint(spark: SparkSession, source: str, model: str, seq_len: int, package: str = "full") -> dict:
+    """What a packed cache must have been built from: the source's path, time and size, the model and the settings."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = files.getFileStatus(p)
+    return {"source": source, "time": at.getModificationTime(), "size": files.getContentSummary(p).getLength(), "model": model, "seq_len": seq_len, "package": package}
+
+
+def build_or_load(spark: SparkSession, folder: str, manifest: Mapping, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
+    """The cache of this manifest, else ``build``'s sequences, written there (O12); no sequences are an error."""
+    got = None if rebuild else load_packed(spark, folder, manifest)
+    if got is None:
+        rows = build()
+        _remove(spark, f"{folder}/manifest")  # a cache half written has no manifest
+        packed_cache(rows, folder, manifest)
+        got = load_packed(spark, folder, manifest)
+        if not got.limit(1).count():
+            _remove(spark, f"{folder}/manifest")
+            raise ValueError("no packed sequences")
+    return got
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def load_packed(spark: SparkSession, path: str, manifest: Mapping) -> DataFrame | None:
     """The cache, if its manifest is the one asked for."""
     try:

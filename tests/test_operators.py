@@ -250,7 +250,7 @@ def test_paired_and_duplicates_take_all_rows(spark, tmp_path):
     lines = [(k, j, k * 7 + j, k * 13 % 29 + j, float(k * j % 11)) for k in range(1, 401) for j in range(1, 4)]
     spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     right = lambda i, m: i * (m + 3) % 7 < 4
-    got = {r["model"]: r for r in entry.queries()["e6_e8_j8_paired_all"](spark, str(tmp_path)).collect()}
+    got = {r["model"]: r for r in entry.queries()["e6_e8_j8_paired"](spark, str(tmp_path)).collect()}
     assert sorted(got) == ["m1", "m2"]
     for m in (1, 2):
         b, c = (sum(right(i, 0) is x and right(i, m) is not x for i in range(n)) for x in (True, False))
@@ -264,7 +264,7 @@ def test_paired_and_duplicates_take_all_rows(spark, tmp_path):
         if want[i] is None:
             first.add(p)
             second.add(d)
-    got = {r["pos"]: r["reject"] for r in entry.queries()["d4_d5_d6_sequential_duplicates_all"](spark, str(tmp_path)).collect()}
+    got = {r["pos"]: r["reject"] for r in entry.queries()["d4_d5_d6_sequential_duplicates"](spark, str(tmp_path)).collect()}
     assert got == want
 
 
