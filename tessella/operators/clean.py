@@ -113,89 +113,101 @@ def minhash(c: Column | str, perms: int = 128, ngram: int = 5, seed: int = 1) ->
     return sign(T.as_column(c))
 
 
-def lsh_edges(docs: DataFrame, group: str, pos: str, text: str = "text", perms: int = 128, threshold: float = 0.8, ngram: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(edges, copies): edges (group, a, b) with a < b join documents of one group that share a band (J11, D2);
+def lsh_buckets(docs: DataFrame, group: str, pos: str, text: str = "text", perms: int = 128, threshold: float = 0.8, ngram: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(buckets, copies): buckets (group, key, p) hold the documents of one group that share a band (J11, D2), two at least;
     copies (group, p) have the signature of an earlier document.
 
-    Whatever keeps or drops the first of equal signatures drops the later ones, so they need no edges: a
-    group of exact copies costs nothing here.
+    Whatever keeps or drops the first of equal signatures drops the later ones, so they need no bucket: a
+    group of exact copies costs nothing here. Documents of a bucket are never paired.
     """
     bands, rows = banding(threshold, perms)
     signed = storage.cut(docs.select(group, F.col(pos).alias("p"), minhash(text, perms, ngram).alias("s")).filter("s is not null").withColumn("d", F.md5(F.array_join("s", ",").cast("binary"))))
     first = signed.groupBy(group, "d").agg(F.min("p").alias("first"))
     signed = signed.join(first, [group, "d"])
-    keys = F.array(*(F.xxhash64(F.lit(k), F.slice("s", k * rows + 1, rows)) for k in range(bands)))
-    rows_ = storage.cut(signed.filter("p = first").select(group, "p", F.posexplode(keys).alias("band", "h")))
-    shared = rows_.groupBy(group, "band", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    rows_ = rows_.join(shared, [group, "band", "h"], "left_semi")
-    x, y = rows_.select(group, "band", "h", F.col("p").alias("a")), rows_.select(group, "band", "h", F.col("p").alias("b"))
-    return x.join(y, [group, "band", "h"]).filter("a < b").select(group, "a", "b").distinct(), signed.filter("p > first").select(group, "p")
+    keys = F.array(*(F.concat(F.lit(f"{k}/"), F.md5(F.array_join(F.slice("s", k * rows + 1, rows), ",").cast("binary"))) for k in range(bands)))
+    members = storage.cut(signed.filter("p = first").select(group, "p", F.explode(keys).alias("key")))
+    shared = members.groupBy(group, "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return members.join(shared, [group, "key"], "left_semi").select(group, "key", "p"), signed.filter("p > first").select(group, "p")
 
 
-def _decide_in_blocks(left: DataFrame, edges: DataFrame, group: str, block: int) -> DataFrame:
-    """left (group, p: the undecided) with s, decided as far as links inside blocks of consecutive documents tell.
+def _keep_in_blocks(left: DataFrame, group: str, block: int) -> DataFrame:
+    """(group, p) of the documents kept as far as buckets tell inside blocks of consecutive undecided documents.
 
-    A task reads its block's links in order and holds only the block's decisions. The first block is always decided whole.
+    A task reads its block in order and holds only the block's keys. The first block is always decided whole.
     """
-    placed = storage.cut(order.with_position(left, F.col(group), F.col("p"), name="at"))
-    x, y = placed.select(group, F.col("p").alias("a"), F.col("at").alias("x")), placed.select(group, F.col("p").alias("b"), F.col("at").alias("y"))
-    links = edges.join(x, [group, "a"]).join(y, [group, "b"]).select("x", "y")
-    rows = links.unionByName(placed.select(F.lit(-1).cast("bigint").alias("x"), F.col("at").alias("y")))
+    placed = storage.cut(order.with_position(left.select(group, "p").distinct(), F.col(group), F.col("p"), name="at"))
+    rows = storage.cut(left.join(placed, [group, "p"]).withColumn("k", F.floor(F.col("at") / block)))
+    earliest = rows.groupBy(group, "key").agg(F.min("k").alias("k0"))
+    rows = rows.join(earliest, [group, "key"]).select("k", "at", F.md5(F.to_json(F.struct(group, "key")).cast("binary")).alias("key"), (F.col("k0") < F.col("k")).alias("outer"))
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, s, kept, open_ = None, 1, set(), set()
+        at, keys, open_, kept, undecided = None, [], False, set(), set()
 
-        def close():
-            if s != 2:
-                (kept if s == 1 else open_).add(at)
-            return at, s
+        def close() -> bool:
+            if any(k in kept for k in keys):
+                return False
+            if open_ or any(k in undecided for k in keys):
+                undecided.update(keys)
+                return False
+            kept.update(keys)
+            return True
 
         for f in frames:
             out = []
-            for x, y in zip(f["x"].tolist(), f["y"].tolist(), strict=True):
-                if y != at:
+            for x, key, outer in zip(f["at"].tolist(), f["key"], f["outer"].tolist(), strict=True):
+                if x != at:
                     if at is not None:
-                        out.append(close())
-                        if at // block != y // block:
-                            kept, open_ = set(), set()
-                    at, s = y, 1
-                if x in kept:
-                    s = 2
-                elif s == 1 and x >= 0 and (x // block != y // block or x in open_):
-                    s = 0
-            yield pd.DataFrame(out, columns=["at", "s"], dtype="int64")
-        if at is not None:
-            yield pd.DataFrame([close()], columns=["at", "s"], dtype="int64")
-
-    told = rows.withColumn("k", F.floor(F.col("y") / block)).repartition("k").sortWithinPartitions("y", "x").select("x", "y").mapInPandas(decide, "at bigint, s bigint")
-    return placed.join(told, "at").select(group, "p", F.col("s").cast("int").alias("s"))
-
-
-def greedy_keep_first(nodes: DataFrame, edges: DataFrame, group: str, most_rounds: int = 50, block: int = 1 << 15) -> DataFrame:
-    """(group, p, kept): kept iff no kept earlier neighbour, as a pass in order decides (D3).
-
-    Round by round: undecided documents without undecided or kept earlier neighbours are kept,
-    later neighbours of kept ones are dropped. Documents without edges are never shuffled again.
-    After ``most_rounds`` rounds each round also decides whole blocks of what is left, so chains of any length end.
+                        if close():
+                            out.append(at)
+                        if at // block != x // block:
+                            kept, undecided = set(), set()
+                    at, keys, open_ = x, [], False
+                keys.append(key)
+                open_ = open_ or outer
+            yield pd.DataFrame({"at": out}, dtype="int64")
+        if at is not None and close():
+            yield pd.DataFrame({"at": [at]}, dtype="int64")
+
+    told = rows.repartition("k").sortWithinPartitions("at").select("at", "key", "outer").mapInPandas(decide, "at bigint")
+    return placed.join(told, "at").select(group, "p")
+
+
+def keep_first_in_buckets(nodes: DataFrame, buckets: DataFrame, group: str, most_rounds: int = 20, block: int = 1 << 15) -> DataFrame:
+    """(group, p, kept): kept iff no kept earlier document is in one of its buckets (group, key, p), as a pass in order decides (D3).
+
+    Round by round: documents that are the first undecided one of all their buckets are kept, others of these buckets
+    dropped. A round takes a minimum a bucket, so it is linear in the buckets' rows, however large one is. After ``most_rounds``
+    rounds each round also decides whole blocks of what is left, so chains of any length end.
     """
-    linked = edges.select(group, F.col("a").alias("p")).unionByName(edges.select(group, F.col("b").alias("p"))).distinct()
-    state = storage.cut(linked.withColumn("s", F.lit(0)))  # 0 undecided, 1 kept, 2 dropped
-    edges = storage.cut(edges)
-    rounds = 0
-    while (left := state.filter("s = 0").count()) > 0:
+    left = storage.cut(buckets.select(group, "key", "p").distinct())
+    dropped, rounds, n = None, 0, left.count()
+    while n:
         rounds += 1
-        # blocks are decided once every neighbour of a kept document is dropped
-        free = F.coalesce("u", F.lit(0)) == 0 if rounds <= most_rounds else F.lit(False)
-        seen = edges.join(state.select(group, F.col("p").alias("a"), F.col("s").alias("sa")), [group, "a"])
-        by = seen.groupBy(group, F.col("b").alias("p")).agg(F.max((F.col("sa") == 1).cast("int")).alias("k"), F.max((F.col("sa") == 0).cast("int")).alias("u"))
-        new = state.join(by, [group, "p"], "left").select(group, "p", F.when(F.col("s") != 0, F.col("s")).when(F.col("k") == 1, 2).when(free, 1).otherwise(0).alias("s"))
-        state = storage.cut(new)
         if rounds > most_rounds:
-            told = _decide_in_blocks(state.filter("s = 0").select(group, "p"), edges, group, block)
-            state = storage.cut(state.filter("s <> 0").unionByName(told))
-        if state.filter("s = 0").count() >= left:
-            raise RuntimeError(f"{left} documents stay undecided: an edge must join an earlier document to a later one")
-    return nodes.join(state, [group, "p"], "left").select(group, "p", (F.coalesce("s", F.lit(1)) == 1).alias("kept"))
+            kept = _keep_in_blocks(left, group, block)
+        else:
+            firsts = left.groupBy(group, "key").agg(F.min("p").alias("first"))
+            kept = left.join(firsts, [group, "key"]).groupBy(group, "p").agg(F.bool_and(F.col("p") == F.col("first")).alias("ok")).filter("ok").drop("ok")
+        kept = storage.cut(kept)
+        taken = left.join(kept, [group, "p"], "left_semi").select(group, "key").distinct()
+        rest = left.join(kept, [group, "p"], "left_anti")
+        gone = storage.cut(rest.join(taken, [group, "key"], "left_semi").select(group, "p").distinct())
+        left = storage.cut(rest.join(gone, [group, "p"], "left_anti"))
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        if (m := left.count()) >= n:
+            raise RuntimeError(f"{n} memberships stay undecided")
+        n = m
+    if dropped is None:
+        return nodes.select(group, "p", F.lit(True).alias("kept"))
+    return nodes.join(dropped.withColumn("__gone", F.lit(True)), [group, "p"], "left").select(group, "p", F.col("__gone").isNull().alias("kept"))
+
+
+def greedy_keep_first(nodes: DataFrame, edges: DataFrame, group: str, most_rounds: int = 20, block: int = 1 << 15) -> DataFrame:
+    """keep_first_in_buckets for given links (group, a, b) of an earlier and a later document."""
+    if edges.filter("not coalesce(a < b, false)").limit(1).count():
+        raise RuntimeError("documents stay undecided: an edge must join an earlier document to a later one")
+    pairs = edges.select(group, F.concat_ws("/", "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("p"))
+    return keep_first_in_buckets(nodes, pairs, group, most_rounds, block)
 
 
 def drop_stage(docs: DataFrame, min_chars: int = 50, max_chars: int = 50_000, threshold: float = 0.5, languages: tuple[str, ...] = ("ja", "en")) -> DataFrame:
@@ -211,9 +223,9 @@ def clean_corpus(docs: DataFrame, evals: DataFrame | None = None, corpus: str =
     """docs with text, language and stage (null: kept), all four stages in order and each corpus by itself (O1)."""
     d = storage.cut(drop_stage(docs, min_chars, max_chars, lang_threshold, languages))
     left = d.filter("stage is null")
-    edges, copies = lsh_edges(left, corpus, pos, "text", perms, minhash_threshold, ngram)
+    buckets, copies = lsh_buckets(left, corpus, pos, "text", perms, minhash_threshold, ngram)
     first = left.select(corpus, F.col(pos).alias("p")).join(copies, [corpus, "p"], "left_anti")
-    kept = greedy_keep_first(first, edges, corpus).filter("not kept").select(corpus, "p").unionByName(copies)
+    kept = keep_first_in_buckets(first, buckets, corpus).filter("not kept").select(corpus, "p").unionByName(copies)
     d = d.join(kept.select(corpus, F.col("p").alias(pos), F.lit(True).alias("dup")), [corpus, pos], "left")
     d = d.withColumn("stage", F.when(F.col("stage").isNull() & F.col("dup").isNotNull(), "dedup").otherwise(F.col("stage"))).drop("dup")
     if evals is not None:

@@ -293,10 +293,10 @@ def a18_a19_verdict_totals(spark, sf):
     return m.agg(F.count(F.lit(1)).alias("total"), F.count_if("rule_pass").alias("passed"), F.count_if("degenerate").alias("degenerate"), F.avg("score").alias("mean_score"))
 
 
-@add("""SELECT DISTINCT topic FROM (SELECT n_name AS topic FROM nation) WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT upper(p_name) || ' FRANCE AND PERU' AS q FROM part) WHERE contains(q, topic))""")
+@add("""SELECT DISTINCT topic FROM (SELECT n_name AS topic FROM nation) WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT p_name || ' of NATION_' || p_size AS q FROM part) WHERE contains(q, topic))""")
 def j10_topic_in_prompts(spark, sf):
     topics = t(spark, sf, "nation").select(F.col("n_name").alias("topic"))
-    return prefs.topics_in(topics, t(spark, sf, "part").select(F.concat(F.upper("p_name"), F.lit(" FRANCE AND PERU")).alias("prompt")))
+    return prefs.topics_in(topics, t(spark, sf, "part").select(F.concat("p_name", F.lit(" of NATION_"), F.col("p_size").cast("string")).alias("prompt")))
 
 
 @add("SELECT o_custkey % 50 AS topic, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, min(o_orderkey) LIMIT 5")
@@ -628,9 +628,9 @@ def a1_f2_drop_stage(spark, sf):
 @add()
 def d1_d2_d3_near_duplicates(spark, sf):
     d = _corpora(spark, sf)
-    edges, copies = clean.lsh_edges(d, "corpus", "pos")
+    buckets, copies = clean.lsh_buckets(d, "corpus", "pos")
     first = d.select("corpus", F.col("pos").alias("p")).join(copies, ["corpus", "p"], "left_anti")
-    return clean.greedy_keep_first(first, edges, "corpus").unionByName(copies.withColumn("kept", F.lit(False)))
+    return clean.keep_first_in_buckets(first, buckets, "corpus").unionByName(copies.withColumn("kept", F.lit(False)))
 
 
 @add("""SELECT doc_id AS id, 'Q ' || source AS question, text AS answer FROM documents WHERE lang = 'en' AND source IS NOT NULL AND text IS NOT NULL AND n_chars % 3 <> 0""")

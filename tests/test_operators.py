@@ -16,9 +16,9 @@ BASE = "日本の四季は美しく、春には桜が咲き、夏には祭りが
 def test_near_duplicates(spark):
     rows = [("c", 0, BASE * 3), ("c", 1, BASE * 3 + "。"), ("c", 2, "まったく異なる内容の文章をここに書いておくことにする。" * 3), ("c", 3, BASE * 3), ("d", 4, BASE * 3)]
     df = spark.createDataFrame(rows, "corpus string, pos bigint, text string")
-    edges, copies = clean.lsh_edges(df, "corpus", "pos", perms=64, threshold=0.7)
+    buckets, copies = clean.lsh_buckets(df, "corpus", "pos", perms=64, threshold=0.7)
     first = df.select("corpus", F.col("pos").alias("p")).join(copies, ["corpus", "p"], "left_anti")
-    kept = {r["p"] for r in clean.greedy_keep_first(first, edges, "corpus").filter("kept").collect()}
+    kept = {r["p"] for r in clean.keep_first_in_buckets(first, buckets, "corpus").filter("kept").collect()}
     assert kept == {0, 2, 4}
 
 
@@ -57,6 +57,24 @@ def test_greedy_decides_long_chains(spark, block):
     assert {(r["g"], r["p"]): r["kept"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize(("most_rounds", "block"), [(20, 1 << 15), (1, 8)])
+def test_buckets_are_kept_as_a_pass_in_order_does(spark, most_rounds, block):
+    import random
+
+    rng = random.Random(5)
+    rows = [("a", f"k{rng.randrange(40)}", p) for p in range(90) for _ in range(rng.randrange(3))] + [("b", "hot", p) for p in range(500)] + [("c", f"{p + d}", p) for p in range(60) for d in (0, 1)]
+    nodes, of = [(g, p) for g, n in (("a", 90), ("b", 500), ("c", 60)) for p in range(n)], {}
+    for g, k, p in rows:
+        of.setdefault((g, p), set()).add((g, k))
+    taken, want = set(), {}
+    for node in nodes:
+        want[node] = not of.get(node, set()) & taken
+        if want[node]:
+            taken |= of.get(node, set())
+    got = clean.keep_first_in_buckets(spark.createDataFrame(nodes, "g string, p bigint"), spark.createDataFrame(rows, "g string, key string, p bigint"), "g", most_rounds, block)
+    assert {(r["g"], r["p"]): r["kept"] for r in got.collect()} == want
+
+
 def test_greedy_raises_rather_than_drops(spark):
     nodes = spark.createDataFrame([("c", 1), ("c", 2)], "g string, p bigint")
     with pytest.raises(RuntimeError, match="undecided"):
