@@ -110,5 +110,25 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_html, op4_embedding_dedup, op5_bpe, op6_ann, op7_langid, op8_mixing, op9_ngram_jaccard, op10_url_filter)}
 
 
+#: Components of the pairs ``links`` (a, b), both ways round, over the ids of ``nodes``: id, component_id.
+_REACHED = """reached(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.other),
+ parts AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)"""
+
+OP4_SQL = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ good AS MATERIALIZED (SELECT id, list_transform(x, lambda c: coalesce(c, 0)) AS x FROM nodes WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_sum(list_transform(x, lambda c: c * c)) > 0),
+ links AS (SELECT p.id AS a, q.id AS b FROM good p JOIN good q ON len(p.x) = len(q.x) AND p.id <> q.id WHERE CASE WHEN len(p.x) = len(q.x) THEN list_cosine_similarity(p.x, q.x) >= 0.95 END),
+ {_REACHED}
+ SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = parts.id) AS n_links, component_id, id = component_id AS kept FROM parts"""
+
+OP9_SQL = rf"""WITH RECURSIVE nodes AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ shingles AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM nodes),
+ sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+ shared AS (SELECT p.id AS a, q.id AS b, count(*) AS k FROM shingles p JOIN shingles q ON p.s = q.s AND p.id <> q.id GROUP BY 1, 2),
+ links AS (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+ {_REACHED}
+ SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM parts LEFT JOIN sizes USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL over pairs, for tables whose ids are unique; the other operators learn, iterate or hash in ways that SQL does not have."""
+    return {"op4_embedding_dedup": OP4_SQL, "op9_ngram_jaccard": OP9_SQL}

@@ -118,6 +118,20 @@ def test_op9(spark, folder):
     assert len(out) == len(rows) and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(sorted(dict(rows).items()))
 
 
+@pytest.mark.parametrize(("name", "table", "key"), [("op4_embedding_dedup", "embeddings", "vec_id"), ("op9_ngram_jaccard", "documents", "doc_id")])
+def test_sql_gives_the_same_rows(spark, folder, tmp_path, name, table, key):
+    import duckdb
+
+    at = str(tmp_path)
+    spark.read.parquet(f"{folder}/{table}.parquet").dropDuplicates([key]).write.parquet(f"{at}/{table}.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{at}/{table}.parquet/*.parquet'")
+    sql = con.sql(Q.oracle_sql()[name])
+    out = Q.queries()[name](spark, at)
+    assert sorted(sql.columns) == sorted(out.columns)
+    assert sorted(map(tuple, out.select(*sql.columns).collect())) == sorted(sql.fetchall())
+
+
 def test_op10(spark, folder):
     out = {r["page_id"]: r for r in run(spark, folder, "op10_url_filter")}
     assert [(out[i]["host"], out[i]["path"], out[i]["rule"], out[i]["verdict"]) for i in range(6)] == [
