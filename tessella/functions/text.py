@@ -156,10 +156,14 @@ def answer_segment(c: Column | str) -> Column:
 
 
 def custom_answer(c: Column | str, pattern: str) -> Column:
-    """All groups of the first match, joined and stripped; empty without one."""
-    groups = re.compile(re.sub(r"\(\?s\)", "", pattern)).groups
+    """All groups of the first match, joined and stripped; empty without one.
+
+    A pattern that begins with ``.*`` matches at the text's start or nowhere; tried there alone, it takes linear time.
+    """
+    bare = pattern.replace("(?s)", "")
     t = as_column(c)
-    return strip(F.concat(*(F.regexp_extract(t, "(?Us)" + pattern.replace("(?s)", ""), g) for g in range(1, groups + 1))))
+    found = "(?Us)" + (r"\A" if bare.startswith(".*") else "") + bare
+    return strip(F.concat(*(F.regexp_extract(t, found, g) for g in range(1, re.compile(bare).groups + 1))))
 
 
 def _judgement(raw: str | None) -> tuple[int | None, str | None]:

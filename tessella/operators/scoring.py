@@ -147,10 +147,10 @@ def compare_to_base(results: DataFrame, base: str) -> DataFrame:
     return d.withColumn("p", mcnemar_p(F.col("b"), F.col("c")))
 
 
-def perplexity(df: DataFrame, loss: str = "loss", n: str = "n_tokens") -> DataFrame:
-    """exp of the token-weighted mean loss; texts with fewer than two tokens don't count."""
+def perplexity(df: DataFrame, loss: str = "loss", n: str = "n_tokens", keys: Sequence[str] = ()) -> DataFrame:
+    """exp of the token-weighted mean loss, by ``keys`` if any; texts with fewer than two tokens don't count."""
     w = (F.col(n) - 1).cast("double")
-    return df.filter(F.col(n) >= 2).agg(F.exp(F.sum(F.col(loss) * w) / F.sum(w)).alias("perplexity"))
+    return df.filter(F.col(n) >= 2).groupBy(*keys).agg(F.exp(F.sum(F.col(loss) * w) / F.sum(w)).alias("perplexity"))
 
 
 def score_instructions(generations: DataFrame, prompts: DataFrame) -> DataFrame:

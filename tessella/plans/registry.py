@@ -41,9 +41,12 @@ def big(c):
 # --- functions -----------------------------------------------------------------
 
 
-@add("SELECT doc_id, md5(text) AS digest FROM documents")
+@add("SELECT doc_id, md5(text || 'ガ12') AS digest FROM documents")
 def n1_nfkc(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.md5(T.nfkc("text").cast("binary")).alias("digest"))
+    """Texts in full-width letters and digits come back as they were."""
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    wide = F.translate("text", plain, "".join(chr(ord(x) + 0xFEE0) for x in plain))
+    return t(spark, sf, "documents").select("doc_id", F.md5(T.nfkc(F.concat(wide, F.lit("ｶﾞ１②"))).cast("binary")).alias("digest"))
 
 
 @add(r"SELECT doc_id, md5(regexp_replace(text || chr(7) || chr(9) || chr(57344) || chr(133) || 'x', '[\x00-\x08\x0B-\x1F\x7F-\x9F\x{E000}-\x{F8FF}]', '', 'g')) AS digest FROM documents")
@@ -70,17 +73,23 @@ def n6_count_bullets(spark, sf):
     return t(spark, sf, "documents").select("doc_id", big(T.count_bullets(F.concat("text", F.lit("\n- a\n 1. b")))).alias("bullets"))
 
 
-@add(r"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'カメラ' WHEN 1 THEN '東京都' WHEN 2 THEN 'アア' END AS noun FROM orders""")
+@add(r"""WITH x AS (SELECT o_orderkey, repeat('カメラと', CAST(o_orderkey % 4 AS INT)) || repeat('京都の', CAST(o_custkey % 4 AS INT)) || repeat('東京都と', CAST(o_custkey % 3 AS INT)) || CASE WHEN o_orderkey % 5 = 0 THEN 'アア' ELSE 'ひらがな' END AS x FROM orders),
+ runs AS (SELECT o_orderkey, regexp_extract_all(x, '[ァ-ヴー]{2,}') || regexp_extract_all(x, '[\x{4E00}-\x{9FFF}]{2,4}') AS runs FROM x), r AS (SELECT o_orderkey, unnest(runs) AS r, unnest(range(len(runs))) AS i FROM runs),
+ n AS (SELECT o_orderkey, r, count(*) AS n, min(i) AS first FROM r GROUP BY 1, 2)
+ SELECT o_orderkey, arg_min(r, (-n, -length(r), first)) AS noun FROM x LEFT JOIN n USING (o_orderkey) GROUP BY 1""")
 def n7_keyword_noun(spark, sf):
-    c = F.element_at(F.array(*map(F.lit, ("東京でカメラとカメラ", "京都と東京都と京都と東京都", "漢字とアア", "ひらがな"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return t(spark, sf, "orders").select("o_orderkey", T.keyword_noun(c).alias("noun"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    x = F.concat(*(F.repeat(F.lit(w), n.cast("int")) for w, n in (("カメラと", k % 4), ("京都の", c % 4), ("東京都と", c % 3))), F.when(k % 5 == 0, "アア").otherwise("ひらがな"))
+    return t(spark, sf, "orders").select("o_orderkey", T.keyword_noun(x).alias("noun"))
 
 
-@add("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'x' || o_orderkey WHEN 1 THEN 'y' || o_orderkey ELSE 'はい z' END AS bare FROM orders")
+@add(r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest FROM documents")
 def n8_strip_preamble(spark, sf):
-    k = F.col("o_orderkey").cast("string")
-    c = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("はい、承知しました。\n以下のとおり、\n回答：x"), k)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("承知いたしました！\n```json\ny"), k, F.lit("\n```\n"))).otherwise("はい z ")
-    return t(spark, sf, "orders").select("o_orderkey", T.strip_preamble(c).alias("bare"))
+    """Texts behind none, one or two preambles, half of them in a fence, come back bare."""
+    k = F.col("doc_id")
+    body = F.when(k % 2 == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```\n"))).otherwise(F.col("text"))
+    c = F.concat(F.when(k % 3 > 0, "はい、承知しました。\n").otherwise(""), F.when(k % 3 > 1, "以下のとおり、\n回答：").otherwise(""), body)
+    return t(spark, sf, "documents").select("doc_id", F.md5(T.strip_preamble(c).cast("binary")).alias("digest"))
 
 
 @add(r"""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[。!?！？]|\n'), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '' AND NOT regexp_matches(x, '^(\s*[-・*]|\s*[0-9]+\.)'))) AS BIGINT) AS n FROM documents""")
@@ -88,28 +97,34 @@ def n9_split_sentences(spark, sf):
     return t(spark, sf, "documents").select("doc_id", big(F.size(T.split_sentences("text"))).alias("n"))
 
 
-@add(r"""SELECT doc_id, regexp_matches(left(text, 15), '[：:]') AS label FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents)""")
+@add(r"SELECT doc_id, CAST(len(list_filter(string_split(replace(text, ',', ':' || chr(10)), chr(10)), lambda x: regexp_matches(left(x, 15), '[：:]'))) AS BIGINT) AS labels FROM documents")
 def n10_label_lines(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", T.is_label_line(F.element_at(F.split("text", "\n"), 1)).alias("label"))
+    """Label lines of each text; every comma ends one."""
+    lines = F.split(F.replace("text", F.lit(","), F.lit(":\n")), "\n")
+    return t(spark, sf, "documents").select("doc_id", big(F.size(F.filter(lines, T.is_label_line))).alias("labels"))
 
 
-@add(r"""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'それは ' || o_orderkey || '。' WHEN 1 THEN o_orderkey || ' です' ELSE '' END AS segment FROM orders""")
+@add(r"""WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, '. ', '。') WHEN 1 THEN replace(text, ' and ', ' A: ') ELSE replace(text, ' to ', chr(10) || ' ' || chr(10)) END || '質問：x' AS x FROM documents)
+ SELECT doc_id, md5(trim(regexp_replace(regexp_extract(regexp_split_to_array(x, 'Question:|質問[:：]|\b[A-E]:|\n\s*\n')[1], '^([^。]*。?)', 1), '\s+', ' ', 'g'))) AS digest FROM x""")
 def n11_answer_segment(spark, sf):
-    k = F.col("o_orderkey").cast("string")
-    c = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" それは\n　"), k, F.lit("。次の文。質問：x"))).when(F.col("o_orderkey") % 3 == 1, F.concat(k, F.lit(" です\n \nQuestion: A: b。"))).otherwise(F.lit("質問: a"))
-    return t(spark, sf, "orders").select("o_orderkey", T.answer_segment(c).alias("segment"))
+    k = F.col("doc_id")
+    put = lambda a, b: F.replace("text", F.lit(a), F.lit(b))
+    c = F.concat(F.when(k % 3 == 0, put(". ", "。")).when(k % 3 == 1, put(" and ", " A: ")).otherwise(put(" to ", "\n \n")), F.lit("質問：x"))
+    return t(spark, sf, "documents").select("doc_id", F.md5(T.answer_segment(c).cast("binary")).alias("digest"))
 
 
-@add("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' ELSE '' END AS got FROM orders")
+@add("SELECT doc_id, regexp_extract(text, '(?s).*(the|and|of|der|les)', 1) AS got FROM documents")
 def n12_custom_answer(spark, sf):
-    c = F.when(F.col("o_orderkey") % 3 == 0, F.lit("yes, then unknown")).when(F.col("o_orderkey") % 3 == 1, F.lit("no\nor yes.")).otherwise(F.lit("maybe"))
-    return t(spark, sf, "orders").select("o_orderkey", T.custom_answer(c, "(?s).*(yes|no|unknown|undef)").alias("got"))
+    return t(spark, sf, "documents").select("doc_id", T.custom_answer("text", "(?s).*(the|and|of|der|les)").alias("got"))
 
 
-@add("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 4 END AS INT) AS score, CASE o_orderkey % 4 WHEN 0 THEN 'r' || o_orderkey END AS reason FROM orders")
+@add("""WITH x AS (SELECT o_orderkey, CAST(o_custkey % 8 AS INT) AS s, o_orderkey % 5 AS kind FROM orders)
+ SELECT o_orderkey, CASE WHEN kind < 3 AND s BETWEEN 1 AND 5 THEN s END AS score, CASE WHEN kind < 3 AND s BETWEEN 1 AND 5 THEN CASE kind WHEN 2 THEN '' ELSE 'r' || o_orderkey END END AS reason FROM x""")
 def n13_parse_judge(spark, sf):
-    k = F.col("o_orderkey").cast("string")
-    c = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('ok {"score": 4, "reason": "r'), k, F.lit('"} end'))).when(F.col("o_orderkey") % 4 == 1, F.lit('{"score": "4", "reason": "x"}')).when(F.col("o_orderkey") % 4 == 2, F.lit('{"score": true}')).otherwise("none")
+    """Scores 0 to 7 in a reply, as text, behind a broken bracket or without a reason."""
+    k, s, kind = F.col("o_orderkey").cast("string"), (F.col("o_custkey") % 8).cast("string"), F.col("o_orderkey") % 5
+    whole = F.concat(F.lit('{"score": '), s, F.lit(', "reason": "r'), k, F.lit('"}'))
+    c = F.when(kind == 0, F.concat(F.lit("ok "), whole, F.lit(" end"))).when(kind == 1, whole).when(kind == 2, F.concat(F.lit('{"score": '), s, F.lit("}"))).when(kind == 3, F.concat(F.lit('{"score": "'), s, F.lit('"}'))).otherwise(F.concat(F.lit("{"), whole))
     return t(spark, sf, "orders").select("o_orderkey", T.parse_judge_output(c).alias("j")).select("o_orderkey", "j.score", "j.reason")
 
 
@@ -186,9 +201,11 @@ def v2_bullet_count(spark, sf):
     return t(spark, sf, "documents").select("doc_id", V.bullet_count(F.col("text"), _detail(count=F.col("doc_id") % 2))["ok"].alias("ok"))
 
 
-@add("SELECT o_orderkey, o_orderkey % 3 <> 1 AS polite, o_orderkey % 3 = 1 AS plain FROM orders")
+@add("""WITH x AS (SELECT o_orderkey, o_orderkey % 3 AS a, o_custkey % 3 AS b FROM orders) SELECT o_orderkey, a > 0 AND b = 0 AS polite, b > 0 AND a = 0 AS plain FROM x""")
 def v3_polite_form(spark, sf):
-    c = F.element_at(F.array(*map(F.lit, ("件名: 会議\n本日は晴れです。明日も晴れでしょう。", "本日は晴れだ。明日は雨である。", "- 項目\nよろしくお願いします！"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    """Texts of none to two polite and plain sentences below a list item and a letter's opening."""
+    said = lambda w, n: F.repeat(F.lit(w), (F.col(n) % 3).cast("int"))
+    c = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "- 項目\n").otherwise(""), said("本日は晴れです。", "o_orderkey"), said("明日は雨だ。", "o_custkey"))
     return t(spark, sf, "orders").select("o_orderkey", *(V.polite_form(c, _detail(style=F.lit(s)))["ok"].alias(s) for s in ("polite", "plain")))
 
 
@@ -197,15 +214,21 @@ def v4_keyword(spark, sf):
     return t(spark, sf, "documents").select("doc_id", V.keyword(F.col("text"), _detail(include=F.array(F.lit("the")), exclude=F.array(F.lit("License"))))["ok"].alias("ok"))
 
 
-@add("SELECT event_id, event_id % 3 = 0 AS ok, event_id % 3 = 0 AND event_id % 2 = 0 AS items FROM events")
+@add("""WITH x AS (SELECT event_id, '[' || array_to_string(list_transform(range(0, user_id % 4), lambda i: '{"' || CASE WHEN event_id % 7 < 5 THEN 'k' ELSE 'q' END || '": ' || i || '}'), ', ') || CASE WHEN event_id % 5 = 0 THEN '' ELSE ']' END AS x FROM events)
+ SELECT event_id, json_valid(x) AS ok, CASE WHEN json_valid(x) THEN json_array_length(x) = 2 AND len(json_extract(x, '$[*].k')) = 2 ELSE false END AS items FROM x""")
 def v5_v11_format_json(spark, sf):
-    c = F.when(F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 2 == 0, F.lit('```json\n{"x": [{"k": 1}, {"k": 2}]}\n```')).otherwise('[{"k": 1}]')).when(F.col("event_id") % 3 == 1, F.lit('{"a": 1} x')).otherwise("{'a': 1}")
+    """Lists of none to three objects, some without the key, some unclosed, half of them in a fence."""
+    k = F.col("event_id")
+    one = lambda i: F.concat(F.lit('{"'), F.when(k % 7 < 5, "k").otherwise("q"), F.lit('": '), i.cast("string"), F.lit("}"))
+    x = F.concat(F.lit("["), F.array_join(F.transform(F.slice(F.array(*map(F.lit, range(4))), 1, (F.col("user_id") % 4).cast("int")), one), ", "), F.when(k % 5 == 0, "").otherwise("]"))
+    c = F.when(k % 2 == 0, F.concat(F.lit("a\n```json\n"), x, F.lit("\n```\nb"))).otherwise(x)
     return t(spark, sf, "events").select("event_id", V.format_json(c, _detail())["ok"].alias("ok"), V.format_json_detail(c, _detail(count=F.lit(2), keys=F.array(F.lit("k"))))["ok"].alias("items"))
 
 
-@add("SELECT event_id, event_id % 2 = 0 AS ok FROM events")
+@add(r"""WITH x AS (SELECT event_id, 'x' || chr(10) || '| a | b |' || chr(10) || CASE WHEN user_id % 3 = 0 THEN '| b | c |' ELSE '| --- | :-: |' END || chr(10) || repeat('| 1 | 2 |' || chr(10), CAST(event_id % 5 AS INT)) || 'end' AS x FROM events)
+ SELECT event_id, regexp_matches(x, '\|\n\| --- \| :-: \|\n(\|[^\n]*\|\n){2}') AS ok FROM x""")
 def v6_markdown_table(spark, sf):
-    c = F.when(F.col("event_id") % 2 == 0, F.lit("x\n| a | b |\n| --- | :-: |\n| 1 | 2 |\n| 3 | 4 |\n\nend")).otherwise("| a |\n| --- |\n| 1 |\n")
+    c = F.concat(F.lit("x\n| a | b |\n"), F.when(F.col("user_id") % 3 == 0, "| b | c |\n").otherwise("| --- | :-: |\n"), F.repeat(F.lit("| 1 | 2 |\n"), (F.col("event_id") % 5).cast("int")), F.lit("end"))
     return t(spark, sf, "events").select("event_id", V.format_markdown_table(c, _detail(min_rows=F.lit(2)))["ok"].alias("ok"))
 
 
@@ -323,10 +346,13 @@ def j9_a25_f3_contamination(spark, sf):
     return clean.contamination(t(spark, sf, "documents").select("doc_id", "text"), t(spark, sf, "benchmark"), 13, "doc_id")
 
 
-@add("SELECT c_custkey AS id, coalesce(max(o_totalprice) > 150000, false) AS correct FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@add("""WITH a AS (SELECT o_custkey AS id, count(*) || '。' || max(o_orderkey) AS raw FROM orders GROUP BY 1)
+ SELECT c_custkey AS id, c_mktsegment AS domain, coalesce(contains(split_part(raw, '。', 1), CAST(c_nationkey AS VARCHAR)), false) AS correct FROM customer LEFT JOIN a ON id = c_custkey""")
 def j7_left_outer(spark, sf):
-    o = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("m"))
-    return t(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(o, "id", "left").select("id", F.coalesce(F.col("m") > 150_000, F.lit(False)).alias("correct"))
+    """A customer's nation number is looked for in its number of orders; those without orders are wrong."""
+    said = F.concat(F.count(F.lit(1)).cast("string"), F.lit("。"), F.max("o_orderkey").cast("string"))
+    items = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("domain"), F.lit("d").alias("difficulty"), F.lit("short").alias("format"), F.array(F.col("c_nationkey").cast("string")).alias("answers"), F.lit(None).cast("string").alias("correct_choice"))
+    return scoring.score_items(items, t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(said.alias("raw"))).select("id", "domain", "correct")
 
 
 @add("""WITH a AS (SELECT source AS domain, avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END) AS accuracy FROM documents WHERE source <> 'src1' GROUP BY 1), b AS (SELECT source AS domain, avg(CASE WHEN n_chars > 1100 THEN 1.0 ELSE 0.0 END) AS accuracy FROM documents WHERE source <> 'src2' GROUP BY 1)
@@ -381,9 +407,7 @@ def e6_e8_j8_paired(spark, sf):
 
 @add("SELECT event_type, exp(sum(value * (user_id % 50)) / sum(user_id % 50) / 100) AS perplexity FROM events WHERE user_id % 50 >= 1 GROUP BY 1")
 def a22_perplexity(spark, sf):
-    e = t(spark, sf, "events").withColumns({"loss": F.col("value") / 100, "n_tokens": F.col("user_id") % 50 + 1}).filter("n_tokens >= 2")
-    w = F.col("n_tokens") - 1
-    return e.groupBy("event_type").agg(F.exp(F.sum(F.col("loss") * w) / F.sum(w)).alias("perplexity"))
+    return scoring.perplexity(t(spark, sf, "events").withColumns({"loss": F.col("value") / 100, "n_tokens": F.col("user_id") % 50 + 1}), keys=["event_type"])
 
 
 @add("SELECT lang, min(n_chars) AS min, max(n_chars) AS max, avg(n_chars) AS mean, median(n_chars) AS median FROM documents GROUP BY 1")
@@ -521,29 +545,36 @@ def c4_instruction(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", m.alias("m")).select("o_orderkey", F.md5(F.get("m", 0)["content"].cast("binary")).alias("q"), F.get("m", 1)["content"].alias("a"))
 
 
-@add("SELECT o_orderkey, o_orderkey % 3 = 0 AS ok FROM orders")
+@add("""WITH x AS (SELECT o_orderkey, [['human', 'gpt', 'user', 'assistant', 'bot', 'nobody'][o_orderkey % 6 + 1], ['human', 'gpt', 'nobody', 'assistant'][o_custkey % 4 + 1]] AS f FROM orders),
+ m AS (SELECT o_orderkey, list_transform(f, lambda x: CASE x WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'nobody' THEN NULL ELSE x END) AS r FROM x)
+ SELECT o_orderkey, CASE WHEN r[1] IS NOT NULL AND r[2] IS NOT NULL AND list_contains(r, 'user') AND list_contains(r, 'assistant') THEN r END AS roles FROM m""")
 def c3_conversations(spark, sf):
-    turn = lambda who: F.struct(F.lit(who).alias("from"), F.col("o_orderpriority").alias("value"))
-    c = F.when(F.col("o_orderkey") % 3 == 0, F.array(turn("human"), turn("gpt"))).when(F.col("o_orderkey") % 3 == 1, F.array(turn("human"), turn("nobody"))).otherwise(F.array(turn("user"), turn("human")))
-    return t(spark, sf, "orders").select("o_orderkey", chat.conversation_messages(c).isNotNull().alias("ok"))
+    """Two turns of all pairs of speakers."""
+    turn = lambda who, n: F.struct(F.element_at(F.array(*map(F.lit, who)), (F.col(n) % len(who) + 1).cast("int")).alias("from"), F.col("o_orderpriority").alias("value"))
+    c = F.array(turn(("human", "gpt", "user", "assistant", "bot", "nobody"), "o_orderkey"), turn(("human", "gpt", "nobody", "assistant"), "o_custkey"))
+    return t(spark, sf, "orders").select("o_orderkey", chat.conversation_messages(c)["role"].alias("roles"))
 
 
-@add("""SELECT o_orderkey, o_orderkey % 3 = 0 AS short, o_orderkey % 2 = 0 AS mcq, true AS legacy FROM orders""")
+@add("""WITH x AS (SELECT o_orderkey, o_orderkey % 3 AS before, o_custkey % 3 = 0 AS asked, o_orderkey % 5 = o_custkey % 5 AS same FROM orders)
+ SELECT o_orderkey, before = 0 AND NOT asked AS short, same AS mcq, NOT asked AS legacy FROM x""")
 def e1_e2_e3_e4_answers(spark, sf):
-    ans = F.array(F.col("o_orderkey").cast("string"))
-    raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.col("o_orderkey").cast("string"), F.lit("。"))).otherwise(F.concat(F.lit("別。"), F.col("o_orderkey").cast("string")))
-    m = F.when(F.col("o_orderkey") % 2 == 0, F.lit(" （B）です")).otherwise("答えは不明。答え：C")
-    return t(spark, sf, "orders").select("o_orderkey", scoring.score_row(F.lit("short"), raw, ans, F.lit(None)).alias("short"), scoring.score_row(F.lit("mcq"), m, ans, F.lit("B")).alias("mcq"), scoring.legacy_score(raw, ans).alias("legacy"))
+    """The answer behind none to two other sentences, sometimes behind a new question; letters A to E in two forms."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    letter = lambda n: F.element_at(F.array(*map(F.lit, "ABCDE")), (n % 5 + 1).cast("int"))
+    raw = F.concat(F.when(c % 3 == 0, "質問:").otherwise(""), F.repeat(F.lit("別。"), (k % 3).cast("int")), k.cast("string"), F.lit("。"))
+    m = F.when(k % 2 == 0, F.concat(F.lit(" （"), letter(k), F.lit("）です"))).otherwise(F.concat(F.lit("答えは不明。答え："), letter(k)))
+    ans = F.array(k.cast("string"))
+    return t(spark, sf, "orders").select("o_orderkey", scoring.score_row(F.lit("short"), raw, ans, F.lit(None)).alias("short"), scoring.score_row(F.lit("mcq"), m, ans, letter(c)).alias("mcq"), scoring.legacy_score(raw, ans).alias("legacy"))
 
 
 # --- more of the inventory --------------------------------------------------------
 
 
-@add("SELECT o_orderkey, md5('POST ' || o_orderpriority) AS digest FROM orders")
+@add("""SELECT o_orderkey, md5('{}' || o_orderpriority || '{}' || o_orderstatus || '{}') AS content, 'judge' AS model, 0.0::DOUBLE AS temperature FROM orders""".format(*(x.replace("'", "''") for x in T.JUDGE_PROMPT)))
 def n14_n15_judge_requests(spark, sf):
-    body = T.judge_request("judge", T.judge_prompt(F.col("o_orderpriority"), F.lit("r")))
-    good = (F.get_json_object(body, "$.messages[0].content").contains(F.col("o_orderpriority"))) & (F.get_json_object(body, "$.max_tokens") == "96")
-    return t(spark, sf, "orders").select("o_orderkey", F.md5(F.when(good, F.concat(F.lit("POST "), "o_orderpriority")).cast("binary")).alias("digest"))
+    body = T.judge_request("judge", T.judge_prompt(F.col("o_orderpriority"), F.col("o_orderstatus")))
+    got = F.from_json(body, "model string, messages array<struct<role:string,content:string>>, max_tokens int, temperature double")
+    return t(spark, sf, "orders").select("o_orderkey", got.alias("x")).filter("x.max_tokens = 96 and x.messages[0].role = 'user'").select("o_orderkey", F.md5(F.col("x.messages")[0]["content"].cast("binary")).alias("content"), "x.model", "x.temperature")
 
 
 @add("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) ELSE printf('%.1f KiB', n_chars / 1024.0) END AS size FROM documents")
@@ -688,6 +719,48 @@ def o7_verification(spark, sf):
     return recipes.run_verification(g, p)[1]
 
 
+def _said(spark, sf):
+    """Chats of two turns from orders."""
+    m = T.messages(F.col("o_orderpriority"), F.concat(F.lit("カメラの説明です。番号は"), F.col("o_orderkey").cast("string"), F.lit("です。")))
+    return t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), m.alias("messages"))
+
+
+@add("SELECT 'one' AS origin, 100 AS count UNION ALL SELECT 'two', count(*) FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT 'format', 50 + 40")
+def o4_sft_mix_origins(spark, sf):
+    """A sample of one component, all of another, and constraint rows made from both."""
+    d = _said(spark, sf)
+    return recipes.prepare_sft_mix({"one": d.filter("id % 2 = 0"), "two": d.filter("id % 2 = 1")}, {"one": 100}, {"char_count": 50, "polite_form": 40})[1]["origins"]
+
+
+_EVAL_STRUCT = "struct<char_count:struct<min:int,max:int>>"
+
+
+def _evals(spark, sf):
+    """Benchmark texts as evaluation prompts, with one bound among their constraints."""
+    return t(spark, sf, "benchmark").select(F.col("text").alias("prompt"), F.from_json(F.lit('{"char_count": {"max": 50}}'), _EVAL_STRUCT).alias("kwargs"))
+
+
+@add(f"""SELECT 'a' AS source, 'char_count' AS category, count(*) AS count FROM part WHERE p_size + 10 <> 50
+ UNION ALL SELECT 'b', category, CAST(sum(least(n, (SELECT count(DISTINCT p_partkey) FROM part))) AS BIGINT) FROM (VALUES {", ".join(f"('{b[1]}', {b[6]})" for b in prompts.buckets())}) v(category, n) GROUP BY 2""")
+def o6_prompt_pool(spark, sf):
+    """Rows of the pool by source and category."""
+    rows = t(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.lit("char_count").alias("category"), _detail(max=F.col("p_size") + 10).alias("detail"), F.concat(F.lit("品目"), F.col("p_partkey").cast("string")).alias("topic"), F.concat("p_name", F.lit("?")).alias("prompt"), F.lit("r").alias("response"), F.lit("char_count").alias("instruction_id_list"))
+    return recipes.build_prompt_pool(rows, _evals(spark, sf))[1]
+
+
+@add("""WITH x AS (SELECT doc_id, doc_id % 5 AS r, length('答え' || doc_id || '番の文章は' || substr('書かれていて十分に長いものですが、それでも短い', 1, CAST(10 + (doc_id % 7) * 3 AS INT))) AS n FROM documents)
+ SELECT 'distill/' || doc_id AS id FROM x WHERE n BETWEEN 0.6 * 40 AND 0.9 * 40 AND r > 0 UNION ALL SELECT 'base/' || n_nationkey FROM nation""")
+def o5_distill_mix(spark, sf):
+    """Responses of several lengths under one bound; what keeps a tight margin and repeats nothing is mixed with the base rows."""
+    k = F.col("doc_id").cast("string")
+    more = F.substring(F.lit("書かれていて十分に長いものですが、それでも短い"), F.lit(1), (10 + (F.col("doc_id") % 7) * 3).cast("int"))
+    response = F.concat(F.lit("答え"), k, F.lit("番の文章は"), more)
+    detail = _detail(max=F.when(F.col("doc_id") % 5 == 0, 5).otherwise(40))
+    rows = t(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.lit("char_count").alias("category"), detail.alias("detail"), F.concat(F.lit("品目"), k).alias("topic"), F.concat(F.lit("p"), k).alias("prompt"), response.alias("response"))
+    base = t(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), T.messages("n_name", "n_name").alias("messages"))
+    return recipes.prepare_distill_mix(rows, _evals(spark, sf), base, base_mean=30.0)[0].select("id")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -58,6 +58,8 @@ def test_answers(spark):
     assert column(spark, ["東京です。質問: 次", "A: x", " 大阪\n\n次", None, "京 都 。続き"], T.answer_segment) == ["東京です。", "", "大阪", "", "京 都 。"]
     pattern = "(?s).*(yes|no|unknown|undef)"
     assert column(spark, ["yes\nthen no", "unknown", "maybe"], lambda c: T.custom_answer(c, pattern)) == ["no", "no", ""]
+    assert column(spark, ["x\nyes", "no: 7", "none"], lambda c: T.custom_answer(c, ".*(yes)|no: ([0-9])")) == ["yes", "7", ""]
+    assert column(spark, ["a" * 300_000], lambda c: T.custom_answer(c, pattern)) == [""]  # linear in the text
 
 
 def test_judgements(spark):
