@@ -145,8 +145,7 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE_BYTES = np.array([0x20, *range(0x09, 0x0E)])
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -178,16 +177,25 @@ def binary_values(column) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hash, first byte, end byte, row) of each word of many texts at once.
 
-    A word is ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; its hash depends on its
-    bytes alone (a polynomial over a random byte table, finalised), so it is the
-    same on every executor.
+    A word is ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
+    """
+    return run_hashes(raw, offs, _SPACE_BYTES)
+
+
+def run_hashes(raw: np.ndarray, offs: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, first byte, end byte, row) of each longest run of bytes other than ``gaps`` in many texts.
+
+    A-Z count as a-z. A hash depends on its run's bytes alone (a polynomial over a random byte table, finalised), so it
+    is the same on every executor.
     """
     n = len(raw)
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
     up, down = _powers(n + 1)
-    word = ~_SPACE[raw]
+    inside = np.ones(256, bool)
+    inside[gaps] = False
+    word = inside[raw]
     edge = np.zeros(n + 1, bool)  # a text's end ends a word
     edge[offs] = True
     prev = np.concatenate([[False], word[:-1]])

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, fold, table
+from .common import WORD, Scratch, fold, table
 
 #: The vocabulary that op5 encodes with; a file that the environment provides.
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+#: The tokenizer of op12; a file that the environment provides.
+LIBRARY_FILE = "byte_bpe_50k.json"
 #: The rules of op10: (action, host/path).
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -106,8 +108,37 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors: k 40, five rounds, whole numbers at a scale of 256."""
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and digest, as read back from the token files that were written."""
+    from pathlib import Path
+
+    import public_tokenizers
+
+    from .token_files import read_tokens, write_tokens
+
+    root = Scratch(spark, "token-files").root
+    write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), root, Path(public_tokenizers.path(LIBRARY_FILE)).read_text(encoding="utf-8"))
+    return read_tokens(spark, root, ids=False).withColumnRenamed("id", "doc_id")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    from .ranked_search import build, search
+
+    scratch = Scratch(spark, "search")
+    return search(build(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch), table(spark, sf_dir, "benchmark").select("item_id", "text"), scratch=scratch)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_html, op4_embedding_dedup, op5_bpe, op6_ann, op7_langid, op8_mixing, op9_ngram_jaccard, op10_url_filter)}
+    every = (op1_lm_score, op2_toxicity, op3_html, op4_embedding_dedup, op5_bpe, op6_ann, op7_langid, op8_mixing, op9_ngram_jaccard, op10_url_filter, op11_centroids, op12_token_files, op13_ranked_search)
+    return {f.__name__: f for f in every}
 
 
 #: Components of the pairs ``links`` (a, b), both ways round, over the ids of ``nodes``: id, component_id.
@@ -128,7 +159,27 @@ OP9_SQL = rf"""WITH RECURSIVE nodes AS (SELECT doc_id AS id, regexp_extract_all(
  {_REACHED}
  SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM parts LEFT JOIN sizes USING (id)"""
 
+_ASSIGN = """a{i} AS MATERIALIZED (SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM
+  (SELECT vec_id, cluster, CAST(v.xx + list_inner_product(c.x, c.x) - 2 * list_inner_product(v.x, c.x) AS BIGINT) AS d FROM v CROSS JOIN c{i} c) GROUP BY vec_id)"""
+_MOVE = """m{i} AS (SELECT cluster, p, floor(sum(y) / count(*)) AS y FROM (SELECT cluster, unnest(x) AS y, unnest(range(64)) AS p FROM a{i} JOIN v USING (vec_id)) GROUP BY cluster, p),
+ c{j} AS MATERIALIZED (SELECT c.cluster, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT cluster, list(y ORDER BY p) AS x FROM m{i} GROUP BY cluster) n USING (cluster))"""
+OP11_SQL = f"""WITH v AS MATERIALIZED (SELECT vec_id, x, list_inner_product(x, x) AS xx FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e: floor(256 * e)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, x FROM v ORDER BY cluster LIMIT 40),
+ {", ".join(_ASSIGN.format(i=i) + ", " + _MOVE.format(i=i, j=i + 1) for i in range(5))}, {_ASSIGN.format(i=5)}
+ SELECT vec_id, CAST(cluster AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(x, lambda e: CAST(e AS BIGINT)), ',')) AS centroid_sha256 FROM a5 JOIN c5 USING (cluster)"""
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, {_TERMS} AS w FROM documents), sizes AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0), facts AS (SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+ q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY 1, 2), wanted AS (SELECT DISTINCT t FROM q),
+ tf AS MATERIALIZED (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) JOIN wanted USING (t) GROUP BY 1, 2),
+ weights AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * n + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), facts),
+ points AS (SELECT doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * s.n * facts.n) // facts.l))) AS p FROM tf JOIN weights USING (t) JOIN sizes s USING (doc_id), facts),
+ scores AS (SELECT item_id, doc_id, CAST(sum(times * p) AS BIGINT) AS score FROM q JOIN points USING (t) GROUP BY 1, 2 HAVING sum(times * p) > 0)
+ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """SQL over pairs, for tables whose ids are unique; the other operators learn, iterate or hash in ways that SQL does not have."""
-    return {"op4_embedding_dedup": OP4_SQL, "op9_ngram_jaccard": OP9_SQL}
+    """SQL over pairs and whole tables, for ids that are unique; the other operators learn, iterate or hash in ways that SQL does not have."""
+    return {"op4_embedding_dedup": OP4_SQL, "op9_ngram_jaccard": OP9_SQL, "op11_centroids": OP11_SQL, "op13_ranked_search": OP13_SQL}
