@@ -42,21 +42,36 @@ GAPS = np.array([c for c in range(128) if not chr(c).isalnum()])
 _PARTS = "u1", "u2", "u4"
 
 
-def _least(x: np.ndarray) -> tuple[int, bytes]:
-    """Non-negative numbers in as few bytes as the largest needs: (which of _PARTS, bytes)."""
-    top = int(x.max())
-    kind = 0 if top < 1 << 8 else 1 if top < 1 << 16 else 2
-    return kind, x.astype(_PARTS[kind]).tobytes()
+def pack(term: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(each term once, its postings) of postings in order of term and document number; counts are at least 1.
 
-
-def pack(numbers: np.ndarray, counts: np.ndarray) -> bytes:
-    """A term's postings: rising document numbers and counts of at least 1."""
-    gap, a = _least(np.diff(numbers, prepend=0))
-    kind, b = _least(counts - 1)
-    return bytes([gap | kind << 4]) + a + b
+    A posting list is a byte that says both widths, then gaps between numbers, then counts less 1.
+    """
+    start = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+    n = np.diff(np.append(start, len(term)))
+    gaps, less = np.diff(numbers, prepend=0), counts - 1
+    gaps[start] = numbers[start]
+    widths = [np.searchsorted([1 << 8, 1 << 16], np.maximum.reduceat(x, start) if len(start) else start, side="right") for x in (gaps, less)]
+    size = 1 + n * ((1 << widths[0]) + (1 << widths[1]))
+    at = np.concatenate([[0], np.cumsum(size)])
+    data = np.zeros(int(at[-1]), np.uint8)
+    data[at[:-1]] = widths[0] | widths[1] << 4
+    which = np.repeat(np.arange(len(start)), n)
+    place = np.arange(len(term)) - start[which]
+    begin = at[:-1] + 1
+    for x, kind in zip((gaps, less), widths, strict=True):
+        width = (1 << kind)[which]
+        to = begin[which] + place * width
+        for byte in range(4):
+            there = np.flatnonzero(width > byte)
+            if len(there):
+                data[to[there] + byte] = (x[there] >> (8 * byte)) & 255
+        begin = begin + n * (1 << kind)
+    return start, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(rising document numbers, counts) of a posting list."""
     gap, kind = _PARTS[blob[0] & 15], _PARTS[blob[0] >> 4]
     n = (len(blob) - 1) // (int(gap[1]) + int(kind[1]))
     numbers = np.cumsum(np.frombuffer(blob, gap, n, 1), dtype=np.int64)
@@ -121,14 +136,12 @@ def build(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
         for i, (ids, size, term, doc, count) in enumerate(_shards(batches)):
             shard = part << 20 | i
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((shard, None, None, int((size > 0).sum()), int(size.sum()), None, ids.to_pylist(), size.tolist()), kinds, strict=True)], names)
-            start = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
-            end = np.append(start[1:], len(term))
+            start, blobs = pack(term, doc, count)
+            df = np.diff(np.append(start, len(term)))
             for at in range(0, len(start), 8192):
-                a, b = start[at : at + 8192], end[at : at + 8192]
-                n = len(a)
-                blobs = [pack(doc[x:y], count[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                none = [pa.nulls(n, k) for k in kinds]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(term[a].view(np.int64)), pa.array(b - a), none[3], none[4], pa.array(blobs, pa.binary()), none[6], none[7]], names)
+                part = start[at : at + 8192]
+                none = [pa.nulls(len(part), k) for k in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard)), pa.array(term[part].view(np.int64)), pa.array(df[at : at + 8192]), none[3], none[4], blobs.slice(at, 8192).cast(pa.binary()), none[6], none[7]], names)
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
