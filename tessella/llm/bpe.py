@@ -2,11 +2,14 @@
 
 Two tiers: a minimal perfect hash over the vocabulary answers pre-tokens that are
 themselves tokens; any other pre-token is merged with a heap of adjacent pairs over
-a doubly linked list of its bytes. Each worker remembers answers for frequent
-pre-tokens in a bounded memo. The vocabulary is given, never trained here.
+a doubly linked list of its bytes. Texts are split in numpy arrays where the pattern is the usual one, else by
+the pattern itself. Each worker remembers the answers of a bounded number of pre-tokens, so a batch asks once for each
+that it hasn't met. The vocabulary is given, never trained here.
 
 A null text is empty; an empty text has no ids and decodes to nothing. Texts are
-encoded whole, whatever their length, and rows keep their order and repeats.
+encoded whole, whatever their length, and rows keep their order and repeats; an empty table gives an empty result. Long texts are
+split in parts cut where no pre-token crosses; one without a blank between letters or digits is one part, some 100 bytes
+of memory for each character. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,15 +17,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows, tidied
+from . import pretokens
+from .common import arrow_rows, chunks, tidied
+from .pretokens import PieceIds
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,33 +86,11 @@ class PerfectHash:
         return int(self.slot_value[s]) if self.slot_key[s] == key else -1
 
 
-class _Memo(dict):
-    """Pre-token -> its ids as int32 bytes; a miss asks the codec.
-
-    Two generations: when the young one is full it becomes the old one, so memory is bounded
-    and frequent pre-tokens stay.
-    """
-
-    def __init__(self, codec: BpeCodec, limit: int):
-        self.codec, self.limit, self.old = codec, limit, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        out = self.old.get(piece)
-        if out is None:
-            out = array("i", self.codec.piece_ids(piece.encode())).tobytes()
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
-
-
 class BpeCodec:
     """Encodes and decodes with a table of ranks and a splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 120_000):
-        self.ranks, self.pattern, self.memo_limit = ranks, pattern, memo
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 6_000_000):
+        self.ranks, self.pattern, self.memo_limit = ranks, pattern, memo  # memo: ids and pre-tokens remembered
         self.perfect = PerfectHash(ranks)
         self._ready()
 
@@ -123,7 +105,7 @@ class BpeCodec:
         import regex
 
         self.find = regex.compile(self.pattern).findall
-        self.memo = _Memo(self, self.memo_limit)
+        self.memo = PieceIds(lambda pieces: [self.piece_ids(p.encode()) for p in pieces], self.memo_limit)
         top = max(self.ranks.values(), default=-1) + 1
         tokens = [b""] * top
         for t, r in self.ranks.items():
@@ -169,9 +151,16 @@ class BpeCodec:
             i = end[i]
         return out
 
+    def encode_all(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """The ids of each whole text."""
+        if self.pattern != pretokens.PATTERN:
+            return [np.array([x for p in self.find(t or "") for x in self.piece_ids(p.encode())], np.int32) for t in texts]
+        ids, at = self.memo.encode(texts)
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text."""
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.find(text or ""))), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for."""
@@ -211,10 +200,9 @@ def bpe_tokenize(docs: DataFrame, codec: BpeCodec, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for b in batches:
+        for t in chunks(batches, "text", 1_500_000):
             counts, lists, a, d, out = [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                x = c.encode(text)
+            for x in c.encode_all(t.column("text").to_pylist()):
                 counts.append(len(x))
                 if ids:
                     lists.append(x)
@@ -225,7 +213,8 @@ def bpe_tokenize(docs: DataFrame, codec: BpeCodec, id_col: str = "doc_id", text_
                     d.append(hashlib.sha256(back).hexdigest())
                 if raw:
                     out.append(back)
-            cols = [b.column(0), pa.array(counts, pa.int64())]
+            key = t.column("doc_id").combine_chunks()
+            cols = [key.chunk(0) if isinstance(key, pa.ChunkedArray) else key, pa.array(counts, pa.int64())]
             if ids:
                 cols.append(pa.array(lists, pa.list_(pa.int32())))
             if digests:

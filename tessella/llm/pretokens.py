@@ -108,7 +108,7 @@ def piece_hashes(cp: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 class PieceIds:
-    """Ids of pieces by hash; ``resolve`` gives those of pieces that aren't known. At most ``limit`` ids are remembered."""
+    """Ids of pieces by hash; ``resolve`` gives those of pieces that aren't known. Beyond ``limit`` ids and pieces all are forgotten."""
 
     def __init__(self, resolve: Callable[[list[str]], list], limit: int = 6_000_000):
         self.resolve, self.limit = resolve, limit
@@ -121,8 +121,6 @@ class PieceIds:
         got = self.resolve(pieces)
         size = np.fromiter(map(len, got), np.int32, len(got))
         flat = np.fromiter((x for g in got for x in g), np.int32, int(size.sum()))
-        if len(self.ids) + len(flat) + len(self.keys) > self.limit:
-            self._forget()
         at = len(self.ids) + np.cumsum(size) - size
         keys = np.concatenate([self.keys, hashes])
         order = np.argsort(keys, kind="stable")  # two sorted runs
@@ -146,16 +144,13 @@ class PieceIds:
         first, end = split(cp)
         if not len(first):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        if len(self.ids) + len(self.keys) > self.limit:
+            self._forget()
         distinct, where, which = np.unique(piece_hashes(cp, first, end), return_index=True, return_inverse=True)
         _, known = self._find(distinct)
         if not known.all():
             lost = where[~known]
-            pieces = [cp[a:b].tobytes().decode("utf-32-le") for a, b in zip(first[lost].tolist(), end[lost].tolist(), strict=True)]
-            self._learn(distinct[~known], pieces)
-            _, known = self._find(distinct)
-            if not known.all():  # the table was full: what it had is asked for again
-                lost = where[~known]
-                self._learn(distinct[~known], [cp[a:b].tobytes().decode("utf-32-le") for a, b in zip(first[lost].tolist(), end[lost].tolist(), strict=True)])
+            self._learn(distinct[~known], [cp[a:b].tobytes().decode("utf-32-le") for a, b in zip(first[lost].tolist(), end[lost].tolist(), strict=True)])
         at, _ = self._find(distinct)
         at = at[which]
         size, begin = self.size[at].astype(np.int64), self.at[at]
