@@ -21,6 +21,7 @@ def folder(spark, docs, tmp_path_factory):
     urls = ["http://a.org/x", None, "", "https://B.example.org/es/1?q#f", "http://c.com/de/1", "no url"]
     pages = [(i, urls[i % 6] if i < 12 else f"http://h.net/{i}", PAGE % (i, i) if i % 5 else None, "clash") for i in range(40)]
     spark.createDataFrame([*pages, pages[3]], "page_id bigint, url string, html string, text string").write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame([(i, f"item {i} the der") for i in range(5)], "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
     vectors(spark)[0].withColumn("label", F.lit(1)).withColumn("score", F.lit("clash")).write.parquet(f"{at}/embeddings.parquet")
     return at
 
@@ -28,7 +29,7 @@ def folder(spark, docs, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty(spark, folder, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "pages", "embeddings"):
+    for name in ("documents", "labels", "pages", "embeddings", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").filter("false").write.parquet(f"{at}/{name}.parquet")
     return at
 
@@ -42,6 +43,7 @@ COLUMNS = {
     "op3_html": {"page_id", "url", "text", "n_chars"}, "op4_embedding_dedup": {"vec_id", "n_links", "component_id", "kept"}, "op5_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op6_ann": {"query_id", "rank", "vec_id", "score"}, "op7_langid": {"doc_id", "held_out", "lang_pred", "score"}, "op8_mixing": {"doc_id", "domain", "epoch"},
     "op9_ngram_jaccard": {"doc_id", "n_shingles", "component_id"}, "op10_url_filter": {"page_id", "host", "path", "rule", "verdict"},
+    "op11_centroids": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"}, "op12_token_files": {"doc_id", "start", "n_tokens", "ids_crc32"}, "op13_ranked_search": {"item_id", "rank", "doc_id", "score"},
 }
 
 
