@@ -78,7 +78,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return numbers, np.frombuffer(blob, kind, n, 1 + n * int(gap[1])).astype(np.int64) + 1
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _shards(batches: Iterator[pa.RecordBatch], most_docs: int = SHARD_DOCS, most_postings: int = SHARD_POSTINGS) -> Iterator[tuple]:
     """(ids, lengths, terms, numbers, counts) of each shard, by term and then number."""
     held, docs, postings = [], 0, 0
 
@@ -96,8 +96,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         order = np.lexsort((doc, term))
         return ids.take(pa.array(by)), size[by], term[order], doc[order], count[order]
 
-    for t in chunks(batches, "text", 1_500_000, SHARD_DOCS):
-        if docs + t.num_rows > SHARD_DOCS:
+    for t in chunks(batches, "text", 1_500_000, most_docs):
+        if docs and docs + t.num_rows > most_docs:
             yield close()
             held, docs, postings = [], 0, 0
         h, _, _, row = run_hashes(*binary_values(t.column("text")), GAPS)
@@ -109,7 +109,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         key = t.column("doc_id").combine_chunks()
         held.append((key.chunk(0) if isinstance(key, pa.ChunkedArray) else key, np.bincount(row, minlength=t.num_rows).astype(np.int64), h[start], row[start], np.diff(np.append(start, len(h)))))
         docs, postings = docs + t.num_rows, postings + len(start)
-        if postings >= SHARD_POSTINGS:
+        if postings >= most_postings:
             yield close()
             held, docs, postings = [], 0, 0
     if held:
@@ -125,16 +125,16 @@ class Index:
         self.n, self.total = int(got["n"] or 0), int(got["l"] or 0)
 
 
-def build(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", most_docs: int = SHARD_DOCS, most_postings: int = SHARD_POSTINGS) -> Index:
     """Indexes every row of ``docs``; one pass, nothing is shuffled. Ids are whole numbers."""
     spark = docs.sparkSession
     arrow_rows(spark)
     names = ["shard", "term", "df", "docs", "terms", "blob", "ids", "lengths"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for i, (ids, size, term, doc, count) in enumerate(_shards(batches)):
-            shard = part << 20 | i
+        task = TaskContext.get().partitionId()
+        for i, (ids, size, term, doc, count) in enumerate(_shards(batches, most_docs, most_postings)):
+            shard = task << 20 | i
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((shard, None, None, int((size > 0).sum()), int(size.sum()), None, ids.to_pylist(), size.tolist()), kinds, strict=True)], names)
             start, blobs = pack(term, doc, count)
             df = np.diff(np.append(start, len(term)))
@@ -202,7 +202,7 @@ class Best:
         return [(None if none else -i, s) for s, none, i in self.heap]
 
 
-def merge(lists: list[tuple[np.ndarray, np.ndarray, int]], best: Best, ids: list) -> int:
+def merge(lists: list[tuple[np.ndarray, np.ndarray, int]], best: Best, ids: list, window: int = WINDOW) -> int:
     """Offers ``best`` every document of a shard that may enter; lists: (numbers, points, most points) of each term. Returns how many postings were read.
 
     A document with the bar's score still enters by a smaller id, so only what stays under the bar is left out.
@@ -218,7 +218,7 @@ def merge(lists: list[tuple[np.ndarray, np.ndarray, int]], best: Best, ids: list
         while idle < len(lists) and tops[idle] < best.bar:
             idle += 1
         begin = heap[0][0]
-        end = begin + WINDOW
+        end = begin + window
         numbers, points = [], []
         while heap and heap[0][0] < end:
             _, j = heapq.heappop(heap)
@@ -260,7 +260,7 @@ def merge(lists: list[tuple[np.ndarray, np.ndarray, int]], best: Best, ids: list
     return read
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "item_id", text_col: str = "text", scratch: Scratch | None = None, block_terms: int = BLOCK_TERMS) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "item_id", text_col: str = "text", scratch: Scratch | None = None, block_terms: int = BLOCK_TERMS, window: int = WINDOW) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` best documents of each query, equal scores by ascending id."""
     spark = queries.sparkSession
     scratch = scratch or Scratch(spark, "search")
@@ -269,7 +269,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "item_id
     df = index.postings.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     wanted = scratch.save(wanted.join(df, "term"), "weighted")
     for number, block in enumerate(_blocks(wanted, block_terms)):
-        part = scratch.save(_answer(index, block.select("q", "id", "term", "times", "df"), k), f"found-{number}")
+        part = scratch.save(_answer(index, block.select("q", "id", "term", "times", "df"), k, window), f"found-{number}")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
@@ -286,7 +286,7 @@ def _blocks(wanted: DataFrame, most: int) -> Iterator[DataFrame]:
         yield wanted.filter(F.pmod(F.xxhash64("q"), F.lit(n)) == i) if n > 1 else wanted
 
 
-def _answer(index: Index, block: DataFrame, k: int) -> DataFrame:
+def _answer(index: Index, block: DataFrame, k: int, window: int) -> DataFrame:
     """(q, id, doc_id, score): each task's best documents of each query of a block."""
     spark = block.sparkSession
     rows = block.toArrow()  # about BLOCK_TERMS rows
@@ -313,7 +313,7 @@ def _answer(index: Index, block: DataFrame, k: int) -> DataFrame:
             for b, (_, _, which, times) in zip(best, asked, strict=True):
                 own = [(lists[t][0], lists[t][1] * x if x > 1 else lists[t][1], lists[t][2] * x) for t, x in zip(which.tolist(), times.tolist(), strict=True) if t in lists and lists[t][2]]
                 if own:
-                    merge(own, b, ids)
+                    merge(own, b, ids, window)
         out = [(q, i, d, s) for (q, i, _, _), b in zip(asked, best, strict=True) for d, s in b.rows()]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], ["q", "id", "doc_id", "score"])
 

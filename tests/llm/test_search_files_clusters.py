@@ -234,12 +234,12 @@ def frames(spark, docs, queries):
 
 
 @pytest.mark.parametrize(("window", "shard", "block"), [(1 << 13, 1 << 16, 200_000), (4, 7, 60)])
-def test_search_equals_plain_python(spark, monkeypatch, window, shard, block):
-    monkeypatch.setattr(ranked_search, "WINDOW", window)
-    monkeypatch.setattr(ranked_search, "SHARD_DOCS", shard)
+def test_search_equals_plain_python(spark, window, shard, block):
     docs, queries = corpus()
     d, q = frames(spark, docs, queries)
-    out = ranked_search.search(ranked_search.build(d, Scratch(spark, "test")), q, block_terms=block)
+    index = ranked_search.build(d, Scratch(spark, "test"), most_docs=shard)
+    assert (index.docs.count() > 20) == (shard == 7)
+    out = ranked_search.search(index, q, block_terms=block, window=window)
     assert Counter((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in out.collect()) == plain_search(docs, queries, 10)
 
 
