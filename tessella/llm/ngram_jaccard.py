@@ -14,6 +14,9 @@ Documents that are linked with the most central one of a posting list need no ot
 that list: only pairs across components that remain apart are compared. Before a pair leaves that
 comparison, a bound on its overlap must allow a link: shingles that only one set has, and
 the differing bits of two parity sketches, differ for certain. The bound loses no link.
+Short lists are joined row by row. Long ones, as templates and licences make them, are compared in arrays: by classes of size,
+in blocks that meet block by block, once for all shingles that stand behind the same other one in every prefix. That
+is still a comparison of sketches for each pair of a long list whose sets link with none, at some nanoseconds each.
 
 Shingles are compared by 64-bit hashes cut to 40 bits and their shard's; sets by a
 64-bit sum. Null and empty texts have no shingles and are linked with nothing; texts
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_rows, binary_values, chunks, mix64, tidied, word_hashes
@@ -45,6 +48,8 @@ SKETCH = 16
 #: Shingles that one shard takes, about.
 SHARD_ROWS = 2_000_000
 LONGEST = 6
+#: Posting lists of more sets are compared in arrays, in blocks of at most so many.
+SHORT, BLOCK = 64, 1024
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, words: int = 5) -> list[np.ndarray]:
@@ -296,6 +301,91 @@ def _may_link(num: int, den: int) -> Column:
     return met & (differ * (num + den) <= n * (den - num))
 
 
+def _long_lists(rows: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(e_a, e_b) of sets that meet in a long list at the first level, where a link's sets always share a shingle, and may link.
+
+    A shingle whose every set has the same long one next before it adds no pair and is left out.
+    """
+    before = Window.partitionBy("e").orderBy("at")  # a prefix
+    rows = rows.filter("probe <= 1").withColumn("ahead", F.lag("token").over(before))
+    kept = rows.groupBy("token").agg(F.min("ahead").alias("low"), F.max("ahead").alias("high"), F.count_if(F.col("ahead").isNull()).alias("none")).filter("none > 0 or low <> high").select("token")
+    rows = rows.join(kept, "token").drop("ahead", "size", "ell")
+    # sizes of sets that link are in one class or in two that follow
+    rows = scratch.save(rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num) * (1 + 1e-9))).cast("int")), "long")
+    counts = rows.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    up = counts.select("token", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
+    down = counts.select("token", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below"))
+    counts = counts.join(up, ["token", "class"], "left").join(down, ["token", "class"], "left").na.fill(0, ["above", "below"])
+    own = F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int")
+    pair = lambda c1, i, c2, j, side: F.struct(c1.alias("c"), i.alias("i"), c2.alias("d"), j.alias("j"), side.alias("side"))
+    each = lambda n: F.slice(F.sequence(F.lit(0), n), 1, n)  # noqa: E731  0 to n - 1, none for 0
+    c = F.col("class")
+    same = F.transform(each(F.col("blocks")), lambda j: pair(c, F.least("own", j), c, F.greatest("own", j), (F.col("own") > j).cast("int")))
+    above = F.transform(each(F.col("above")), lambda j: pair(c, F.col("own"), c + 1, j, F.lit(0)))
+    below = F.transform(each(F.col("below")), lambda j: pair(c - 1, j, c, F.col("own"), F.lit(1)))
+    dealt = rows.join(counts, ["token", "class"]).withColumn("own", own).withColumn("p", F.explode(F.concat(same, above, below)))
+    key = F.xxhash64("token", "p.c", "p.i", "p.d", "p.j")
+    words = [F.col("bits")[i].alias(f"w{i}") for i in range(SKETCH)]
+    dealt = dealt.select(key.alias("key"), F.col("p.side").alias("side"), ((F.col("p.c") == F.col("p.d")) & (F.col("p.i") == F.col("p.j"))).alias("inner"), "e", "n", "alone", "at", "index", "probe", "comp", "apart", *words)
+
+    def compare(batches):
+        for _, t in _runs_of_key(batches):
+            side = t["side"]
+            inner = bool(t["inner"][0])
+            a, b = (t, t) if inner else ({c: v[side == 0] for c, v in t.items()}, {c: v[side == 1] for c, v in t.items()})
+            for x, y in _near(a, b, inner, num, den):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["e_a", "e_b"])
+
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(compare), "e_a bigint, e_b bigint").distinct()
+
+
+def _runs_of_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Columns of the rows of each key; a key has two blocks at most."""
+    held: list[dict] = []
+    for b in batches:
+        cols = {n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)}
+        key = cols["key"]
+        cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            if held and x < y and held[0]["key"][0] != key[x]:
+                yield int(held[0]["key"][0]), {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+                held = []
+            if x < y:
+                held.append({n: v[x:y] for n, v in cols.items()})
+    if held:
+        yield int(held[0]["key"][0]), {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+
+
+def _near(a: dict, b: dict, inner: bool, num: int, den: int, cells: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(e, e) of the pairs of two blocks that may link, some hundred thousand cells at a time."""
+    if not len(a["e"]) or not len(b["e"]):
+        return
+    bits = [np.stack([t[f"w{i}"] for i in range(SKETCH)]).view(np.uint64) for t in (a, b)]
+    step = max(1, cells // len(b["e"]))
+    for at in range(0, len(a["e"]), step):
+        x = {c: v[at : at + step, None] for c, v in a.items()}
+        n, m = x["n"], b["n"][None]
+        ok = (x["comp"] != b["comp"]) & (x["apart"] | b["apart"]) & (n * den >= m * num) & (m * den >= n * num)
+        if inner:
+            ok &= x["e"] < b["e"]
+        smaller = (n < m) | ((n == m) & (x["e"] < b["e"]))
+        ok &= np.where(smaller, np.maximum(x["index"], b["probe"]), np.maximum(b["index"], x["probe"])) <= 1
+        ok &= (np.minimum(x["at"], b["at"]) + np.minimum(n - x["at"], m - b["at"])) * (num + den) >= (n + m) * num
+        i, j = np.nonzero(ok)
+        if not len(i):
+            continue
+        i += at
+        left = (a["n"][i] + b["n"][j]) * (den - num) // (num + den) - a["alone"][i] - b["alone"][j]  # bits that may differ
+        for w in range(0, SKETCH, 2):
+            left = left - sum(np.bitwise_count(bits[0][k, i] ^ bits[1][k, j]).astype(np.int64) for k in (w, w + 1))
+            may = left >= 0
+            i, j, left = i[may], j[may], left[may]
+            if not len(i):
+                break
+        if len(i):
+            yield a["e"][i], b["e"][j]
+
+
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), words: int = 5, id_col: str = "doc_id", text: str = "text", verify_cost: float = 8.0) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -337,13 +427,18 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (75, 100), wor
     # what the first pairs of each list have left apart: sets outside a list's largest component, against all others of the list
     named = tokens.join(comp, F.col("e") == F.col("node"), "left").select("token", "e", "n", "ell", "at", "probe", "index", F.coalesce("root", "e").alias("comp"))
     held = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("index") - F.col("ell")).alias("first"))
-    open_ = held.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("k"), F.min("first").alias("first")).filter("k > 1 and first <= 0").select("token", "most")
+    open_ = held.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("k"), F.min("first").alias("first"), F.sum("m").alias("size")).filter("k > 1 and first <= 0").select("token", "most", "size")
     named = named.join(open_, "token").withColumn("apart", F.col("comp") != F.col("most")).drop("most")
     named = scratch.save(named.join(reps.select("e", "alone", "bits"), "e"), "open")
-    left, right = (x.select("token", *(F.col(c).alias(f"{c}_{tag}") for c in named.columns if c != "token")) for x, tag in ((named.filter("apart"), "a"), (named, "b")))
+    rare, long_ = named.filter(F.col("size") <= SHORT), named.filter(F.col("size") > SHORT)
+    in_long = long_.groupBy("e").agg(F.count(F.lit(1)).alias("long"))
+    rare = rare.join(in_long, "e", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+    left, right = (x.select("token", *(F.col(c).alias(f"{c}_{tag}") for c in rare.columns if c != "token")) for x, tag in ((rare.filter("apart"), "a"), (rare, "b")))
     met = left.join(right, (left["token"] == right["token"]) & _may_link(num, den))
-    met = met.select(F.least("e_a", "e_b").alias("e_a"), F.greatest("e_a", "e_b").alias("e_b"), "ell_a", "ell_b")
-    more = met.groupBy("e_a", "e_b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ell_a", "ell_b")).alias("need")).filter("k >= need")
+    # shingles of long lists are not counted here: as many as either set has may be shared
+    met = met.select(F.least("e_a", "e_b").alias("e_a"), F.greatest("e_a", "e_b").alias("e_b"), (F.least("ell_a", "ell_b") - F.least("long_a", "long_b")).alias("need"))
+    more = met.groupBy("e_a", "e_b").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).filter("k >= need").select("e_a", "e_b")
+    more = more.unionByName(_long_lists(long_, num, den, scratch)).distinct()
     more = scratch.save(more.select(F.col("e_a").alias("a"), F.col("e_b").alias("b")), "more")
     new = scratch.save(_verify(more, sets, num, den, _width(shards)), "new")
     if new.limit(1).count():
