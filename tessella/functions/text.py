@@ -1,6 +1,6 @@
 """String functions of the corpus and scoring operators, as Column builders.
 
-All but ``nfkc`` and ``parse_judge_output`` are built-in expressions, so they stay in
+All but ``nfkc``, ``parse_judge_output`` and searches for many words are built-in expressions, so they stay in
 generated code and can be pushed down.
 """
 
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import patterns
+
 #: Character classes.
 CONTROL = r"[\p{Cc}&&[^\n\t]]|[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
 JAPANESE = r"[\u3040-\u309F\u30A0-\u30FF\u4E00-\u9FFF]"
@@ -255,20 +257,9 @@ def row_label(id_: Column, line: Column) -> Column:
 
 def matched_groups(groups: Mapping[str, Sequence[str]], *columns: Column | str) -> Column:
     """The sorted names of the groups of which a keyword stands in any column."""
-    cols = [F.coalesce(as_column(c), F.lit("")) for c in columns]
-    hits = []
-    for name in sorted(groups):
-        hit = F.lit(False)
-        for k in groups[name]:
-            for c in cols:
-                hit = hit | c.contains(k)
-        hits.append(F.when(hit, F.lit(name)))
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    return patterns.matched_groups(groups, [as_column(c) for c in columns])
 
 
 def contains_any(c: Column | str, words: Sequence[str]) -> Column:
-    """Whether any word is a substring."""
-    t, out = as_column(c), F.lit(False)
-    for w in words:
-        out = out | t.contains(w)
-    return out
+    """Whether any word is a substring; null for a null text."""
+    return patterns.contains_any(as_column(c), words)

@@ -206,10 +206,10 @@ def tight_margin(t: Column, d: Column) -> Column:
 
 
 def dispatch(category: Column, t: Column, d: Column) -> Column:
-    """The category's verdict (V14); an unknown one fails."""
+    """The category's verdict (V14); an unknown one fails. A check sees the text of its own category's rows only, as functions in Python are called whatever ``when`` says."""
     out = verdict(F.lit(False), F.concat(F.lit("unknown category: "), F.coalesce(category, F.lit("null"))))
     for name, check in CATEGORIES.items():
-        out = F.when(category == name, check(t, d)).otherwise(out)
+        out = F.when(category == name, check(F.when(category == name, t), d)).otherwise(out)
     return out
 
 

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import permute
 from . import storage
 
 
@@ -33,6 +34,15 @@ def with_position(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame
     return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__seq") + F.col("__off")).drop("__id", "__part", "__seq", "__off")
 
 
+def shuffled(df: DataFrame, seed: int | str, *order_by: Column, name: str = "place") -> DataFrame:
+    """Each row's place, from 0, in a seeded global order (X1, X3, X5): computed from its position in ``order_by``, not sorted.
+
+    Write it with ``repartitionByRange(name)`` and ``sortWithinPartitions(name)``, or read any part of the order by a filter on it.
+    """
+    placed = with_position(df, *order_by, name="__pos")
+    return placed.withColumn(name, permute.place(F.col("__pos"), placed.count(), seed)).drop("__pos")
+
+
 def last_wins(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
     """One row a key: the last by position."""
     w = Window.partitionBy(*keys).orderBy(F.desc(pos))
@@ -74,7 +84,7 @@ def package_prefix(df: DataFrame, package: str, *order: Column) -> DataFrame:
 def budget_prefix(df: DataFrame, size: Column, budget: Column | int, group: Sequence[str], seed: int, key: str, digits: int = 4) -> DataFrame:
     """Of each group, in seeded order, rows while the running size is within budget.
 
-    The order is cut into 16^``digits`` buckets. Only the one in which a group's budget ends is summed row by row, so a large group is no single task's window.
+    A null group is a group. The order is cut into 16^``digits`` buckets. Only the one in which a group's budget ends is summed row by row, so a large group is no single task's window.
     """
     b = F.lit(budget) if isinstance(budget, int) else budget
     h = seeded(seed, F.col(key))
@@ -82,7 +92,11 @@ def budget_prefix(df: DataFrame, size: Column, budget: Column | int, group: Sequ
     sums = rows.groupBy(*group, "__b").agg(F.sum("__n").alias("__s"))
     run = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     starts = sums.withColumn("__from", F.sum("__s").over(run) - F.col("__s"))
-    placed = rows.join(starts, [*group, "__b"])
+    starts = starts.select(*(F.col(f"`{g}`").alias(f"__g{i}") for i, g in enumerate(group)), F.col("__b").alias("__bucket"), "__from", "__s")
+    same = rows["__b"] == starts["__bucket"]
+    for i, g in enumerate(group):
+        same &= rows[f"`{g}`"].eqNullSafe(starts[f"__g{i}"])
+    placed = rows.join(starts, same)
     sure = placed.filter(F.col("__from") + F.col("__s") <= F.col("__budget")).select(*df.columns)
     edge = placed.filter((F.col("__from") <= F.col("__budget")) & (F.col("__from") + F.col("__s") > F.col("__budget")))
     w = Window.partitionBy(*group, "__b").orderBy("__h", key).rowsBetween(Window.unboundedPreceding, 0)
@@ -96,7 +110,9 @@ def sequential_ids(df: DataFrame, prefix: str, start: int, *order: Column) -> Da
 
 
 def oversample(df: DataFrame, weight: int, key: str = "id") -> DataFrame:
-    """weight copies of each row, with ids x, x-dup1, ...."""
+    """weight copies of each row, with ids x, x-dup1, ... (X6); none where the weight is 0 or less."""
+    if weight <= 0:
+        return df.withColumn(key, F.col(key).cast("string")).limit(0)
     out = df.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(weight - 1))))
     return out.withColumn(key, F.when(F.col("__k") == 0, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("-dup"), F.col("__k").cast("string")))).drop("__k")
 
@@ -118,8 +134,8 @@ def language_volume(df: DataFrame, group: str, unit: str = "documents", tokens:
     return df.groupBy(group).agg((F.count(F.lit(1)) if unit == "documents" else F.sum(tokens)).alias("available"))
 
 
-def mix(df: DataFrame, ratios: Mapping[str, float], seed: int = 42, group: str = "language", unit: str = "documents", key: str = "id", tokens: str = "n_tokens") -> tuple[DataFrame, DataFrame]:
-    """(rows, stats): groups in the given ratios, the scarcest capping the total."""
+def mix(df: DataFrame, ratios: Mapping[str, float], seed: int = 42, group: str = "language", unit: str = "documents", key: str = "id", tokens: str = "n_tokens", place: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, stats): groups in the given ratios, the scarcest capping the total (X1, X2, A3, A5); with ``place`` a column of that name has each row's place in a global shuffle."""
     share = normalize_ratios(ratios)
     have = {r[group]: r["available"] for r in language_volume(df, group, unit, tokens).filter(F.col(group).isin(list(share))).collect()}
     total = min((have.get(g, 0) / s for g, s in share.items() if s > 0), default=0)
@@ -134,4 +150,4 @@ def mix(df: DataFrame, ratios: Mapping[str, float], seed: int = 42, group: str =
     got = out.groupBy(group).agg(size.alias("selected"))
     facts = df.sparkSession.createDataFrame([(g, int(have.get(g, 0)), float(share[g])) for g in share], f"{group} string, available bigint, target_ratio double")
     stats = facts.join(got, group, "left").withColumn("selected", F.coalesce("selected", F.lit(0)).cast("bigint"))
-    return out, stats
+    return out if place is None else shuffled(out, seed, F.col(key), name=place), stats

@@ -94,7 +94,7 @@ def build_prompt_pool(selected: DataFrame, evals: DataFrame, bank: DataFrame | N
         c = order.sequential_ids(c.drop("id"), "pref", n + b.count(), F.col("category"), F.col("prompt"))
         parts.append(c.withColumn("source", F.lit("c")))
     pool = clean.storage.cut(prompts.pool(*parts))
-    prefs.assert_disjoint(pool, evals, values)
+    prefs.assert_disjoint(pool, evals, values, prefs.BOUNDS)
     return pool, pool.groupBy("source", "category").count()
 
 

@@ -122,6 +122,11 @@ def bootstrap_interval(diffs: DataFrame, key: str, resamples: int = 5000, seed:
     A difference is -1, 0 or 1, so a resample is a multinomial draw over three counts: any number of items costs one row.
     """
     counts = diffs.groupBy(key).agg(*(F.count_if(F.col("diff") == v).alias(n) for v, n in ((-1, "lost"), (0, "same"), (1, "won"))))
+    return counts.select(key, interval(F.col("lost"), F.col("same"), F.col("won"), resamples, seed).alias("ci")).select(key, "ci.*")
+
+
+def interval(lost: Column, same: Column, won: Column, resamples: int = 5000, seed: int = 42) -> Column:
+    """struct<lo, hi>: the resampled mean's percentiles, from the counts of the differences -1, 0 and 1."""
 
     @F.pandas_udf("lo double, hi double")
     def draw(lost: pd.Series, same: pd.Series, won: pd.Series) -> pd.DataFrame:
@@ -136,15 +141,16 @@ def bootstrap_interval(diffs: DataFrame, key: str, resamples: int = 5000, seed:
             out.append((m[int(0.025 * resamples)], m[int(0.975 * resamples) - 1]))
         return pd.DataFrame(out, columns=["lo", "hi"])
 
-    return counts.select(key, draw("lost", "same", "won").alias("ci")).select(key, "ci.*")
+    return draw(lost, same, won)
 
 
-def compare_to_base(results: DataFrame, base: str) -> DataFrame:
-    """model, n, delta, b (only base right), c (only model right), p of each other model on the same items."""
+def compare_to_base(results: DataFrame, base: str, resamples: int = 5000, seed: int = 42) -> DataFrame:
+    """model, n, delta, b (only base right), c (only model right), p, and the interval lo to hi of delta, of each other model on the same items."""
     x = results.filter(F.col("model") == base).select("id", F.col("correct").alias("cb"))
     y = results.filter(F.col("model") != base).select("model", "id", F.col("correct").alias("cm"))
     d = y.join(x, "id").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("cm").cast("int") - F.col("cb").cast("int")).alias("delta"), F.count_if(F.col("cb") & ~F.col("cm")).alias("b"), F.count_if(~F.col("cb") & F.col("cm")).alias("c"))
-    return d.withColumn("p", mcnemar_p(F.col("b"), F.col("c")))
+    same = F.col("n") - F.col("b") - F.col("c")
+    return d.withColumn("p", mcnemar_p(F.col("b"), F.col("c"))).withColumn("ci", interval(F.col("b"), same, F.col("c"), resamples, seed)).select("model", "n", "delta", "b", "c", "p", "ci.lo", "ci.hi")
 
 
 def perplexity(df: DataFrame, loss: str = "loss", n: str = "n_tokens", keys: Sequence[str] = ()) -> DataFrame:

@@ -7,14 +7,18 @@ prompts and generations, events as scored items.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import permute
 from ..functions import text as T
 from ..functions import verifiers as V
-from ..operators import chat, clean, order, prefs, prompts, recipes, scoring
+from ..operators import chat, clean, order, prefs, prompts, recipes, scoring, storage
+from ..sources import csv_split, shards
+from ..sources.ledger import Ledger
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -362,12 +366,6 @@ def j12_g4_domain_gate(spark, sf):
     return scoring.domain_gate(acc("src1", 1000), acc("src2", 1100)).select("domain", "candidate", "base", "passed")
 
 
-@add("SELECT CAST(s AS INT) AS seq_len, CAST(b AS INT) AS batch, CAST(l AS INT) AS layers FROM (SELECT unnest([1024, 2048, 4096]) s), (SELECT unnest([1, 2]) b), (SELECT unnest([4, 8, 12, 16]) l)")
-def j15_j16_grid(spark, sf):
-    of = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
-    return of("seq_len", (1024, 2048, 4096)).crossJoin(of("batch", (1, 2))).crossJoin(of("layers", (4, 8, 12, 16)))
-
-
 # --- aggregates, ranks, statistics: events as scored items ------------------------
 
 _SCORED_SQL = "scored AS (SELECT event_id AS id, event_type AS domain, 'd' || (user_id % 3) AS difficulty, value > 40 AS correct FROM events)"
@@ -616,7 +614,7 @@ def j6_j19_completeness(spark, sf):
 @add("SELECT unnest([5, 8, 13]) AS v INTERSECT SELECT DISTINCT p_size FROM part")
 def a12_d8_eval_values(spark, sf):
     e = t(spark, sf, "part").select(F.struct(F.col("p_size").alias("min"), (F.col("p_size") + 0).alias("max")).alias("kwargs"))
-    return spark.createDataFrame([(v,) for v in prefs.eval_values(e, "kwargs.min", "kwargs.max") if v in (5, 8, 13)], "v int")
+    return prefs.eval_bounds(e, "kwargs.min", "kwargs.max").filter(F.col("v").isin(5, 8, 13))
 
 
 @add()
@@ -638,6 +636,82 @@ def e7_bootstrap(spark, sf):
     return scoring.bootstrap_interval(t(spark, sf, "events").select("event_type", ((F.col("value") > 50).cast("int") - (F.col("user_id") % 2 == 0).cast("int")).alias("diff")), "event_type")
 
 
+# --- appends, shards, files, global order ------------------------------------------
+
+
+@add("""WITH x AS (SELECT l_orderkey AS id, CAST(l_linenumber AS INT) AS k, l_linenumber % 3 AS batch, l_quantity AS q FROM lineitem UNION ALL SELECT l_orderkey, CAST(l_linenumber AS INT), 1, l_quantity + 100 FROM lineitem WHERE l_linenumber % 2 = 0)
+ SELECT id, k, arg_min(q, (batch, q)) AS q FROM x WHERE batch < 2 GROUP BY 1, 2""")
+def k2_k3_st3_ledger(spark, sf):
+    """Two overlapping batches and one that fails its gate, appended by key: a key's first batch counts, and in it its least row; the failed batch shows nothing."""
+    line = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("int").alias("k"), F.col("l_quantity").alias("q"))
+    own = Ledger(spark, f"{storage.shared_folder(spark)}/ledger-{uuid.uuid4().hex}", ["id", "k"], "id bigint, k int, q double")
+    again = line.filter("k % 2 = 0").withColumn("q", F.col("q") + 100)
+    own.append(line.filter("k % 3 = 0"), [_not_empty])
+    own.append(line.filter("k % 3 = 1").unionByName(again), [_not_empty])
+    try:
+        own.append(line.filter("k % 3 = 2"), [_refused])
+    except ValueError:
+        pass
+    return own.read()
+
+
+def _not_empty(staged):
+    if staged.filter("q is null").limit(1).count():
+        raise ValueError("a row without a quantity")
+
+
+def _refused(staged):
+    if staged.filter("k % 3 = 2").limit(1).count():
+        raise ValueError("a row of the third batch")
+
+
+@add("SELECT doc_id, md5(text) AS digest, lang FROM documents WHERE doc_id >= 100 AND lang IN ('en', 'de') AND text LIKE '%the%'")
+def s1_s6_s7_shards(spark, sf):
+    """All documents as shards of JSON lines, read by the data source; it decides two of the conditions."""
+    at = f"{storage.shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    t(spark, sf, "documents").select("doc_id", "text", "lang").write.json(at)
+    rows = spark.read.format(shards.register(spark)).schema("doc_id bigint, text string, lang string").option("splitBytes", "4000000").option("where", '[["doc_id", ">=", 100], ["lang", "in", ["en", "de"]]]').load(at)
+    return rows.filter("text LIKE '%the%'").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "lang")
+
+
+@add("SELECT doc_id, md5(text || ',\"' || chr(13) || chr(10) || coalesce(source, '')) AS digest FROM documents")
+def s4_csv_ranges(spark, sf):
+    """All texts with quotes, commas and line ends in CSV files, read back in ranges of bytes."""
+    at = f"{storage.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    text = F.concat("text", F.lit(',"\r\n'), F.coalesce("source", F.lit("")))
+    t(spark, sf, "documents").select("doc_id", text.alias("text")).write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(at)
+    return csv_split.read(spark, at, "doc_id string, text string", 1 << 20).select(F.col("doc_id").cast("bigint"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@add(f"""WITH RECURSIVE t AS (SELECT min(CASE lang WHEN 'en' THEN n / 0.85 ELSE n / 0.15 END) AS total FROM (SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY 1)),
+ r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_SEEDED}, doc_id) AS r FROM documents WHERE lang IN ('en', 'de')),
+ mixed AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS n FROM r, t WHERE r <= floor(total * CASE lang WHEN 'en' THEN 0.85 ELSE 0.15 END)),
+ {permute.place_sql("position", "n", 42, "mixed")} SELECT doc_id, lang, place FROM mixed JOIN placed ON pos = position""")
+def x1_x3_x5_global_order(spark, sf):
+    """The mixture with each row's place in one seeded order."""
+    return order.mix(t(spark, sf, "documents").select("doc_id", "lang"), {"en": 0.85, "de": 0.15}, 42, "lang", key="doc_id", place="place")[0].select("doc_id", "lang", "place")
+
+
+#: Topics of one to ten a document: cuts of its text, half of them with their first character moved to the end.
+_CUTS = 10
+
+
+@add(f"""WITH t AS (SELECT doc_id, k, substr(text, CAST(1 + k * 37 AS INT), CAST(6 + (doc_id + k) % 5 AS INT)) AS x FROM documents, range(0, {_CUTS}) r(k)),
+ topics AS (SELECT DISTINCT CASE WHEN (doc_id + k) % 2 = 0 THEN x ELSE substr(x, 2) || substr(x, 1, 1) END AS topic FROM t WHERE x <> ''),
+ c AS (SELECT CASE WHEN conv_id % 2 = 0 THEN text ELSE reverse(text) END AS text FROM conversations UNION ALL SELECT text FROM documents), sizes AS (SELECT DISTINCT length(topic) AS n FROM topics),
+ windows AS (SELECT DISTINCT substr(text, CAST(1 + 200 * j AS INT), 210) AS w FROM (SELECT text, unnest(range(0, length(text) // 200 + 1)) AS j FROM c)),
+ cuts AS (SELECT substr(w, CAST(i AS INT), CAST(n AS INT)) AS topic FROM (SELECT w, n, unnest(range(1, least(200, length(w) - n + 1) + 1)) AS i FROM windows, sizes WHERE length(w) >= n))
+ SELECT DISTINCT topic FROM cuts SEMI JOIN topics USING (topic)""")
+def j10_many_topics(spark, sf):
+    """Ten topics a document, 100,000 at sf0.1, against all texts of documents and conversations."""
+    k = F.col("k")
+    d = t(spark, sf, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(_CUTS - 1))).alias("k"))
+    x = d.withColumn("x", F.substring("text", 1 + k * 37, (6 + (F.col("doc_id") + k) % 5).cast("int"))).filter("x <> ''")
+    topics = x.select(F.when((F.col("doc_id") + k) % 2 == 0, F.col("x")).otherwise(F.concat(F.expr("substr(x, 2)"), F.substring("x", 1, 1))).alias("topic"))
+    texts = t(spark, sf, "conversations").select(F.when(F.col("conv_id") % 2 == 0, F.col("text")).otherwise(F.reverse("text")).alias("prompt"))
+    return prefs.topics_in(topics, texts.unionByName(t(spark, sf, "documents").select(F.col("text").alias("prompt"))))
+
+
 # --- pipelines -------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ledger import Gate, Ledger
 from .readers import exists
 
 
@@ -45,6 +46,13 @@ def judge_new(targets: DataFrame, path: str, judge: Callable[[pd.DataFrame], pd.
     return spark.read.schema(schema).parquet(path).count() - before
 
 
+def judge_into(ledger: Ledger, targets: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], gates: Sequence[Gate] = (), order_by: Sequence[str] = ()) -> int:
+    """As judge_new, with each key once and all rows or none: ``judge``'s rows are staged, gated and published (K2, K3)."""
+    by = list(order_by or ledger.keys)
+    rows = ledger.new_rows(targets, ledger.known()).dropDuplicates(ledger.keys).repartitionByRange(*by).sortWithinPartitions(*by)
+    return ledger.append(rows.mapInPandas(lambda frames: map(judge, frames), ledger.schema), gates)
+
+
 def split(df: DataFrame, path: str, column: str = "split") -> None:
     """One folder a split (K6)."""
     df.write.mode("overwrite").partitionBy(column).json(path)
@@ -85,10 +93,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def load_packed(spark: SparkSession, path: str, manifest: Mapping) -> DataFrame | None:
-    """The cache, if its manifest is the one asked for."""
+    """The cache, if its manifest is there and the one asked for (K8, G5); a file system that fails is an error."""
+    if not exists(spark, f"{path}/manifest"):
+        return None
+    line = spark.read.text(f"{path}/manifest").first()
     try:
-        got = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-    except Exception:
+        got = json.loads(line[0]) if line else None
+    except ValueError:
         return None
     return spark.read.parquet(f"{path}/sequences") if got == dict(manifest) else None
 
