@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,32 +93,94 @@ def synthesize(verifier: str, messages: Column | str, origin: Column, seed: int,
 QUOTAS = {"char_count": 350, "bullet_count": 300, "format_json": 300, "polite_form": 350, "keyword": 200}
 
 
-def constraint_rows(df: DataFrame, quotas: dict[str, int] = QUOTAS, seed: int = 42, key: str = "id", excluded_polite_origin: str | None = None) -> DataFrame:
-    """Per verifier, in seeded order, the first rows that fit, up to its quota; a row may serve several."""
-    out = None
-    for name, n in quotas.items():
-        src = df if name != "polite_form" or excluded_polite_origin is None else df.filter(~F.col("origin").eqNullSafe(excluded_polite_origin))
-        made = src.select(F.col(key).alias("key"), synthesize(name, "messages", F.col("origin"), seed, F.col(key)).alias("r")).filter("r is not null")
-        made = made.orderBy(order.seeded(f"{seed}:{name}", F.col("key")), "key").limit(n).select("r.*", F.col("key").alias("source_key"))
-        out = made if out is None else out.unionByName(made)
-    return out
-
+def constraint_rows(df: DataFrame, quotas: dict[str, int] = QUOTAS, seed: int = 42, key: str = "id", excluded_polite_origin: str | None = None, tried: dict[str, int] | None = None) -> DataFrame:
+    """Per verifier, in seeded order, the first rows that fit, up to its quota; a row may serve several.
 
-def sft_example(df: DataFrame, encode: Callable[[str], Sequence[int]], max_len: int, messages: str = "messages") -> DataFrame:
-    """input_ids, labels, attention_mask: labels stand only for the assistant's spans (C7). ``encode`` is injected."""
+    A verifier's seeded order is opened piece by piece: first twice its quota's share of the rows, then four times as much as before,
+    till it is met or all rows are open. A round is one pass over the rows for all verifiers that still want some, and makes
+    only what is open, so what is made follows the quotas over the share that fits. ``tried`` gets each verifier's number of rows made.
+    """
+    k = F.col(key)
+    order_of = {name: order.seeded(f"{seed}:{name}", k) for name in quotas}
+    at = {name: F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint") for name, h in order_of.items()}  # of 16^12
+    total, whole = max(1, df.count()), 1 << 48
+    opened = dict.fromkeys(quotas, 0)
+    wide = {name: min(whole, max(1, whole * 2 * n // total)) for name, n in quotas.items() if n > 0}
+    got, parts = dict.fromkeys(quotas, 0), []
+    while wide:
+        may = {name: (at[name] >= opened[name]) & (at[name] < w) for name, w in wide.items()}
+        if excluded_polite_origin is not None and "polite_form" in may:
+            may["polite_form"] &= ~F.col("origin").eqNullSafe(excluded_polite_origin)
+        picks = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in may.items())))
+        rows = df.withColumn("__v", F.explode(picks))
+        made = F.coalesce(*(synthesize(name, F.when(F.col("__v") == name, F.col("messages")), F.col("origin"), seed, k) for name in may))
+        place = F.coalesce(*(F.when(F.col("__v") == name, order_of[name]) for name in may))
+        part = storage.cut(rows.select(F.col("__v").alias("__verifier"), k.alias("__key"), place.alias("__at"), made.alias("r")))
+        for r in part.groupBy("__verifier").agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("fit")).collect():  # a row a verifier
+            got[r["__verifier"]] += r["fit"]
+            if tried is not None:
+                tried[r["__verifier"]] = tried.get(r["__verifier"], 0) + r["n"]
+        parts.append(part.filter("r is not null"))
+        opened |= wide
+        wide = {name: min(whole, 5 * w) for name, w in wide.items() if got[name] < quotas[name] and w < whole}
+    if not parts:
+        return df.select(synthesize("char_count", "messages", F.col("origin"), seed, k).alias("r"), k.alias("source_key")).limit(0).select("r.*", "source_key")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    first = Window.partitionBy("__verifier").orderBy("__at", "__key")  # little more than the quotas
+    most = F.coalesce(*(F.when(F.col("__verifier") == name, F.lit(n)) for name, n in quotas.items()))
+    return out.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= most).select("r.*", F.col("__key").alias("source_key"))
+
+
+def markup(turns: Sequence[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
+    """(the chat as text, where each assistant's content begins and ends in it)."""
+    parts, spans, at = [], [], 0
+    for role, content in turns:
+        head = f"<|im_start|>{role}\n"
+        if role == "assistant":
+            spans.append((at + len(head), at + len(head) + len(content)))
+        parts.append(f"{head}{content}<|im_end|>\n")
+        at += len(parts[-1])
+    return "".join(parts), spans
+
+
+def learned(starts: np.ndarray, spans: Sequence[tuple[int, int]]) -> np.ndarray:
+    """Whether each token, by where it starts, begins inside a span; spans and tokens rise."""
+    if not spans:
+        return np.zeros(len(starts), bool)
+    begin, end = np.array(spans).T
+    i = np.searchsorted(begin, starts, side="right") - 1
+    return (i >= 0) & (starts < end[np.maximum(i, 0)])
+
+
+def sft_example(df: DataFrame, encode: Callable[[str], Sequence[int]] | None, max_len: int, messages: str = "messages", spans: Callable[[str], tuple[Sequence[int], Sequence[int]]] | None = None) -> DataFrame:
+    """input_ids, labels, attention_mask: labels stand only for the assistant's spans.
+
+    ``spans`` gives a text's ids and where each token starts in it; each chat is then encoded once, in time linear in its
+    text, and tokens that begin inside an assistant's content are learned. Where a tokenizer can only ``encode``, the place of a content is the
+    number of ids of what stands before it, so each answer encodes the chat so far once more. A null chat is empty.
+    """
+    if (encode is None) == (spans is None):
+        raise ValueError("either encode or spans")
 
     @F.pandas_udf("input_ids array<int>, labels array<int>, attention_mask array<int>")
     def build(rows: pd.Series) -> pd.DataFrame:
         out = []
         for turns in rows:
             turns = [] if turns is None else [(t["role"], t["content"] or "") for t in turns]
-            markup = lambda ts: "".join(f"<|im_start|>{r}\n{c}<|im_end|>\n" for r, c in ts)
-            ids = list(encode(markup(turns)))
-            labels = [IGNORED] * len(ids)
-            for i, (role, content) in enumerate(turns):
-                if role == "assistant":
-                    a = min(len(encode(markup(turns[:i]) + "<|im_start|>assistant\n")), len(ids))
-                    b = min(a + len(encode(content)), len(ids))
+            text, inside = markup(turns)
+            if spans is not None:
+                ids, starts = spans(text)
+                ids = np.asarray(ids, np.int64)
+                labels = np.where(learned(np.asarray(starts, np.int64), inside), ids, IGNORED).tolist()
+                ids = ids.tolist()
+            else:
+                ids = list(encode(text))
+                labels = [IGNORED] * len(ids)
+                for x, y in inside:
+                    a = min(len(encode(text[:x])), len(ids))
+                    b = min(a + len(encode(text[x:y])), len(ids))
                     labels[a:b] = ids[a:b]
             out.append((ids[:max_len], labels[:max_len], [1] * len(ids[:max_len])))
         return pd.DataFrame(out, columns=["input_ids", "labels", "attention_mask"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import verifiers as V
-from . import order
+from . import order, storage
 
 #: The buckets of template prompts and how many topics each value takes.
 MOST_CHARS, MOST_TOPICS = (40, 45, 55, 65, 75), 60
@@ -58,10 +58,22 @@ def source_a(selected: DataFrame, eval_values: list[int], pos: str = "pos") -> D
     return order.sequential_ids(kept, "pref", 0, F.col(pos)).select("id", "category", "instruction_id_list", F.col("detail").alias("constraint_detail"), "topic", "prompt")
 
 
-def source_c(external: DataFrame, per_category: int = 20, seed: int = 42) -> DataFrame:
-    """External prompts that mention no evaluation topic, up to ``per_category`` of each category."""
-    kept = external.filter(~T.contains_any("prompt", BANNED)).dropDuplicates(["prompt"])
-    return order.stratified_sample(kept, "category", per_category, seed, "prompt")
+def source_c(external: DataFrame, per_category: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(external prompts that mention no evaluation topic, each text once, up to ``per_category`` of each category; rows by fate and category).
+
+    Fates: kept, banned (a null prompt too), repeated, over. The bank is read once; its rows are written with their fate and
+    counted from there. Of equal prompts the one of the first category stays.
+    """
+    hit = F.coalesce(T.contains_any("prompt", BANNED), F.lit(True))
+    rows = external.withColumns({"__hit": hit, "__at": F.monotonically_increasing_id()})
+    same = Window.partitionBy(F.when(F.col("__hit"), F.concat(F.lit("row "), F.col("__at"))).otherwise(F.md5(F.col("prompt").cast("binary")))).orderBy(F.asc_nulls_first("category"), "__at")
+    fate = F.when(F.col("__hit"), "banned").when(F.col("__n") > 1, "repeated").otherwise("free")
+    told = storage.cut(rows.withColumn("__n", F.row_number().over(same)).withColumn("fate", fate).drop("__hit", "__at", "__n"))
+    kept = storage.cut(order.stratified_sample(told.filter("fate = 'free'").drop("fate"), "category", per_category, seed, "prompt"))
+    counts = told.groupBy("fate", "category").count().unionByName(kept.groupBy(F.lit("kept").alias("fate"), "category").agg(F.count(F.lit(1)).alias("count")))
+    over = counts.filter("fate in ('free', 'kept')").groupBy("category").agg(F.sum(F.when(F.col("fate") == "free", F.col("count")).otherwise(-F.col("count"))).alias("count"))
+    counts = counts.filter("fate <> 'free'").unionByName(over.select(F.lit("over").alias("fate"), "category", "count").filter("count > 0"))
+    return kept, counts
 
 
 def pool(*parts: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Whole preparations composed of the operators: corpora, instructions, chat mixes, prompt pools, distilled rows.
 
-Each takes DataFrames and a configuration and returns rows and statistics as DataFrames; nothing is read until they are.
+Each takes DataFrames and a configuration and returns rows and statistics as DataFrames. Intermediate tables are written when they are called.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import verifiers as V
 from ..sources import readers
-from . import chat, clean, order, prefs, prompts, scoring
+from . import chat, clean, order, prefs, prompts, quantiles, scoring
 
 
 def prepare_data(corpora: Mapping[str, DataFrame], config: Mapping, names: Sequence[str] | None = None, sample_limit: int | None = None, evals: DataFrame | None = None,
@@ -51,15 +51,18 @@ def prepare_data(corpora: Mapping[str, DataFrame], config: Mapping, names: Seque
 def prepare_instructions(raw: DataFrame, question: str, answer: str, keep: Column | None = None, n: int | None = None, seed: int = 42, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(key and messages, one row of counts): rows with both fields, up to n in seeded order.
 
-    Counts: input_count, kept_count (rows that ``keep`` leaves), skipped (malformed ones among them), output_count.
+    Counts: input_count, kept_count (rows that ``keep`` leaves), skipped (malformed ones among them), output_count. ``raw`` is read once:
+    each row's fate is written with it, and counted in what was written, so a task that runs twice counts once.
     """
-    picked = raw if keep is None else raw.filter(keep)
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
     good = F.col(question).isNotNull() & F.col(answer).isNotNull()
-    rows = picked.filter(good).select(key, T.messages(question, answer).alias("messages"))
+    fate = F.when(~kept, "dropped").when(~good, "skipped").otherwise("kept")
+    told = clean.storage.cut(raw.select(key, fate.alias("__fate"), F.when(fate == "kept", T.messages(question, answer)).alias("messages")))
+    rows = told.filter("__fate = 'kept'").select(key, "messages")
     if n is not None:
         rows = order.sample_rows(rows, n, seed, key)
-    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
-    counts = raw.agg(F.count(F.lit(1)).alias("input_count"), F.count_if(kept).alias("kept_count"), F.count_if(kept & ~good).alias("skipped"))
+    is_ = lambda f: F.count_if(F.col("__fate") == f)
+    counts = told.agg(F.count(F.lit(1)).alias("input_count"), (F.count(F.lit(1)) - is_("dropped")).alias("kept_count"), is_("skipped").alias("skipped"))
     left = F.col("kept_count") - F.col("skipped")
     return rows, counts.withColumn("output_count", left if n is None else F.least(left, F.lit(n)))
 
@@ -77,12 +80,16 @@ def prepare_sft_mix(components: Mapping[str, DataFrame], targets: Mapping[str, i
     parts["format"] = made.select(F.concat("verifier", F.lit("/"), "source_key").alias("id"), "messages", "verifier")
     mixed = clean.storage.cut(chat.mix_components(parts, {**targets, "format": None}, seed))
     size = chat.response_length("messages")
-    lengths = mixed.select(size.alias("n")).agg(F.coalesce(F.min("n"), F.lit(0)).alias("min"), F.coalesce(F.max("n"), F.lit(0)).alias("max"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"), F.coalesce(F.median("n"), F.lit(0.0)).alias("median"))
+    summary = quantiles.length_summary(mixed.select(size.alias("n_chars")), "n_chars")
+    lengths = summary.select(*(F.coalesce(c, F.lit(0) if c in ("min", "max") else F.lit(0.0)).alias(c) for c in ("min", "max", "mean", "median")))
     return mixed, {"origins": mixed.groupBy("origin").count(), "formats": made.groupBy("verifier").count(), "lengths": lengths}
 
 
 def build_prompt_pool(selected: DataFrame, evals: DataFrame, bank: DataFrame | None = None, seed: int = 42, per_category: int = 20, pos: str = "pos") -> tuple[DataFrame, DataFrame]:
-    """(pool, rows by source): selected rows, templates over their topics and screened external prompts, none of the evaluation set."""
+    """(pool, rows by source): selected rows, templates over their topics and screened external prompts, none of the evaluation set.
+
+    The external prompts that are left out are counted under ``c, banned``, ``c, repeated`` and ``c, over``.
+    """
     values = prefs.eval_values(evals)
     a = clean.storage.cut(prompts.source_a(selected, values, pos))
     topics = selected.filter(F.coalesce("topic", F.lit("")) != "").select("topic")
@@ -90,12 +97,13 @@ def build_prompt_pool(selected: DataFrame, evals: DataFrame, bank: DataFrame | N
     b = clean.storage.cut(prompts.source_b(topics, n, seed))
     parts = [a.withColumn("source", F.lit("a")), b.withColumn("source", F.lit("b"))]
     if bank is not None:
-        c = prompts.source_c(bank, per_category, seed)
+        c, screened = prompts.source_c(bank, per_category, seed)
         c = order.sequential_ids(c.drop("id"), "pref", n + b.count(), F.col("category"), F.col("prompt"))
         parts.append(c.withColumn("source", F.lit("c")))
     pool = clean.storage.cut(prompts.pool(*parts))
     prefs.assert_disjoint(pool, evals, values, prefs.BOUNDS)
-    return pool, pool.groupBy("source", "category").count()
+    counts = pool.groupBy("source", "category").count()
+    return pool, counts if bank is None else counts.unionByName(screened.filter("fate <> 'kept'").select(F.concat(F.lit("c, "), "fate").alias("source"), "category", "count"))
 
 
 def prepare_distill_mix(rows: DataFrame, evals: DataFrame, base: DataFrame, base_mean: float = 176.0, tolerance: float = 0.2, seed: int = 42, pos: str = "pos") -> tuple[DataFrame, dict[str, DataFrame]]:

@@ -7,6 +7,7 @@ prompts and generations, events as scored items.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import permute
 from ..functions import text as T
 from ..functions import verifiers as V
-from ..operators import chat, clean, order, prefs, prompts, recipes, scoring, storage
+from ..operators import chat, clean, order, prefs, prompts, quantiles, recipes, scoring, storage
 from ..sources import csv_split, shards
 from ..sources.ledger import Ledger
 
@@ -410,8 +411,14 @@ def a22_perplexity(spark, sf):
 
 @add("SELECT lang, min(n_chars) AS min, max(n_chars) AS max, avg(n_chars) AS mean, median(n_chars) AS median FROM documents GROUP BY 1")
 def a8_length_summary(spark, sf):
-    n = F.length("text").cast("bigint")
-    return t(spark, sf, "documents").groupBy("lang").agg(F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"), F.median(n).alias("median"))
+    return quantiles.length_summary(t(spark, sf, "documents").select("lang", F.length("text").cast("bigint").alias("n_chars")), "n_chars", ["lang"]).drop("n")
+
+
+@add("SELECT l_returnflag, count(*) AS n, median(l_extendedprice * (l_discount - 0.05)) AS median FROM lineitem GROUP BY 1 UNION ALL SELECT 'all', count(*), median(l_extendedprice * (l_discount - 0.05)) FROM lineitem")
+def a10_medians(spark, sf):
+    """Medians of numbers of both signs, by flag and over all rows."""
+    x = t(spark, sf, "lineitem").select("l_returnflag", (F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("x"))
+    return quantiles.medians(x, "x", ["l_returnflag"]).unionByName(quantiles.medians(x, "x").withColumn("l_returnflag", F.lit("all")))
 
 
 @add("SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2")
@@ -636,6 +643,42 @@ def e7_bootstrap(spark, sf):
     return scoring.bootstrap_interval(t(spark, sf, "events").select("event_type", ((F.col("value") > 50).cast("int") - (F.col("user_id") % 2 == 0).cast("int")).alias("diff")), "event_type")
 
 
+# --- chats as tokens ---------------------------------------------------------------
+
+_CHATS_SQL = """turns AS (SELECT conv_id, turn, role, text, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' || chr(10) AS tail FROM conversations),
+ placed AS (SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id ORDER BY turn, role, text) - length(tail) AS a FROM turns),
+ chats AS (SELECT conv_id, string_agg(head || tail, '' ORDER BY turn, role, text) AS x FROM turns GROUP BY 1)"""
+
+
+def _chats(spark, sf):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    return t(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("x")).select("conv_id", F.transform("x", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
+def _word_spans(text):
+    """(ids, starts): runs of letters, digits and _, or single characters; an id is the first character and the length."""
+    found = list(re.finditer(r"[A-Za-z0-9_]+|[^A-Za-z0-9_]", text))
+    return [ord(m[0][0]) * 4096 + len(m[0]) for m in found], [m.start() for m in found]
+
+
+@add(rf"""WITH {_CHATS_SQL}, w AS (SELECT conv_id, regexp_extract_all(x, '[A-Za-z0-9_]+|[^A-Za-z0-9_]') AS w FROM chats), tokens AS (SELECT conv_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM w),
+ starts AS (SELECT conv_id, i, unicode(w) * 4096 + length(w) AS id, sum(length(w)) OVER (PARTITION BY conv_id ORDER BY i) - length(w) AS at FROM tokens),
+ marked AS (SELECT s.*, EXISTS (SELECT 1 FROM placed p WHERE p.conv_id = s.conv_id AND p.role = 'assistant' AND s.at >= p.a AND s.at < p.a + length(p.text)) AS learned FROM starts s)
+ SELECT conv_id, count(*) AS n_tokens, count(*) FILTER (learned) AS n_learned, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY i)) AS ids, md5(string_agg(CASE WHEN learned THEN CAST(id AS VARCHAR) ELSE '-100' END, ',' ORDER BY i)) AS labels FROM marked GROUP BY 1""")
+def c7_c10_sft_spans(spark, sf):
+    """Every conversation as token ids with labels, each encoded once."""
+    x = chat.sft_example(_chats(spark, sf), None, 1 << 30, spans=_word_spans)
+    digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ",").cast("binary"))
+    return x.select("conv_id", big(F.size("input_ids")).alias("n_tokens"), big(F.size(F.filter("labels", lambda y: y != -100))).alias("n_learned"), digest("input_ids").alias("ids"), digest("labels").alias("labels"))
+
+
+@add("""SELECT conv_id, md5(string_agg('<|im_start|>' || role || chr(10) || CASE WHEN role = 'assistant' AND text <> '' THEN '【learned】' || text || '【/learned】' ELSE text END || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text)) AS shown FROM conversations GROUP BY 1""")
+def c8_inspection(spark, sf):
+    """Every conversation's tokens as text again, learned ones between marks; a token is a code point."""
+    x = chat.sft_example(_chats(spark, sf), None, 1 << 30, spans=lambda s: ([ord(c) for c in s], range(len(s))))
+    return chat.decode_for_inspection(x, lambda ids: "".join(map(chr, ids))).select("conv_id", F.md5(F.col("shown").cast("binary")).alias("shown"))
+
+
 # --- appends, shards, files, global order ------------------------------------------
 
 
