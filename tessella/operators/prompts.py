@@ -40,9 +40,10 @@ def source_b(topics: DataFrame, start: int, seed: int = 42) -> DataFrame:
     """Template prompts: each bucket over a seeded sample of the distinct topics."""
     spark = topics.sparkSession
     b = spark.createDataFrame(buckets(), "bucket int, category string, mn int, mx int, style string, template string, n int")  # 17 rows
-    rows = topics.select("topic").distinct().crossJoin(F.broadcast(b))
-    w = Window.partitionBy("bucket").orderBy(order.seeded(seed, F.col("bucket"), F.col("topic")), "topic")
-    rows = rows.withColumn("r", F.row_number().over(w)).filter("r <= n")
+    rows = topics.select("topic").distinct().crossJoin(F.broadcast(b)).withColumn("__key", F.concat_ws("|", F.col("bucket").cast("string"), "topic"))
+    rows = order.budget_prefix(rows, F.lit(1), F.col("n"), ["bucket"], seed, "__key")  # no bucket's topics in one task
+    w = Window.partitionBy("bucket").orderBy(order.seeded(seed, F.col("__key")), "topic")  # n rows each
+    rows = rows.withColumn("r", F.row_number().over(w))
     rows = order.sequential_ids(rows, "pref", start, F.col("bucket"), F.col("r"))
     kinds = dict(x.split(" ", 1) for x in V.DETAIL.split(", "))
     given = {"max": F.col("mx"), "min": F.col("mn"), "style": F.col("style")}

@@ -16,32 +16,71 @@ from ..sources import readers
 from . import chat, clean, order, prefs, prompts, quantiles, scoring
 
 
-def prepare_data(corpora: Mapping[str, DataFrame], config: Mapping, names: Sequence[str] | None = None, sample_limit: int | None = None, evals: DataFrame | None = None,
+class Keyword:
+    """The filter ``keyword_oversample``: rows that match a keyword group, repeated after cleaning."""
+
+    def __init__(self, settings: Mapping, groups: Mapping[str, Sequence[str]]):
+        self.groups, self.weight = groups, int(settings.get("oversample_weight", 3))
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("cells", T.matched_groups(self.groups, "title", "text")).filter(F.size("cells") > 0)
+
+    def weigh(self, rows: DataFrame, key: str) -> DataFrame:
+        return order.oversample(rows, self.weight, key)
+
+
+class All:
+    """No filter."""
+
+    def __init__(self, settings: Mapping, groups: Mapping[str, Sequence[str]]):
+        pass
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        return rows
+
+    def weigh(self, rows: DataFrame, key: str) -> DataFrame:
+        return rows
+
+
+#: The kinds of a corpus's filter by name (U7); another name is an error.
+FILTERS = {None: All, "keyword_oversample": Keyword}
+
+
+def prepare_data(corpora: Mapping[str, DataFrame], config: Mapping, names: Sequence[str] | None = None, sample_limit: int | Mapping[str, int] | None = None, evals: DataFrame | None = None,
                  streaming: bool = False, order_by: Sequence[str] = ("id",), groups: Mapping[str, Sequence[str]] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(mixture, {"clean": stage statistics, "mix": mix statistics}) of the configured corpora.
 
-    A corpus whose filter is ``keyword_oversample`` keeps rows that match ``groups`` before cleaning, and is repeated after it,
-    so the copies are no duplicates. All corpora are cleaned in one pass, each by itself.
+    A corpus may have a filter of a kind of ``FILTERS``: it keeps rows before cleaning and may repeat them after it, so the
+    copies are no duplicates. ``sample_limit`` holds for all corpora or, as a mapping, for those that it names; an entry's own ``sample_limit``
+    comes first. All corpora are cleaned in one pass, each by itself. What fails while a corpus is prepared names it and the step.
     """
-    if streaming and sample_limit is None:
-        raise ValueError("a stream needs a sample limit")
     entries = {e["name"]: e for e in config.get("corpora", [])}
     chosen = list(entries) if names is None else list(names)
     unknown = [n for n in chosen if n not in entries]
     if unknown:
         raise ValueError(f"unknown corpora: {', '.join(unknown)}")
-    rows, weights = None, {}
+    limit_of = {n: entries[n].get("sample_limit", sample_limit.get(n) if isinstance(sample_limit, Mapping) else sample_limit) for n in chosen}
+    if streaming and any(n is None for n in limit_of.values()):
+        raise ValueError("a stream needs a sample limit")
+    rows, kinds, step = None, {}, ""
     for name in chosen:
-        kind = entries[name].get("filter", {})
-        part = readers.extract_rows(corpora[name], order_by, sample_limit, title=True).withColumns({"corpus": F.lit(name), "cells": F.lit(None).cast("array<string>")})
-        if kind.get("type") == "keyword_oversample":
-            part = part.withColumn("cells", T.matched_groups(groups or {}, "title", "text")).filter(F.size("cells") > 0)
-            weights[name] = int(kind.get("oversample_weight", 3))
+        try:
+            step = "filter"
+            settings = entries[name].get("filter", {})
+            if settings.get("type") not in FILTERS:
+                raise ValueError(f"unknown filter: {settings.get('type')}")
+            kinds[name] = FILTERS[settings.get("type")](settings, groups or {})
+            step = "load"
+            part = readers.extract_rows(corpora[name], order_by, limit_of[name], title=True).withColumns({"corpus": F.lit(name), "cells": F.lit(None).cast("array<string>")})
+            part = kinds[name].keep(part)
+        except Exception as e:
+            raise RuntimeError(f"corpus {name}, {step}: {e}") from e
         rows = part if rows is None else rows.unionByName(part)
     cleaned = clean.storage.cut(clean.clean_corpus(rows, evals, **config.get("clean", {})))
     kept = cleaned.filter("stage is null").drop("stage").withColumn("key", F.concat("corpus", F.lit("/"), "id"))
-    parts = [kept.filter(~F.col("corpus").isin(list(weights)))] if weights else [kept]
-    parts += [order.oversample(kept.filter(F.col("corpus") == n), w, "key") for n, w in weights.items()]
+    plain = [n for n, k in kinds.items() if isinstance(k, All)]
+    parts = [kept.filter(F.col("corpus").isin(plain))] if plain else []
+    parts += [k.weigh(kept.filter(F.col("corpus") == n), "key") for n, k in kinds.items() if n not in plain]
     pool = prompts.pool(*parts)
     mix = config.get("mix", {})
     mixture, facts = order.mix(pool, mix.get("ratios", {"ja": 1.0}), mix.get("seed", 42), "language", mix.get("unit", "documents"), "key")

@@ -643,6 +643,15 @@ def e7_bootstrap(spark, sf):
     return scoring.bootstrap_interval(t(spark, sf, "events").select("event_type", ((F.col("value") > 50).cast("int") - (F.col("user_id") % 2 == 0).cast("int")).alias("diff")), "event_type")
 
 
+@add("""WITH m AS (SELECT doc_id, list_sort(list_filter(['en', 'license', 'spam'], lambda g: CASE g WHEN 'en' THEN contains(text, ' the ') WHEN 'license' THEN contains(text, 'License') OR contains(text, 'licensed') ELSE contains(text, 'casino') END)) AS cells FROM documents)
+ SELECT CASE WHEN k = 0 THEN CAST(doc_id AS VARCHAR) ELSE doc_id || '-dup' || k END AS id, cells FROM m, range(0, 3) r(k) WHERE len(cells) > 0""")
+def x7_filter_and_weight(spark, sf):
+    """Documents that match a keyword group, with their groups, three times."""
+    kind = recipes.FILTERS["keyword_oversample"]({"oversample_weight": 3}, {"en": [" the "], "license": ["License", "licensed"], "spam": ["casino"]})
+    rows = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("").alias("title"))
+    return kind.weigh(kind.keep(rows), "id").select("id", "cells")
+
+
 # --- chats as tokens ---------------------------------------------------------------
 
 _CHATS_SQL = """turns AS (SELECT conv_id, turn, role, text, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' || chr(10) AS tail FROM conversations),

@@ -101,3 +101,17 @@ def test_configs_and_digests(tmp_path):
         readers.load_config(str(path))
     with pytest.raises(FileNotFoundError):
         readers.load_config(str(tmp_path / "none"))
+
+
+def test_filters_limits_and_failures_are_named(spark):
+    text = "This is one of many plain English sentences about an Island and nothing else, told at length. "
+    web = spark.createDataFrame([(i, text + " ".join(f"word{i}x{j}" for j in range(40)), "") for i in range(6)], "id bigint, text string, title string")
+    config = {"corpora": [{"name": "a"}, {"name": "b", "sample_limit": 2}], "mix": {"ratios": {"en": 1.0}}}
+    mixture, _ = recipes.prepare_data({"a": web, "b": web}, config, sample_limit={"a": 3})
+    assert sorted(r["corpus"] for r in mixture.collect()) == ["a"] * 3 + ["b"] * 2
+    with pytest.raises(RuntimeError, match="corpus b, filter: unknown filter: magic"):
+        recipes.prepare_data({"a": web, "b": web}, {"corpora": [{"name": "a"}, {"name": "b", "filter": {"type": "magic"}}]})
+    with pytest.raises(RuntimeError, match="corpus b, load"):
+        recipes.prepare_data({"a": web, "b": web.drop("text")}, config)
+    with pytest.raises(ValueError, match="sample limit"):
+        recipes.prepare_data({"a": web, "b": web}, config, streaming=True, sample_limit={"b": 3})
