@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextvars import ContextVar
 from functools import cache
 
 import pandas as pd
@@ -56,6 +57,14 @@ JUDGE_PROMPT = (
 )
 
 
+#: Whether functions in Python stand in a column by the name they have in SQL (functions.sql) in place of themselves.
+BY_NAME: ContextVar[bool] = ContextVar("BY_NAME", default=False)
+
+
+def python_function(name: str, make: Callable[[], Callable[..., Column]], *args: Column) -> Column:
+    return F.call_function(f"tessella_{name}", *args) if BY_NAME.get() else make()(*args)
+
+
 def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -72,7 +81,7 @@ def _nfkc():
 
 def nfkc(c: Column | str) -> Column:
     """Unicode NFKC (N1). Arrow batches; ASCII texts pass untouched."""
-    return _nfkc()(as_column(c))
+    return python_function("nfkc", _nfkc, as_column(c))
 
 
 def remove_control_chars(c: Column | str) -> Column:

@@ -23,6 +23,7 @@ DETAIL = "max int, min int, count int, include array<string>, exclude array<stri
 #: Response bounds.
 FREE_MIN, FREE_MAX = 20, 300
 TIGHT_LOW, TIGHT_HIGH = 0.60, 0.90
+#: A Markdown table's rows.
 SEPARATOR_ROW = r"^\s*\|?\s*:?-{1,}:?\s*(\|\s*:?-{1,}:?\s*)+\|?\s*$"
 TABLE_ROW = r"^\s*\|.*\|\s*$"
 
@@ -68,7 +69,7 @@ def polite_form(t: Column, d: Column) -> Column:
 def keyword(t: Column, d: Column) -> Column:
     """All of include and none of exclude, normalised on both sides (V4)."""
     none = F.array().cast("array<string>")
-    ok = _keyword_udf()(t, F.coalesce(d["include"], none), F.coalesce(d["exclude"], none))
+    ok = T.python_function("keywords", _keyword_udf, t, F.coalesce(d["include"], none), F.coalesce(d["exclude"], none))
     return _needs((F.size(F.coalesce(d["include"], none)) == 0) & (F.size(F.coalesce(d["exclude"], none)) == 0), "keyword needs include or exclude", verdict(ok, "a keyword is missing or excluded"))
 
 
@@ -132,12 +133,12 @@ def _json_items_udf():
 
 def format_json(t: Column, d: Column) -> Column:
     """The first code fence, else the text, is JSON as Python reads it (V5)."""
-    return verdict(_json_udf()(t), "not JSON")
+    return verdict(T.python_function("json", _json_udf, t), "not JSON")
 
 
 def format_json_detail(t: Column, d: Column) -> Column:
     """JSON with a list of ``count`` objects that have all ``keys``."""
-    return verdict(_json_items_udf()(t, d["count"].cast("double"), d["keys"]), "not JSON, or its list lacks items or keys")
+    return verdict(T.python_function("json_items", _json_items_udf, t, d["count"].cast("double"), d["keys"]), "not JSON, or its list lacks items or keys")
 
 
 def format_markdown_table(t: Column, d: Column) -> Column:

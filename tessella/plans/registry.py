@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import permute
+from ..functions import permute, sql
 from ..functions import text as T
 from ..functions import verifiers as V
 from ..operators import chat, clean, order, prefs, prompts, quantiles, recipes, scoring, storage
@@ -249,6 +249,16 @@ def v8_v9_v10_shape(spark, sf):
     return t(spark, sf, "documents").select("doc_id", V.paragraph_count(F.concat(c, F.lit("\n\nend")), _detail(count=F.lit(2)))["ok"].alias("two"), V.start_word(c, _detail(start=F.lit("The")))["ok"].alias("the"), V.no_constraint(c, _detail())["ok"].alias("short"))
 
 
+@add("""SELECT doc_id, n_chars BETWEEN 500 AND 3000 AS length_ok, contains(text, 'the') AND NOT contains(text, 'License') AS keyword_ok, regexp_matches(trim(CAST(doc_id AS VARCHAR)), '^[0-9]+$') AS number_ok, starts_with(text, 'The') AS start_ok FROM documents""")
+def u1_v12_sql_verifiers(spark, sf):
+    """Verifiers called in SQL alone, from a view."""
+    sql.register(spark)
+    t(spark, sf, "documents").createOrReplaceTempView("verified_documents")
+    return spark.sql("""SELECT doc_id, verify_char_count(text, constraint_detail('{"min": 500, "max": 3000}')).ok AS length_ok,
+      verify_keyword(text, constraint_detail('{"include": ["the"], "exclude": ["License"]}')).ok AS keyword_ok,
+      verify_numeric_only(concat(' ', doc_id), constraint_detail('{}')).ok AS number_ok, verify_start_word(text, constraint_detail('{"start": "The"}')).ok AS start_ok FROM verified_documents""")
+
+
 # --- prompts, generations, verdicts, judgements: orders and lineitem -------------
 
 _PROMPTS_SQL = """prompts AS (SELECT 'p' || o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'char_count' WHEN 1 THEN 'polite_form' WHEN 2 THEN 'no_constraint' ELSE 'keyword' END AS category,
