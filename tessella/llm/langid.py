@@ -1,15 +1,17 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model of character n-grams per language, all kept in sorted arrays of n-gram
-hashes with interpolated log probabilities and back-off weights, looked up by
-binary search. A text gets the language of lowest cross-entropy per character, a
+One model of character n-grams per language, each in sorted arrays of its own of n-gram
+hashes, with interpolated log probabilities and back-off weights, looked up by
+binary search: the distinct n-grams of a batch of texts once a language, so memory and time grow with the
+languages' n-grams, never with languages times n-grams. A text gets the language of lowest cross-entropy per character, a
 score calibrated on held-back training texts, and a rejection flag where even the
 best model finds it more surprising than calibration texts allow.
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected. Case,
 digits, punctuation and white space don't matter beyond separating words. Equal
 cross-entropies go to the alphabetically first language. Without training rows
-every text is ``und``. Repeated rows and extra columns are carried as they are.
+every text is ``und``. Repeated rows and extra columns are carried as they are. Texts are read whole: a very
+long one takes about 60 bytes of memory for each character, however many languages there are.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import arrow_rows, tidied, tidy
+from .common import Scratch, arrow_rows, tidied, tidy
 
 ORDER = 4
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -90,55 +92,86 @@ def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return at
 
 
-class KneserNey:
-    """Interpolated Kneser-Ney models of all languages over one set of n-grams."""
+class Store:
+    """One language's model: for each order sorted n-gram hashes with log probabilities, and sorted contexts with log back-off weights."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, grams: np.ndarray, counts: np.ndarray):
-        """grams: (k, ORDER) code points, counted by language."""
-        self.langs, n_lang = langs, len(langs)
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, floor: float, rare: tuple[int, int] | None = None):
+        """``rare``: how many n-grams occur once and twice, where ``grams`` are only the most frequent ones."""
         self.keys, self.logp, self.ctx, self.backoff = {}, {}, {}, {}
-        self.sharp, self.limit, self.mean = 1.0, np.full(n_lang, np.inf), np.zeros(n_lang)
-        tables = {ORDER: (lang, grams, counts.astype(np.float64))}
+        tables = {ORDER: (grams.astype(np.uint64), counts.astype(np.float64))}
         for n in range(ORDER - 1, 0, -1):  # lower orders count the distinct characters before
-            l, g, _ = tables[n + 1]
-            row, c = np.unique(np.column_stack([l, g[:, 1:]]), axis=0, return_counts=True)
-            tables[n] = row[:, 0], row[:, 1:], c.astype(np.float64)
-        self.floor = -np.log(len(np.unique(grams[:, -1])) + 1.0) if len(grams) else 0.0
+            row, c = np.unique(tables[n + 1][0][:, 1:], axis=0, return_counts=True)
+            tables[n] = row, c.astype(np.float64)
         below = None
         for n in range(1, ORDER + 1):
-            l, g, c = tables[n]
-            g = np.ascontiguousarray(g.astype(np.uint64))
-            h = self._hash(g)
-            keys, idx = np.unique(h, return_index=True)
-            at = np.searchsorted(keys, h)
-            cnt = np.zeros((len(keys), n_lang))
-            cnt[at, l] = c
-            cx = self._hash(g[:, :-1]) if n > 1 else np.zeros(len(g), np.uint64)
-            ckeys = np.unique(cx)
-            total, types = np.zeros((len(ckeys), n_lang)), np.zeros((len(ckeys), n_lang))
-            cat = np.searchsorted(ckeys, cx)
-            np.add.at(total, (cat, l), c)
-            np.add.at(types, (cat, l), 1.0)
-            d = np.empty(n_lang)
-            for k in range(n_lang):
-                n1, n2 = (c[l == k] == 1).sum(), (c[l == k] == 2).sum()
-                d[k] = min(0.95, max(0.1, n1 / max(1.0, n1 + 2.0 * n2)))
-            seen = total > 0
-            lam = np.where(seen, d * types / np.maximum(total, 1.0), 1.0)
-            ku = g[idx]
-            cu = np.searchsorted(ckeys, self._hash(ku[:, :-1])) if n > 1 else np.zeros(len(ku), int)
-            lower = np.exp(self.floor) if below is None else below[1][np.searchsorted(below[0], self._hash(ku[:, 1:]))]
-            p = np.maximum(cnt - d, 0.0) / np.maximum(total[cu], 1.0) + lam[cu] * lower
+            g, c = tables[n]
+            h = _hash_rows(g)
+            order = np.argsort(h)
+            g, c, keys = g[order], c[order], h[order]
+            cx = _hash_rows(g[:, :-1]) if n > 1 else np.zeros(len(g), np.uint64)
+            ckeys, at = np.unique(cx, return_inverse=True)
+            total, types = np.bincount(at, c, len(ckeys)), np.bincount(at, minlength=len(ckeys))
+            n1, n2 = rare if rare is not None and n == ORDER else ((c == 1).sum(), (c == 2).sum())
+            d = min(0.95, max(0.1, n1 / max(1.0, n1 + 2.0 * n2)))
+            lam = d * types / total
+            lower = np.exp(floor) if below is None else below[1][np.searchsorted(below[0], _hash_rows(g[:, 1:]))]
+            p = np.maximum(c - d, 0.0) / total[at] + lam[at] * lower
             self.keys[n], self.logp[n] = keys, np.log(p).astype(np.float32)
             self.ctx[n], self.backoff[n] = ckeys, np.log(lam).astype(np.float32)
             below = keys, p
 
-    @staticmethod
-    def _hash(g: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(g), np.uint64)
-        for k in range(g.shape[1]):
-            h += g[:, g.shape[1] - 1 - k] * _A[k]
-        return h
+    def log_probs(self, batch: Distinct, floor: float) -> np.ndarray:
+        """Log probabilities of the batch's distinct n-grams of the highest order, from the lowest order up."""
+        below = np.full(1, floor, np.float32)
+        for n in range(1, ORDER + 1):
+            at = _find(self.keys[n], batch.hash[n])
+            out = np.empty(len(at), np.float32)
+            ok = at >= 0
+            out[ok] = self.logp[n][at[ok]]
+            miss = np.flatnonzero(~ok)
+            if len(miss):
+                c = _find(self.ctx[n], batch.context[n][miss])
+                weight = np.where(c >= 0, self.backoff[n][np.maximum(c, 0)], np.float32(0)) if len(self.ctx[n]) else np.zeros(len(miss), np.float32)
+                out[miss] = weight + below[batch.suffix[n][miss]]
+            below = out
+        return below
+
+
+class Distinct:
+    """The distinct n-grams of a batch of texts, of each order: hash, context's hash, and where their suffix stands one order lower."""
+
+    def __init__(self, cp: np.ndarray):
+        self.hash, self.context, self.suffix = {}, {}, {}
+        at = np.arange(ORDER - 1, len(cp))
+        which = {}
+        for n in range(ORDER, 0, -1):
+            self.hash[n], first, which[n] = np.unique(gram_hash(cp, at, n), return_index=True, return_inverse=True)
+            at = at[first]
+            self.context[n] = gram_hash(cp, at, n - 1, 1) if n > 1 else np.zeros(len(at), np.uint64)
+            if n < ORDER:
+                self.suffix[n + 1] = which[n]
+        self.suffix[1] = np.zeros(len(at), np.int64)
+        self.which = which[ORDER]  # of each position
+
+
+def _hash_rows(g: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(g), np.uint64)
+    for k in range(g.shape[1]):
+        h += g[:, g.shape[1] - 1 - k] * _A[k]
+    return h
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney models, one store a language."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, grams: np.ndarray, counts: np.ndarray, rare: dict[int, tuple[int, int]] | None = None):
+        """grams: (k, ORDER) code points, counted by language; ``rare`` as in Store, by language."""
+        self.langs, n_lang = langs, len(langs)
+        self.sharp, self.limit, self.mean = 1.0, np.full(n_lang, np.inf), np.zeros(n_lang)
+        self.floor = -np.log(len(np.unique(grams[:, -1])) + 1.0) if len(grams) else 0.0
+        order = np.argsort(lang, kind="stable")
+        cut = np.searchsorted(lang[order], np.arange(n_lang + 1))
+        self.stores = [Store(grams[order[a:b]], counts[order[a:b]], self.floor, (rare or {}).get(k)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
 
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """((texts, languages) nats a character, characters counted, letters) of each text."""
@@ -146,41 +179,17 @@ class KneserNey:
         n_lang, pad = len(self.langs), ORDER - 1
         if len(cp) < ORDER or not n_lang:
             return np.zeros((len(texts), n_lang)), np.zeros(len(texts)), letters
-        at = _find(self.keys[ORDER], gram_hash(cp, None, ORDER))
-        miss = np.flatnonzero(at < 0)
-        extra = self._unseen(cp, miss + pad) if len(miss) else None
-        inside = np.zeros(len(cp) - pad, bool)  # positions that are a text's own
+        batch = Distinct(cp)
         size = np.diff(start) - pad
-        inside[np.repeat(start[:-1], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = True
+        own = batch.which[np.repeat(start[:-1], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]  # of positions that are a text's own
         out = np.zeros((len(texts), n_lang))
         full = np.flatnonzero(size > 0)
-        for k in range(n_lang):
-            lp = self.logp[ORDER][at, k]
-            if extra is not None:
-                lp[miss] = extra[:, k]
-            own = lp[inside].astype(np.float64)
-            if len(full):
-                first = (np.cumsum(size) - size)[full]
-                out[full, k] = -np.add.reduceat(own, first) / size[full]
+        if len(full):
+            first = (np.cumsum(size) - size)[full]
+            for k, store in enumerate(self.stores):
+                out[full, k] = -np.add.reduceat(store.log_probs(batch, self.floor).astype(np.float64)[own], first) / size[full]
         return out, size, letters
 
-    def _unseen(self, cp: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log probabilities where no language has the whole n-gram: back off, order by order."""
-        out = np.zeros((len(at), len(self.langs)), np.float32)
-        todo = np.arange(len(at))
-        for n in range(ORDER, 1, -1):
-            c = _find(self.ctx[n], gram_hash(cp, at[todo], n - 1, 1))
-            ok = c >= 0
-            out[todo[ok]] += self.backoff[n][c[ok]]
-            k = _find(self.keys[n - 1], gram_hash(cp, at[todo], n - 1))
-            ok = k >= 0
-            out[todo[ok]] += self.logp[n - 1][k[ok]]
-            todo = todo[~ok]
-            if not len(todo):
-                return out
-        out[todo] += self.backoff[1][0] + np.float32(self.floor)
-        return out
-
     def calibrate(self, lang: np.ndarray, xent: np.ndarray, size: np.ndarray, slack: float = 1.5) -> None:
         """Fits the score's sharpness and each language's limit of surprise on held-back texts."""
         ok = size > 0
@@ -220,12 +229,13 @@ class KneserNey:
         return [("und" if u else self.langs[b]) for u, b in zip(und, best, strict=True)], np.where(und, 0.0, score), und | odd, np.where(und, 0.0, low)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", texts_per_language: int = 3000, grams_per_language: int = 200_000, max_languages: int = 200) -> KneserNey:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", texts_per_language: int = 3000, grams_per_language: int = 200_000, max_languages: int = 200, most_grams: int = 6_000_000) -> KneserNey:
     """Learns the models from whole texts of rows with a language.
 
     The classifier is fitted on a bounded sample: about ``texts_per_language`` texts of each of the
     ``max_languages`` most frequent languages, chosen by a hash of the text, and the
-    ``grams_per_language`` most frequent n-grams; a tenth of the texts is held back to calibrate.
+    ``grams_per_language`` most frequent n-grams, fewer where all languages together had more than ``most_grams`` (some 40 bytes
+    each on the driver and in a task); a tenth of the texts is held back to calibrate. Discounts are taken before n-grams are cut.
     """
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -261,14 +271,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", texts_per_lan
                         [pa.array([name] * len(n)), pa.array([whole[i : i + ORDER] for i in range(0, len(whole), ORDER)]), pa.array(n, pa.int64())], ["lang", "gram", "n"]
                     )
 
-    from pyspark.sql import Window
-
+    index = {x: i for i, x in enumerate(langs)}
+    scratch = Scratch(docs.sparkSession, "langid")
     grams = sample.filter(~held).mapInArrow(tidied(count), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams_per_language = min(grams_per_language, max(1, most_grams // len(langs)))
+    grams = scratch.save(grams, "grams")
     top = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= grams_per_language)
     got = top.select("lang", "gram", "n").toArrow()
+    rare = {index[r["lang"]]: (r["n1"], r["n2"]) for r in grams.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}  # a row a language
     cp = np.frombuffer("".join(got["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
-    index = {x: i for i, x in enumerate(langs)}
-    model = KneserNey(langs, np.array([index[x] for x in got["lang"].to_pylist()], int), cp, got["n"].to_numpy())
+    model = KneserNey(langs, np.array([index[x] for x in got["lang"].to_pylist()], int), cp, got["n"].to_numpy(), rare)
+    scratch.drop("grams")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
