@@ -116,3 +116,18 @@ def test_instructions_are_counted_from_what_was_written(spark):
     rows, counts = recipes.prepare_instructions(raw, "q", "a", F.col("lang") == "ja", 7)
     assert rows.count() == 7 and counts.first().asDict() == {"input_count": 40, "kept_count": 20, "skipped": 4, "output_count": 7}
     assert calls.value <= 40  # the source is read once
+
+
+def test_a_scope_deletes_its_tables(spark):
+    from pathlib import Path
+
+    from tessella.operators import storage
+
+    at = Path(storage.shared_folder(spark).removeprefix("file:"))
+    df = spark.createDataFrame([(1, 2.0), (1, 3.0)], "g int, v double")
+    kept = storage.cut(df)
+    before = set(at.glob("cut-*"))
+    with storage.scope(spark):
+        assert quantiles.medians(df, "v", ["g"]).first()["median"] == 2.5
+        assert set(at.glob("cut-*")) > before
+    assert set(at.glob("cut-*")) == before and kept.count() == 2
