@@ -21,6 +21,7 @@ Null, empty and zero vectors and vectors with null or non-finite components take
 part. Vectors of another length than the query's are no candidates of it. Equal
 scores go to the smaller id. Rows are told apart by themselves: a query bars its own row only, and rows that
 repeat a query's id are candidates of it; each row of a repeated query has ranks of its own.
+An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

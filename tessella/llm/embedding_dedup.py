@@ -16,6 +16,7 @@ contracted inside each, so what leaves a bucket grows with its rows, not its pai
 
 Null and zero vectors and vectors with null or non-finite components link with
 nothing. Vectors of different length never link. Repeated ids are rows of their own.
+An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ are then averaged.
 
 Null and empty texts are one end token. Words unseen in training have the base's
 smoothed share. Without training documents the base is uniform, and the network is
-its initial self. Repeated rows are scored each. Long texts are scored whole.
+its initial self. Repeated rows are scored each. Long texts are scored whole. An empty table gives an empty result.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -387,8 +388,15 @@ def learn_vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     return Vocabulary(h, c, u, n + ends, v + (ends > 0), ends, by)
 
 
-def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, rounds: int, replica_tokens: int, seed: int) -> GatedUnit:
-    """One pass over all documents in ``rounds`` parts: weights averaged over replicas, each trained on some of the round's documents."""
+#: Tasks of a round; more replicas than that are several a task, one after another.
+MOST_TASKS = 4096
+
+
+def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, rounds: int | None, replica_tokens: int, seed: int) -> GatedUnit:
+    """One pass over all documents in ``rounds`` parts: weights averaged over replicas, each trained on some of the round's documents.
+
+    Without ``rounds`` there are four, and one more whenever the corpus doubles beyond 256 replicas' tokens.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)  # at most TOP words
 
@@ -400,13 +408,15 @@ def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, rounds:
             seqs = [np.append(s[cut[i] : cut[i + 1]], 0).astype(np.int16) for i in range(t.num_rows)]
             yield pa.RecordBatch.from_arrays([t.column("part").combine_chunks(), pa.array([len(x) for x in seqs], pa.int64()), pa.array([x.tobytes() for x in seqs], pa.binary())], ["part", "n", "seq"])
 
-    dealt = docs.select(F.pmod(F.xxhash64("id", F.length("text"), F.lit(seed)), F.lit(rounds)).alias("part"), "text")
+    dealt = docs.select(F.xxhash64("id", F.length("text"), F.lit(seed)).alias("part"), "text")
     seqs = scratch.save(dealt.mapInArrow(tidied(encode), "part bigint, n bigint, seq binary"), "sequences")
     total = seqs.agg(F.sum("n").alias("n")).first()["n"] or 0
     model = GatedUnit(vocab.counts)
     if not total:
         return model
+    rounds = rounds or max(4, int(np.ceil(np.log2(max(1.0, total / replica_tokens)))) - 4)
     replicas = max(1, round(total / rounds / replica_tokens))
+    tasks = min(replicas, MOST_TASKS)
     for k in range(rounds):
         weights = spark.sparkContext.broadcast(model.flat())
         rate = 0.02 / (1 + k) ** 0.5
@@ -442,10 +452,10 @@ def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, rounds:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["n", "w"])
 
-        mine = seqs.filter(F.col("part") == k).select("seq")
-        got = (mine.repartition(replicas) if replicas > 1 else mine.coalesce(1)).mapInArrow(tidied(fit), "n bigint, w binary")
-        if replicas > 16:  # sums meet in a few tasks first
-            got = got.repartition(max(1, int(replicas**0.5))).mapInArrow(tidied(average), "n bigint, w binary")
+        mine = seqs.filter(F.pmod("part", F.lit(rounds)) == k).select("seq")
+        got = (mine.repartition(tasks) if tasks > 1 else mine.coalesce(1)).mapInArrow(tidied(fit), "n bigint, w binary")
+        if tasks > 16:  # sums meet in a few tasks first
+            got = got.repartition(max(1, int(tasks**0.5))).mapInArrow(tidied(average), "n bigint, w binary")
         n, w = 0, 0.0
         for r in got.toLocalIterator():
             n, w = n + r["n"], w + np.frombuffer(r["w"])
@@ -454,7 +464,7 @@ def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, rounds:
     return model
 
 
-def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "text", shards: int | None = None, rounds: int = 4, replica_tokens: int = 600_000, seed: int = 3) -> DataFrame:
+def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "text", shards: int | None = None, rounds: int | None = None, replica_tokens: int = 600_000, seed: int = 3) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each document; ``trains`` marks what to learn from."""
     spark = docs.sparkSession
     arrow_rows(spark)
