@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import batches as arrow
 from ..functions import text as T
 from ..functions import verifiers as V
 from . import order, storage
@@ -163,6 +163,7 @@ def sft_example(df: DataFrame, encode: Callable[[str], Sequence[int]] | None, ma
     """
     if (encode is None) == (spans is None):
         raise ValueError("either encode or spans")
+    arrow.small(df.sparkSession)
 
     @F.pandas_udf("input_ids array<int>, labels array<int>, attention_mask array<int>")
     def build(rows: pd.Series) -> pd.DataFrame:
@@ -172,17 +173,16 @@ def sft_example(df: DataFrame, encode: Callable[[str], Sequence[int]] | None, ma
             text, inside = markup(turns)
             if spans is not None:
                 ids, starts = spans(text)
-                ids = np.asarray(ids, np.int64)
-                labels = np.where(learned(np.asarray(starts, np.int64), inside), ids, IGNORED).tolist()
-                ids = ids.tolist()
+                ids = np.asarray(ids, np.int32)
+                labels = np.where(learned(np.asarray(starts, np.int64), inside), ids, np.int32(IGNORED))
             else:
-                ids = list(encode(text))
-                labels = [IGNORED] * len(ids)
+                ids = np.asarray(list(encode(text)), np.int32)
+                labels = np.full(len(ids), IGNORED, np.int32)
                 for x, y in inside:
                     a = min(len(encode(text[:x])), len(ids))
                     b = min(a + len(encode(text[x:y])), len(ids))
                     labels[a:b] = ids[a:b]
-            out.append((ids[:max_len], labels[:max_len], [1] * len(ids[:max_len])))
+            out.append((ids[:max_len], labels[:max_len], np.ones(len(ids[:max_len]), np.int32)))
         return pd.DataFrame(out, columns=["input_ids", "labels", "attention_mask"])
 
     return df.withColumn("__x", build(F.col(messages).cast(MESSAGES))).select(*df.columns, "__x.*")
@@ -194,13 +194,19 @@ LEARNED = ("【learned】", "【/learned】")
 
 def decode_for_inspection(df: DataFrame, decode: Callable[[Sequence[int]], str], name: str = "shown") -> DataFrame:
     """df with its input_ids as text, each run of learned tokens between marks (C8). ``decode`` is injected."""
+    arrow.small(df.sparkSession)
 
     @F.pandas_udf("string")
     def show(ids: pd.Series, labels: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(ids, labels, strict=True):
-            runs = groupby(zip(x if x is not None else (), y if y is not None else (), strict=True), lambda p: p[1] != IGNORED)
-            out.append("".join(t.join(LEARNED) if learned else t for learned, t in ((k, decode([int(i) for i, _ in run])) for k, run in runs)))
+            x, y = (np.asarray(v if v is not None else (), np.int64) for v in (x, y))
+            if len(x) != len(y):
+                raise ValueError(f"{len(x)} ids and {len(y)} labels")
+            on = y != IGNORED
+            edges = [0, *(np.flatnonzero(on[1:] != on[:-1]) + 1).tolist(), len(x)] if len(x) else []
+            runs = ((decode(x[a:b].tolist()), on[a]) for a, b in zip(edges, edges[1:]))
+            out.append("".join(t.join(LEARNED) if told else t for t, told in runs))
         return pd.Series(out, dtype=object)
 
     return df.withColumn(name, show("input_ids", "labels"))
@@ -243,6 +249,7 @@ def build_sequences(docs: DataFrame, encode: Callable[[str], Sequence[int]], seq
         raise ValueError("an end token is needed")
     if max_docs is not None and max_docs <= 0:
         raise ValueError("max_docs must be positive")
+    arrow.small(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
