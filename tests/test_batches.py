@@ -1,6 +1,5 @@
 """What Python gets at a time is bounded by bytes, whatever the rows are."""
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +45,12 @@ def test_runs_of_learned_tokens(spark):
     got = [r["shown"] for r in chat.decode_for_inspection(df, lambda x: "".join(map(chr, x))).orderBy("i").collect()]
     a, b = chat.LEARNED
     assert got == [f"a{a}b{b}c", f"{a}a{b}", "", "", "ab"]
+
+
+def test_chats_are_encoded_in_bounded_batches(plain):
+    messages = F.array(F.struct(F.lit("user").alias("role"), F.repeat(F.lit("q"), 3000).alias("content")), F.struct(F.lit("assistant").alias("role"), F.repeat(F.lit("a"), 3000).alias("content")))
+    df = long_rows(plain, messages=messages)
+    assert largest(df) > 10 * batches.MOST_BYTES
+    out = chat.sft_example(df, None, 1 << 30, spans=lambda s: ([ord(c) for c in s], range(len(s))))
+    assert largest(df) < 2 * batches.MOST_BYTES
+    assert out.filter(F.size(F.filter("labels", lambda x: x != chat.IGNORED)) == 3000).count() == 3000
