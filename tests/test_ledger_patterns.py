@@ -451,3 +451,21 @@ def test_signatures_estimate_similarity():
         off.append(float((s == t).mean()) - len(x & y) / len(x | y))
     assert abs(sum(off)) / len(off) < 0.01 and sum(map(abs, off)) / len(off) < 0.04
     assert clean.signature("", 128, 5, fill) is None
+
+
+def test_many_words_take_one_pass_over_the_texts(spark):
+    """Words of many sizes, far more than one automaton takes, are found and the texts are read once."""
+    words = some_words(3000, 5) + ["", None, "x" * 40]
+    texts = ["".join(random.Random(i).choice("abcあ😀x") for _ in range(60)) for i in range(60)] + ["x" * 50, None, ""]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(them):
+        for b in them:
+            read.add(b.num_rows)
+            yield b
+
+    t = spark.createDataFrame([(w,) for w in words], "topic string")
+    p = spark.createDataFrame([(x,) for x in texts], "prompt string").repartition(3).mapInArrow(count, "prompt string")
+    got = [r["topic"] for r in patterns.words_in(t, p, "topic", "prompt", 500).collect()]
+    assert sorted(got) == sorted({w for w in words if w and any(w in (x or "") for x in texts)})
+    assert read.value == len(texts)
