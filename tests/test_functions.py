@@ -105,3 +105,11 @@ def test_dispatch(spark):
     assert column(spark, ["x" * 30], lambda c: V.dispatch(F.lit("nobody"), c, detail()))[0]["ok"] is False
     assert column(spark, ["x" * 70], lambda c: V.select(F.lit("char_count"), c, detail(max=100), [100]))[0]["ok"] is False
     assert column(spark, ["x" * 70, "x" * 95], lambda c: V.select(F.lit("char_count"), c, detail(max=100), [80])) == [(True, ""), (False, "outside the band")]
+
+
+def test_ascii_texts_need_no_python_and_classes_are_counted_by_runs(spark):
+    values = ["a1 b", "日本 ab", "", "１２ｱ", None]
+    assert column(spark, values, T.is_ascii) == [True, False, True, False, None]
+    assert column(spark, values, lambda c: T.count_in(c, T.LATIN)) == [2, 2, 0, 0, None]
+    assert column(spark, values, lambda c: T.count_in(c, T.JAPANESE)) == [0, 2, 0, 0, None]
+    assert column(spark, values, T.nfkc) == ["a1 b", "日本 ab", "", "12ア", None]
