@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ..functions import batches as arrow
 from ..functions import text as T
 from . import order, storage
 
@@ -41,6 +42,7 @@ def contamination(docs: DataFrame, evals: DataFrame, n: int = 13, key: str = "id
     A text without grams has overlap 0. Rows of one key, or of none, are rows of their own.
     """
     spark = docs.sparkSession
+    arrow.small(spark)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,6 +112,7 @@ def minhash(c: Column | str, perms: int = 128, ngram: int = 5, seed: int = 1) ->
     in an order of its own, so that the share of equal places still estimates the Jaccard similarity: over 60 to 400
     grams and 128 places, on average within 0.04.
     """
+    arrow.small()
     fill = np.argsort(np.random.default_rng(seed).random((perms, perms)), axis=1)
 
     @F.pandas_udf("array<int>")
@@ -236,14 +239,12 @@ def clean_corpus(docs: DataFrame, evals: DataFrame | None = None, corpus: str =
     left = d.filter("stage is null")
     buckets, copies = lsh_buckets(left, own, pos, "text", perms, minhash_threshold, ngram)
     first = left.select(own, F.col(pos).alias("p")).join(copies, [own, "p"], "left_anti")
-    kept = keep_first_in_buckets(first, buckets, own).filter("not kept").select(own, "p").unionByName(copies)
-    d = d.join(kept.select(own, F.col("p").alias(pos), F.lit(True).alias("dup")), [own, pos], "left")
-    d = d.withColumn("stage", F.when(F.col("stage").isNull() & F.col("dup").isNotNull(), "dedup").otherwise(F.col("stage"))).drop("dup")
-    if evals is not None:
-        d = storage.cut(d)
-        rows = d.filter("stage is null").select(F.struct(own, pos).alias("key"), "text")
-        hit = contamination(rows, evals, eval_ngram, "key").filter(F.col("overlap") >= eval_threshold).select("key.*", F.lit(True).alias("hit"))
-        d = d.join(hit, [own, pos], "left").withColumn("stage", F.when(F.col("hit").isNotNull(), "contamination").otherwise(F.col("stage"))).drop("hit")
+    gone = keep_first_in_buckets(first, buckets, own).filter("not kept").select(own, "p").unionByName(copies)
+    late = gone.select(own, F.col("p").alias(pos), F.lit("dedup").alias("late"))
+    if evals is not None:  # keys and stages move, not texts: a duplicate is compared too, and stays a duplicate
+        hit = contamination(left.select(F.struct(own, pos).alias("key"), "text"), evals, eval_ngram, "key").filter(F.col("overlap") >= eval_threshold)
+        late = late.unionByName(hit.select("key.*", F.lit("contamination").alias("late"))).groupBy(own, pos).agg(F.max("late").alias("late"))  # "dedup" is the greater
+    d = d.join(storage.cut(late), [own, pos], "left").withColumn("stage", F.coalesce("stage", "late")).drop("late")
     return d.select(*docs.columns, *(c for c in ("language", "stage") if c not in docs.columns))
 
 
