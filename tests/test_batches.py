@@ -54,3 +54,16 @@ def test_chats_are_encoded_in_bounded_batches(plain):
     out = chat.sft_example(df, None, 1 << 30, spans=lambda s: ([ord(c) for c in s], range(len(s))))
     assert largest(df) < 2 * batches.MOST_BYTES
     assert out.filter(F.size(F.filter("labels", lambda x: x != chat.IGNORED)) == 3000).count() == 3000
+
+
+def test_verification_has_one_worker_a_task(spark):
+    """Checks in Python stand in one node of the plan, as each node has a worker of its own."""
+    from tessella.operators import prefs
+    from tessella.plans import registry
+
+    p = spark.createDataFrame([("p", "keyword")], "id string, category string").withColumn("constraint_detail", registry._detail(include=F.array(F.lit("a")), min=F.lit(1)))
+    g = spark.createDataFrame([("p", 0, "a" * 30), ("p", 1, "a" * 30), ("p", 2, None), ("p", 3, "日本a")], "prompt_id string, k int, response string")
+    v = prefs.verify(g, p)
+    assert v._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2
+    got = {r["k"]: (r["rule_pass"], r["degenerate_reason"]) for r in v.collect()}
+    assert got == {0: (True, "repetition"), 1: (True, "repetition"), 2: (False, "empty"), 3: (True, "too_short")}
