@@ -125,82 +125,110 @@ class GatedUnit:
             at += n
 
     def states(self, x: np.ndarray, h: np.ndarray, table: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """The state after each step's symbols x: (steps, rows); h: (rows, hidden) before them."""
-        wh, n = self.p["wh"], self.hidden
-        out = np.empty((len(x), len(h), n), np.float32)
-        for t in range(len(x)):
-            g = table[x[t]]
-            a = h @ wh
-            zr = _sigmoid(g[:, : 2 * n] + a[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(g[:, 2 * n :] + r * a[:, 2 * n :])
-            if keep is not None:
-                keep.append((h, z, r, c, a[:, 2 * n :]))
-            h = c + z * (h - c)
-            out[t] = h
+        """The state after each step's symbols x: (steps, rows); h: (rows, hidden) before them. ``keep`` gets (z and r, c, c's part from the state) of all steps."""
+        n, rows, steps = self.hidden, len(h), len(x)
+        own = [np.ascontiguousarray(table[:, k : k + n]) for k in (0, n, 2 * n)]  # of z, r and c: whole arrays are faster than slices
+        wh = np.ascontiguousarray(self.p["wh"].reshape(n, 3, n).transpose(1, 0, 2))
+        out = np.empty((steps, rows, n), np.float32)
+        held = steps if keep is not None else 1
+        zr, cs, acs = np.empty((held, 2, rows, n), np.float32), np.empty((held, rows, n), np.float32), np.empty((held, rows, n), np.float32)
+        az = np.empty((2, rows, n), np.float32)
+        for t in range(steps):
+            i = t if keep is not None else 0
+            (z, r), c, ac = zr[i], cs[i], acs[i]
+            for k, into in enumerate((z, r, c)):
+                np.take(own[k], x[t], axis=0, out=into, mode="clip")  # the default mode copies ``out``
+            np.matmul(h, wh[:2], out=az)
+            np.matmul(h, wh[2], out=ac)
+            zr[i] += az
+            _sigmoid(zr[i])
+            c += np.multiply(r, ac, out=az[0])
+            np.tanh(c, out=c)
+            now = np.subtract(h, c, out=out[t])
+            now *= z
+            now += c
+            h = now
+        if keep is not None:
+            keep.extend((zr, cs, acs))
         return out
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> np.ndarray:
-        """Natural log probability of symbol y after state h; with ``grad``, its sum's gradient too."""
+        """Natural log probability of symbol y after state h; with ``grad``, its sum's gradient too.
+
+        Rows are put in order of their classes once, so a class is a slice; logits stand with rows last, where sums over a class's symbols are fast.
+        """
         p, at = self.p, self.place[y]
-        cls = at // CLASS_SIZE
-        lc = h @ p["wc"]
-        lc += p["bc"]
-        lc -= lc.max(axis=1, keepdims=True)
-        rows = np.arange(len(y))
-        own = lc[rows, cls].copy()
+        order = np.argsort((at // CLASS_SIZE).astype(np.uint8), kind="stable")
+        h, at = h[order], at[order]
+        cut = np.searchsorted(at // CLASS_SIZE, np.arange(self.classes + 1))
+        lc = p["wc"].T @ h.T
+        lc += p["bc"][:, None]
+        lc -= lc.max(axis=0)
+        out = np.empty(len(y), np.float32)
+        full = [(k, a, b) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if a < b]
+        for k, a, b in full:
+            out[a:b] = lc[k, a:b]
         np.exp(lc, out=lc)
-        total = lc.sum(axis=1)
-        out = own - np.log(total)
+        total = lc.sum(axis=0)
         if grad is not None:
-            lc /= -total[:, None]
-            lc[rows, cls] += 1
-            grad["wc"], grad["bc"] = h.T @ lc, lc.sum(axis=0)
-            gh = lc @ p["wc"].T
+            lc /= -total
+            for k, a, b in full:
+                lc[k, a:b] += 1
+            grad["wc"], grad["bc"] = h.T @ lc.T, lc.sum(axis=1)
+            gh = lc.T @ p["wc"].T
             grad["wo"], grad["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            i = order[cut[k] : cut[k + 1]]
-            if len(i):
-                hk, w = h[i], at[i] - k * CLASS_SIZE
-                lo = hk @ p["wo"][k]
-                lo += p["bo"][k]
-                lo -= lo.max(axis=1, keepdims=True)
-                j = np.arange(len(i))
-                own = lo[j, w].copy()
-                np.exp(lo, out=lo)
-                total = lo.sum(axis=1)
-                out[i] += own - np.log(total)
-                if grad is not None:
-                    lo /= -total[:, None]
-                    lo[j, w] += 1
-                    grad["wo"][k], grad["bo"][k] = hk.T @ lo, lo.sum(axis=0)
-                    gh[i] += lo @ p["wo"][k].T
+        at %= CLASS_SIZE
+        for k, a, b in full:
+            hk, w, j = h[a:b], at[a:b], np.arange(b - a)
+            lo = p["wo"][k].T @ hk.T
+            lo += p["bo"][k][:, None]
+            lo -= lo.max(axis=0)
+            out[a:b] += lo[w, j]
+            np.exp(lo, out=lo)
+            own = lo.sum(axis=0)
+            total[a:b] *= own
+            if grad is not None:
+                lo /= -own
+                lo[w, j] += 1
+                grad["wo"][k], grad["bo"][k] = hk.T @ lo.T, lo.sum(axis=1)
+                gh[a:b] += lo.T @ p["wo"][k].T
+        out -= np.log(total)
+        back = np.empty(len(y), np.float32)
+        back[order] = out
         if grad is not None:
-            grad["h"] = gh
-        return out
+            grad["h"] = np.empty_like(gh)
+            grad["h"][order] = gh
+        return back
 
     def table(self) -> np.ndarray:
         return self.p["e"] @ self.p["wx"] + self.p["b"]
 
-    def score(self, ids: np.ndarray, offs: np.ndarray, window: int = 32) -> np.ndarray:
-        """Natural log probability of each sequence; the state goes on from window to window."""
-        n, size = self.hidden, np.diff(offs)
+    def score(self, ids: np.ndarray, offs: np.ndarray, window: int = 32, rows: int = 512) -> np.ndarray:
+        """Natural log probability of each sequence; the state goes on from window to window. Sequences of like length are taken ``rows`` at a time."""
+        size = np.diff(offs)
         out = np.zeros(len(size))
         order = np.argsort(-size, kind="stable")
-        first, size = offs[:-1][order], size[order]
         table = self.table()
-        h = np.zeros((len(size), n), np.float32)
-        longest, at = (int(size[0]) if len(size) else 0), 0
+        for i in range(0, len(order), rows):
+            block = order[i : i + rows]
+            out[block] = self._score(ids, offs[:-1][block], size[block], window, table)
+        return out
+
+    def _score(self, ids: np.ndarray, first: np.ndarray, size: np.ndarray, window: int, table: np.ndarray) -> np.ndarray:
+        """``score`` of the sequences that begin at ``first``, by falling size."""
+        out, h = np.zeros(len(size)), np.zeros((len(size), self.hidden), np.float32)
+        longest, at = int(size[0]), 0
         while at < longest:
             live = int(np.searchsorted(-size, -at, side="left"))  # sequences longer than ``at``
             steps = min(window, longest - at)
             if live < 64:
                 steps = min(longest - at, 2048)
             pos = at + np.arange(steps)[:, None]
-            inside = pos < size[None, :live]
-            src = np.where(inside, first[None, :live] + pos, 0)
+            src = first[None, :live] + pos
+            whole = size[live - 1] >= at + steps
+            if not whole:
+                inside = pos < size[None, :live]
+                src[~inside] = 0
             y = ids[src]
             x = np.zeros_like(y)
             x[1:] = y[:-1]
@@ -209,10 +237,12 @@ class GatedUnit:
             # the symbol before the first is the end of a text: 0
             states = self.states(x, h[:live], table)
             h[:live] = states[-1]
-            lp = self.log_probs(states[inside], y[inside])
-            out_w = np.zeros(inside.shape)
-            out_w[inside] = lp
-            out[order[:live]] += out_w.sum(axis=0)
+            if whole:
+                out[:live] += self.log_probs(states.reshape(-1, self.hidden), y.ravel()).reshape(steps, live).sum(axis=0, dtype=np.float64)
+            else:
+                out_w = np.zeros(inside.shape)
+                out_w[inside] = self.log_probs(states[inside], y[inside])
+                out[:live] += out_w.sum(axis=0)
             at += steps
         return out
 
@@ -237,27 +267,34 @@ class GatedUnit:
             g: dict = {}
             self.log_probs(states.reshape(-1, n), yt.ravel(), g)
             gh, dh = g.pop("h").reshape(states.shape), np.zeros_like(h)
-            da = np.empty((len(xt), rows, 3 * n), np.float32)
-            g["wh"] = np.zeros_like(self.p["wh"])
-            for t in range(len(xt) - 1, -1, -1):  # back through the window only
-                before, z, r, c, ac = keep[t]
-                dh = dh + gh[t]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (before - c) * z * (1 - z)
-                dr = dc * ac * r * (1 - r)
-                da[t, :, :n], da[t, :, n : 2 * n], da[t, :, 2 * n :] = dz, dr, dc
-                dw = np.concatenate([dz, dr, dc * r], axis=1)
-                g["wh"] += before.T @ dw
-                dh = dh * z + dw @ self.p["wh"].T
-            flat = da.reshape(-1, 3 * n)
-            g["b"] = flat.sum(axis=0)
-            dx = flat @ self.p["wx"].T
-            g["wx"] = self.p["e"][xt.ravel()].T @ flat
+            back, d = np.ascontiguousarray(self.p["wh"].reshape(n, 3, n).transpose(1, 2, 0)), np.empty((4, len(xt), rows, n), np.float32)
+            u, v = np.empty_like(h), np.empty_like(h)
+            for t in range(len(xt) - 1, -1, -1):  # back through the window only; a step's arrays stay in the cache
+                (z, r), c, ac = (x[t] for x in keep)
+                dz, dr, dcr, dc = d[:, t]
+                dh += gh[t]
+                np.multiply(np.subtract(1, z, out=u), dh, out=u)
+                np.multiply(np.subtract(1, np.multiply(c, c, out=v), out=v), u, out=dc)
+                np.multiply(np.subtract(states[t - 1] if t else h, c, out=dz), z, out=dz)
+                dz *= u
+                np.multiply(dc, r, out=dcr)
+                np.multiply(np.multiply(np.subtract(1, r, out=v), ac, out=v), dcr, out=dr)
+                dh *= z
+                for k in range(3):
+                    dh += np.matmul(d[k, t], back[k], out=v)
+            d = d.reshape(4, -1, n)
+            before = np.concatenate([h[None], states[:-1]]).reshape(-1, n)
+            g["wh"] = np.concatenate([before.T @ x for x in d[:3]], axis=1)
+            flat = d[0], d[1], d[3]
+            g["b"] = np.concatenate([x.sum(axis=0) for x in flat])
+            wx, given = self.p["wx"], self.p["e"][xt.ravel()].T
+            dx = sum(x @ wx[:, k * n : (k + 1) * n].T for k, x in enumerate(flat))
+            g["wx"] = np.concatenate([given @ x for x in flat], axis=1)
             g["e"] = np.zeros_like(self.p["e"])
-            by = np.argsort(xt, axis=None, kind="stable")
-            used = xt.ravel()[by]
+            sort = np.argsort(xt, axis=None, kind="stable")
+            used = xt.ravel()[sort]
             start = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
-            g["e"][used[start]] = np.add.reduceat(dx[by], start, axis=0)
+            g["e"][used[start]] = np.add.reduceat(dx[sort], start, axis=0)
             h = states[-1]
             updates += 1
             scale = 1.0 / yt.size
