@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,34 +64,40 @@ class Vocabulary:
         symbol = np.full(len(h), -1, np.int16)
         symbol[short] = np.arange(len(short)) + 1
         self.symbol = symbol[by_hash]
+        self.lead = _U(64 - max(1, len(h).bit_length()))
+        self.start = np.searchsorted(self.h, np.arange(1 << (64 - int(self.lead)), dtype=np.uint64) << self.lead).astype(np.int32)  # where each leading bits' words begin
         self.counts = np.full(SYMBOLS, 0.5)
         self.counts[0] += ends
         self.counts[1 : 1 + len(short)] += c[short]
         self.counts[WORDS + 1 :] += np.maximum(rest[:, 0], 0)
         self.log_total = np.log10(n + 0.1 * (v + 1))
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """``searchsorted`` of hashes: hashes are even, so few words share their leading bits."""
+        words = np.append(self.h, _U(2**64 - 1))
+        at = self.start.take((h >> self.lead).view(np.int64)).astype(np.int64)
+        left = np.flatnonzero(words.take(at) < h)
+        while len(left):
+            at[left] += 1
+            left = left[words.take(at[left]) < h[left]]
+        return at
+
     def symbols(self, raw, offs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(symbol, count or -1 if not among the frequent words, hash, bucket, row) of each word."""
         h, start, end, row = word_hashes(raw, offs)
         u = buckets_of(raw, start, end) if len(h) else np.zeros(0, np.uint8)
-        at = np.searchsorted(self.h, h)
-        if len(self.h):
-            at[at == len(self.h)] = 0
-            known = self.h[at] == h
-        else:
-            known = np.zeros(len(h), bool)
-        c = np.full(len(h), -1, np.int64)
-        c[known] = self.c[at[known]]
-        s = np.full(len(h), -1, np.int16)
-        s[known] = self.symbol[at[known]]
+        if not len(self.h):
+            return WORDS + 1 + u.astype(np.int16), np.full(len(h), -1, np.int64), h, u, row
+        at = self.find(h)
+        at[at == len(self.h)] = 0
+        new = self.h.take(at) != h
+        c, s = self.c.take(at), self.symbol.take(at)
+        c[new] = s[new] = -1
         return np.where(s >= 0, s, WORDS + 1 + u.astype(np.int16)), c, h, u, row
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+#: Logits of class and symbol that together stay within this need no shift before ``exp``: the product of their sums is a float32.
+SAFE_LOGIT = 80.0
 
 
 class GatedUnit:
@@ -124,24 +130,28 @@ class GatedUnit:
             self.p[k] = flat[at : at + n].reshape(self.p[k].shape).astype(np.float32)
             at += n
 
-    def states(self, x: np.ndarray, h: np.ndarray, table: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """The state after each step's symbols x: (steps, rows); h: (rows, hidden) before them. ``keep`` gets (z and r, c, c's part from the state) of all steps."""
+    def states(self, x: np.ndarray, h: np.ndarray, table: list[np.ndarray], keep: list | None = None) -> np.ndarray:
+        """The state after each step's rows x of ``table``: (steps, rows); h: (rows, hidden) before them. ``keep`` gets (z and r, c, c's part from the state) of all steps."""
         n, rows, steps = self.hidden, len(h), len(x)
-        own = [np.ascontiguousarray(table[:, k : k + n]) for k in (0, n, 2 * n)]  # of z, r and c: whole arrays are faster than slices
+        x = x.astype(np.intp)
         wh = np.ascontiguousarray(self.p["wh"].reshape(n, 3, n).transpose(1, 0, 2))
+        np.negative(wh[:2], out=wh[:2])  # as in ``table``: 1 / (1 + exp(-a))
         out = np.empty((steps, rows, n), np.float32)
         held = steps if keep is not None else 1
         zr, cs, acs = np.empty((held, 2, rows, n), np.float32), np.empty((held, rows, n), np.float32), np.empty((held, rows, n), np.float32)
         az = np.empty((2, rows, n), np.float32)
         for t in range(steps):
             i = t if keep is not None else 0
-            (z, r), c, ac = zr[i], cs[i], acs[i]
-            for k, into in enumerate((z, r, c)):
-                np.take(own[k], x[t], axis=0, out=into, mode="clip")  # the default mode copies ``out``
+            both, c, ac = zr[i], cs[i], acs[i]
+            z, r = both
+            for own, into in zip(table, (z, r, c), strict=True):
+                np.take(own, x[t], axis=0, out=into, mode="clip")  # the default mode copies ``out``
             np.matmul(h, wh[:2], out=az)
             np.matmul(h, wh[2], out=ac)
-            zr[i] += az
-            _sigmoid(zr[i])
+            both += az
+            np.exp(both, out=both)
+            both += 1
+            np.reciprocal(both, out=both)
             c += np.multiply(r, ac, out=az[0])
             np.tanh(c, out=c)
             now = np.subtract(h, c, out=out[t])
@@ -157,51 +167,62 @@ class GatedUnit:
 
         Rows are put in order of their classes once, so a class is a slice; logits stand with rows last, where sums over a class's symbols are fast.
         """
-        p, at = self.p, self.place[y]
-        order = np.argsort((at // CLASS_SIZE).astype(np.uint8), kind="stable")
-        h, at = h[order], at[order]
-        cut = np.searchsorted(at // CLASS_SIZE, np.arange(self.classes + 1))
+        p, at, n = self.p, self.place[y], len(y)
+        cls, at = at // CLASS_SIZE, at % CLASS_SIZE
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
+        h, cls, at = h.take(order, axis=0), cls[order], at[order]
+        cut = np.searchsorted(cls, np.arange(self.classes + 1))
+        full = [(k, a, b) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if a < b]
+        at = at * np.diff(cut)[cls] + np.arange(n) - cut[cls]  # in the class's logits
+        most = max(float(h.max()), -float(h.min())) if n else 0.0
         lc = p["wc"].T @ h.T
         lc += p["bc"][:, None]
-        lc -= lc.max(axis=0)
-        out = np.empty(len(y), np.float32)
-        full = [(k, a, b) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if a < b]
+        reach = (most * np.abs(p["wc"]).sum(axis=0) + np.abs(p["bc"])).max()
+        if reach > SAFE_LOGIT / 2:
+            lc -= lc.max(axis=0)
+            reach = 0.0
+        shift = (most * np.abs(p["wo"]).sum(axis=1) + np.abs(p["bo"])).max(axis=1) > SAFE_LOGIT - reach
+        out = np.empty(n, np.float32)
         for k, a, b in full:
             out[a:b] = lc[k, a:b]
         np.exp(lc, out=lc)
         total = lc.sum(axis=0)
         if grad is not None:
-            lc /= -total
+            lc *= np.divide(-1, total)
             for k, a, b in full:
                 lc[k, a:b] += 1
             grad["wc"], grad["bc"] = h.T @ lc.T, lc.sum(axis=1)
             gh = lc.T @ p["wc"].T
             grad["wo"], grad["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-        at %= CLASS_SIZE
         for k, a, b in full:
-            hk, w, j = h[a:b], at[a:b], np.arange(b - a)
-            lo = p["wo"][k].T @ hk.T
+            hk, w, j = h[a:b], p["wo"][k], at[a:b]
+            lo = w.T @ hk.T
             lo += p["bo"][k][:, None]
-            lo -= lo.max(axis=0)
-            out[a:b] += lo[w, j]
+            if shift[k]:
+                lo -= lo.max(axis=0)
+            every = lo.reshape(-1)
+            out[a:b] += every.take(j)
             np.exp(lo, out=lo)
             own = lo.sum(axis=0)
             total[a:b] *= own
             if grad is not None:
-                lo /= -own
-                lo[w, j] += 1
-                grad["wo"][k], grad["bo"][k] = hk.T @ lo.T, lo.sum(axis=1)
-                gh[a:b] += lo.T @ p["wo"][k].T
+                lo *= np.divide(-1, own, out=own)
+                every[j] += 1
+                np.matmul(hk.T, lo.T, out=grad["wo"][k])
+                lo.sum(axis=1, out=grad["bo"][k])
+                gh[a:b] += lo.T @ w.T
         out -= np.log(total)
-        back = np.empty(len(y), np.float32)
+        back = np.empty(n, np.float32)
         back[order] = out
         if grad is not None:
             grad["h"] = np.empty_like(gh)
             grad["h"][order] = gh
         return back
 
-    def table(self) -> np.ndarray:
-        return self.p["e"] @ self.p["wx"] + self.p["b"]
+    def table(self, symbols: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+        """What symbols give to -z, -r and c, as ``states`` takes it."""
+        e, n, p = self.p["e"][symbols], self.hidden, self.p
+        return [sign * (e @ p["wx"][:, k : k + n] + p["b"][k : k + n]) for k, sign in ((0, np.float32(-1)), (n, np.float32(-1)), (2 * n, np.float32(1)))]
 
     def score(self, ids: np.ndarray, offs: np.ndarray, window: int = 32, rows: int = 512) -> np.ndarray:
         """Natural log probability of each sequence; the state goes on from window to window. Sequences of like length are taken ``rows`` at a time."""
@@ -214,7 +235,7 @@ class GatedUnit:
             out[block] = self._score(ids, offs[:-1][block], size[block], window, table)
         return out
 
-    def _score(self, ids: np.ndarray, first: np.ndarray, size: np.ndarray, window: int, table: np.ndarray) -> np.ndarray:
+    def _score(self, ids: np.ndarray, first: np.ndarray, size: np.ndarray, window: int, table: list[np.ndarray]) -> np.ndarray:
         """``score`` of the sequences that begin at ``first``, by falling size."""
         out, h = np.zeros(len(size)), np.zeros((len(size), self.hidden), np.float32)
         longest, at = int(size[0]), 0
@@ -257,13 +278,19 @@ class GatedUnit:
         n, h = self.hidden, np.zeros((rows, self.hidden), np.float32)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        row = np.zeros(SYMBOLS, np.intp)
         done, updates = 0, 0
         for at in range(0, steps, window):
             yt = y[at : at + window]
             xt = np.concatenate([y[at - 1][None] if at else np.zeros((1, rows), y.dtype), yt[:-1]])
+            sort = np.argsort(xt, axis=None, kind="stable")
+            used = xt.ravel()[sort]
+            start = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
+            used = used[start]
+            row[used] = np.arange(len(used))
+            xt = row[xt]  # among the window's symbols
             keep: list = []
-            table = self.table()
-            states = self.states(xt, h, table, keep)
+            states = self.states(xt, h, self.table(used), keep)
             g: dict = {}
             self.log_probs(states.reshape(-1, n), yt.ravel(), g)
             gh, dh = g.pop("h").reshape(states.shape), np.zeros_like(h)
@@ -286,26 +313,33 @@ class GatedUnit:
             before = np.concatenate([h[None], states[:-1]]).reshape(-1, n)
             g["wh"] = np.concatenate([before.T @ x for x in d[:3]], axis=1)
             flat = d[0], d[1], d[3]
-            g["b"] = np.concatenate([x.sum(axis=0) for x in flat])
-            wx, given = self.p["wx"], self.p["e"][xt.ravel()].T
+            ones = np.ones(yt.size, np.float32)
+            g["b"] = np.concatenate([ones @ x for x in flat])
+            wx, given = self.p["wx"], self.p["e"][used].take(xt.ravel(), axis=0).T
             dx = sum(x @ wx[:, k * n : (k + 1) * n].T for k, x in enumerate(flat))
             g["wx"] = np.concatenate([given @ x for x in flat], axis=1)
             g["e"] = np.zeros_like(self.p["e"])
-            sort = np.argsort(xt, axis=None, kind="stable")
-            used = xt.ravel()[sort]
-            start = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
-            g["e"][used[start]] = np.add.reduceat(dx[sort], start, axis=0)
+            g["e"][used] = np.add.reduceat(dx.take(sort, axis=0), start, axis=0)
             h = states[-1]
             updates += 1
             scale = 1.0 / yt.size
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) * scale
+            norm = np.sqrt(sum(float(v.ravel() @ v.ravel()) for v in g.values())) * scale
             scale *= min(1.0, clip / (norm + 1e-9))
             step = rate * np.sqrt(1 - 0.999**updates) / (1 - 0.9**updates) * min(1.0, updates / 10)
             for k, v in g.items():
                 v *= np.float32(scale)
-                first[k] += np.float32(0.1) * (v - first[k])
-                second[k] += np.float32(0.001) * (v * v - second[k])
-                self.p[k] += np.float32(step) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
+                u = v - first[k]
+                u *= np.float32(0.1)
+                first[k] += u
+                np.multiply(v, v, out=v)
+                v -= second[k]
+                v *= np.float32(0.001)
+                second[k] += v
+                np.sqrt(second[k], out=v)
+                v += np.float32(1e-8)
+                np.divide(first[k], v, out=v)
+                v *= np.float32(step)
+                self.p[k] += v
             done += yt.size
         return done
 
@@ -323,6 +357,16 @@ def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def _blobs(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A binary for each row: its ``size`` next values."""
+    offs = np.concatenate([[0], np.cumsum(size)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _shard_rows(shards: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by shard, cuts): shards are ranges of the hash."""
     s = (h >> _U(64 - (shards - 1).bit_length())).astype(np.uint16)
@@ -352,9 +396,12 @@ def count_tokens(docs: DataFrame, scratch: Scratch, shards: int, held_tokens: in
             h, u = np.concatenate(hs), np.concatenate(us)
             hs.clear()
             us.clear()
-            key, at, n = np.unique(h, return_index=True, return_counts=True)
+            at = np.argsort(h)  # faster than a stable sort; any of a word's places tells its bucket
+            h = h[at]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            key, u, n = h[first], u[at[first]], np.diff(np.append(first, len(h)))
             order, cut = _shard_rows(shards, key)
-            rows = [(s, _pack(key[i], n[i].astype(np.int64), u[at[i]])) for s in range(shards) if len(i := order[cut[s] : cut[s + 1]])]
+            rows = [(s, _pack(key[i], n[i].astype(np.int64), u[i])) for s in range(shards) if len(i := order[cut[s] : cut[s + 1]])]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
 
         for t in chunks(batches, "text", TEXT_BYTES):
@@ -429,24 +476,44 @@ def learn_vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
 MOST_TASKS = 4096
 
 
-def train_network(docs: DataFrame, vocab: Vocabulary, scratch: Scratch, rounds: int | None, replica_tokens: int, seed: int) -> GatedUnit:
-    """One pass over all documents in ``rounds`` parts: weights averaged over replicas, each trained on some of the round's documents.
+def encode(docs: DataFrame, vocab: Broadcast, seed: int, first: int = 0) -> DataFrame:
+    """(row, id, part, n, known, base, below, seq, far) of each document: its number from ``first`` on, its part's hash, tokens, frequent tokens, their base, the symbols' share below buckets, the symbols, and the hashes of its rare words.
 
-    Without ``rounds`` there are four, and one more whenever the corpus doubles beyond 256 replicas' tokens.
+    What later steps need of a text, which is split here and nowhere else after counting.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocab)  # at most TOP words
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocab.value
+        row0 = first + ((TaskContext.get().partitionId() if TaskContext.get() else 0) << 32)
         for t in chunks(batches, "text", TEXT_BYTES):
             raw, offs = binary_values(t.column("text"))
-            s, _, _, _, row = shared.value.symbols(raw, offs)
-            cut = np.searchsorted(row, np.arange(t.num_rows + 1))
-            seqs = [np.append(s[cut[i] : cut[i + 1]], 0).astype(np.int16) for i in range(t.num_rows)]
-            yield pa.RecordBatch.from_arrays([t.column("part").combine_chunks(), pa.array([len(x) for x in seqs], pa.int64()), pa.array([x.tobytes() for x in seqs], pa.binary())], ["part", "n", "seq"])
+            s, c, h, u, row = v.symbols(raw, offs)
+            n = t.num_rows
+            words = np.bincount(row, minlength=n)
+            seq = np.zeros(len(s) + n, np.int16)
+            seq[np.arange(len(s)) + row] = s
+            # below a bucket: the word's smoothed share of it; a rare word's count comes from its shard
+            far = c < 0
+            log_c = np.where(far, 0.0, np.log10(np.maximum(c, 0) + 0.1))
+            below = np.bincount(row, np.where(s > WORDS, log_c - v.log_z[u], 0.0), minlength=n)
+            known = np.bincount(row, ~far, minlength=n) + (v.ends > 0)
+            base = np.bincount(row, log_c, minlength=n) + np.log10(v.ends + 0.1) - (words + 1) * v.log_total
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row0 + np.arange(n)), _whole(t.column("id")), _whole(t.column("part")), pa.array(words + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(below), _blobs(seq, words + 1), _blobs(h[far], np.bincount(row[far], minlength=n))],
+                ["row", "id", "part", "n", "known", "base", "below", "seq", "far"],
+            )
+            row0 += n
+
+    dealt = docs.select("id", F.xxhash64("id", F.length("text"), F.lit(seed)).alias("part"), "text")
+    return dealt.mapInArrow(tidied(run), f"row bigint, id {docs.schema['id'].dataType.simpleString()}, part bigint, n bigint, known bigint, base double, below double, seq binary, far binary")
+
+
+def train_network(seqs: DataFrame, vocab: Vocabulary, shared: Broadcast, rounds: int | None, replica_tokens: int) -> GatedUnit:
+    """One pass over all documents, as ``encode`` gives them, in ``rounds`` parts: weights averaged over replicas, each trained on some of the round's documents.
 
-    dealt = docs.select(F.xxhash64("id", F.length("text"), F.lit(seed)).alias("part"), "text")
-    seqs = scratch.save(dealt.mapInArrow(tidied(encode), "part bigint, n bigint, seq binary"), "sequences")
+    Without ``rounds`` there are four, and one more whenever the corpus doubles beyond 256 replicas' tokens.
+    """
+    spark = seqs.sparkSession
     total = seqs.agg(F.sum("n").alias("n")).first()["n"] or 0
     model = GatedUnit(vocab.counts)
     if not total:
@@ -512,62 +579,43 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "
     shards = shards or 1 << max(4, min(16, (ends >> 14).bit_length()))  # a shard's words stay as many as the corpus grows
     counts = count_tokens(learn, scratch, shards)
     vocab = learn_vocabulary(counts, ends)
-    model = train_network(learn, vocab, scratch, rounds, replica_tokens, seed)
-    shared = spark.sparkContext.broadcast((vocab, model))
-    kind = src.schema["id"].dataType.simpleString()
+    words = spark.sparkContext.broadcast(vocab)  # at most TOP words
+    seqs, others = scratch.save(encode(learn, words, seed), "sequences"), scratch.save(encode(src.filter("not trains"), words, seed, 1 << 62), "others")
+    model = train_network(seqs, vocab, words, rounds, replica_tokens)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = shared.value
-        part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        ids, seqs, facts, size, row0 = [], [], [], 0, 0
-        ln10 = np.log(10.0)
+        m = shared.value
 
         def docs_out():
-            nonlocal row0
-            lens = np.concatenate([f[0] for f in facts])
-            lp = m.score(np.concatenate(seqs), np.concatenate([[0], np.cumsum(lens)])) / ln10
-            known, base, below = (np.concatenate([f[i] for f in facts]) for i in (1, 2, 3))
-            n = len(lens)
-            r = pa.RecordBatch.from_arrays(
-                [pa.array(part + row0 + np.arange(n)), pa.concat_arrays(ids), pa.array(lens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(lp + below), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                ["row", "id", "n", "known", "base", "score", "shard", "blob"],
-            )
-            row0 += n
-            return r
-
-        for t in chunks(batches, "text", TEXT_BYTES):
-            raw, offs = binary_values(t.column("text"))
-            s, c, h, u, row = v.symbols(raw, offs)
-            n = t.num_rows
-            words = np.bincount(row, minlength=n)
-            seq = np.zeros(len(s) + n, np.int16)
-            seq[np.arange(len(s)) + row] = s
-            # below a bucket: the word's smoothed share of it; a rare word's count comes from its shard
-            far = c < 0
-            log_c = np.log10(np.maximum(c, 0) + 0.1)
-            share_ = np.where(s > WORDS, np.where(far, 0.0, log_c) - v.log_z[u], 0.0)
-            known = np.bincount(row, ~far, minlength=n) + (v.ends > 0)
-            base = np.bincount(row, np.where(far, 0.0, log_c), minlength=n) + np.log10(v.ends + 0.1) - (words + 1) * v.log_total
-            local = row0 + sum(len(f[0]) for f in facts)
-            facts.append((words + 1, known, base, np.bincount(row, share_, minlength=n)))
-            seqs.append(seq)
-            ids.append(t.column("id").combine_chunks() if t.column("id").num_chunks != 1 else t.column("id").chunk(0))
-            size += len(seq)
-            if far.any():
-                hf, rf = h[far], (local + row[far]).astype(np.uint32)
-                order, cut = _shard_rows(shards, hf)
-                rows = [(k, _pack(hf[i], rf[i])) for k in range(shards) if len(i := order[cut[k] : cut[k + 1]])]
-                z = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * z, pa.int64()), pa.nulls(z, t.schema.field("id").type), *(pa.nulls(z, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
-                    ["row", "id", "n", "known", "base", "score", "shard", "blob"],
-                )
+            t = pa.concat_tables(held)
+            n, base, below = (t.column(k).to_numpy() for k in ("n", "base", "below"))
+            lp = m.score(np.concatenate(symbols), np.concatenate([[0], np.cumsum(n)])) / np.log(10.0)
+            return pa.RecordBatch.from_arrays([*(_whole(t.column(k)) for k in ("row", "id", "n", "known", "base")), pa.array(lp + below)], ["row", "id", "n", "known", "base", "score"])
+
+        held, symbols, size = [], [], 0
+        for t in chunks(batches, "seq", TEXT_BYTES):
+            symbols.append(binary_values(t.column("seq"))[0].view(np.int16))
+            held.append(t.drop_columns(["seq"]))
+            size += len(symbols[-1])
             if size > 6_000_000:
                 yield docs_out()
-                ids, seqs, facts, size = [], [], [], 0
-        if facts:
+                held, symbols, size = [], [], 0
+        if held:
             yield docs_out()
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rare words of many rows by shard; rows as a common part and the rest."""
+        for t in chunks(batches, "far", TEXT_BYTES):
+            h, offs = binary_values(t.column("far"))
+            h, row = h.view(np.uint64), np.repeat(t.column("row").to_numpy(), np.diff(offs) // 8)
+            for part in np.unique(row >> 32):
+                mine = row >> 32 == part
+                hf, rf = h[mine], (row[mine] & 0xFFFFFFFF).astype(np.uint32)
+                order, cut = _shard_rows(shards, hf)
+                rows = [(k, _pack(hf[i], rf[i])) for k in range(shards) if len(i := order[cut[k] : cut[k + 1]])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([int(part) << 32] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "part", "blob"])
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, h, c = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
@@ -589,13 +637,14 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "
                 rows = np.flatnonzero(seen)
                 yield pa.RecordBatch.from_arrays([pa.array(part + first + rows), pa.array(np.bincount(of, np.log10(n + 0.1))[rows]), pa.array(np.bincount(of, ok)[rows].astype(np.int64))], ["row", "far", "far_known"])
 
-    out = scratch.save(src.select("id", "text").mapInArrow(tidied(run), f"row bigint, id {kind}, n bigint, known bigint, base double, score double, shard int, blob binary"), "scored")
-    asked = out.filter("shard is not null").select("shard", F.lit(1).alias("kind"), F.col("row").alias("part"), "blob")
+    every = seqs.unionByName(others)
+    out = scratch.save(every.select("row", "id", "n", "known", "base", "below", "seq").mapInArrow(tidied(run), f"row bigint, id {src.schema['id'].dataType.simpleString()}, n bigint, known bigint, base double, score double"), "scored")
+    asked = every.select("row", "far").mapInArrow(tidied(ask), "shard int, part bigint, blob binary").select("shard", F.lit(1).alias("kind"), "part", "blob")
     told = counts.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("part"), "blob")
     far = told.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(tidied(look_up), "row bigint, far double, far_known bigint")
     far = far.groupBy("row").agg(F.sum("far").alias("far"), F.sum("far_known").alias("far_known"))
     zero = F.coalesce(F.col("far"), F.lit(0.0))
     return (
-        out.filter("shard is null").join(far, "row", "left")
+        out.join(far, "row", "left")
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("far_known", F.lit(0))).alias("n_known"), F.lit(vocab.n).cast("bigint").alias("train_tokens"), (F.col("base") + zero).alias("base_score"), (F.col("score") + zero).alias("score"))
     )
