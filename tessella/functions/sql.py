@@ -31,7 +31,7 @@ def text_of(c: Column) -> str:
 
 def register(spark: SparkSession) -> list[str]:
     """Makes the functions known to a session; their names."""
-    for name, make in (("nfkc", T._nfkc), ("keywords", V._keyword_udf), ("json", V._json_udf), ("json_items", V._json_items_udf)):
+    for name, make in (("nfkc", T._nfkc), ("nfkc_each", T._nfkc_each), ("keywords", V._keyword_udf), ("json", V._json_udf), ("json_items", V._json_items_udf)):
         spark.udf.register(f"tessella_{name}", make())
     kind = detail_type()
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION constraint_detail(json STRING) RETURNS {kind} RETURN from_json(json, '{V.DETAIL}')")

@@ -60,6 +60,8 @@ JUDGE_PROMPT = (
 
 #: Whether functions in Python stand in a column by the name they have in SQL (functions.sql) in place of themselves.
 BY_NAME: ContextVar[bool] = ContextVar("BY_NAME", default=False)
+#: Whether what comes to ``nfkc`` is in that form already (verifiers.dispatch).
+NORMAL: ContextVar[bool] = ContextVar("NORMAL", default=False)
 
 
 def python_function(name: str, make: Callable[[], Callable[..., Column]], *args: Column) -> Column:
@@ -83,9 +85,27 @@ def _nfkc():
 def nfkc(c: Column | str) -> Column:
     """Unicode NFKC (N1). Arrow batches; ASCII texts stay where they are."""
     t = as_column(c)
+    if NORMAL.get():
+        return t
     return F.when(is_ascii(t), t).otherwise(python_function("nfkc", _nfkc, F.when(~is_ascii(t), t)))
 
 
+@cache
+def _nfkc_each():
+    norm = lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t)
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[norm(t) for t in ts] for ts in texts], dtype=object)
+
+    return run
+
+
+def nfkc_each(c: Column) -> Column:
+    """NFKC of each text of an array, in one call for all of them; an array is never null."""
+    return python_function("nfkc_each", _nfkc_each, c)
+
+
 def is_ascii(c: Column | str) -> Column:
     """Whether each character takes one byte; null for null."""
     return F.octet_length(as_column(c)) == F.length(as_column(c))

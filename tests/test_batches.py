@@ -67,3 +67,40 @@ def test_verification_has_one_worker_a_task(spark):
     assert v._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2
     got = {r["k"]: (r["rule_pass"], r["degenerate_reason"]) for r in v.collect()}
     assert got == {0: (True, "repetition"), 1: (True, "repetition"), 2: (False, "empty"), 3: (True, "too_short")}
+
+
+def test_lists_that_python_gets_are_not_null(spark):
+    """A null list in a batch bounded by bytes makes Spark fill in all rows since the last list, at each row."""
+    from tessella.functions import verifiers as V
+    from tessella.plans import registry
+
+    rows = spark.range(0, 4).select(F.lit("char_count").alias("c"), F.lit("a" * 30).alias("t"), registry._detail(max=F.lit(9)).alias("d"))
+    d, seen = F.col("d"), []
+    plans = [V.dispatch(F.col("c"), F.col("t"), d), V.keyword(F.col("t"), registry._detail(include=F.array(F.lit("a")))), V.format_json_detail(F.col("t"), d)]
+    for plan in plans:
+        node = rows.select(plan.alias("v"))._jdf.queryExecution().optimizedPlan()
+        while "ArrowEvalPython" not in node.nodeName():
+            node = node.children().head()
+        for i in range(node.udfs().size()):
+            args = node.udfs().apply(i).children()
+            for k in range(args.size()):
+                if args.apply(k).dataType().typeName() == "array":
+                    seen.append(args.apply(k).nullable())
+    assert seen and not any(seen)
+
+
+def test_normalised_once_as_each_check_does(spark):
+    from tessella.functions import verifiers as V
+    from tessella.plans import registry
+
+    texts = ["ＡＢＣ です。", "カﾞメラ", "abc", "", None, "・一\n・二", "ﾃﾞｽ"]
+    words = [None, ["ABC"], ["Ａ"], ["ガ", "x"]]
+    rows = [(c, t, i, e) for c in V.NORMALISED for t in texts for i in words[1:] for e in words[:2]]
+    df = spark.createDataFrame(rows, "c string, t string, i array<string>, e array<string>")
+    d = registry._detail(include=F.col("i"), exclude=F.col("e"), max=F.lit(5), style=F.lit("polite"))
+    alone = F.lit(None)
+    for name in V.NORMALISED:
+        alone = F.when(F.col("c") == name, V.CATEGORIES[name](F.col("t"), d)).otherwise(alone)
+    got = df.select("c", "t", "i", "e", V.dispatch(F.col("c"), F.col("t"), d).alias("a"), alone.alias("b")).collect()
+    assert [r for r in got if r["a"] != r["b"]] == []
+    assert {r["a"]["ok"] for r in got if r["c"] == "keyword"} == {True, False}
