@@ -113,3 +113,14 @@ def test_ascii_texts_need_no_python_and_classes_are_counted_by_runs(spark):
     assert column(spark, values, lambda c: T.count_in(c, T.LATIN)) == [2, 2, 0, 0, None]
     assert column(spark, values, lambda c: T.count_in(c, T.JAPANESE)) == [0, 2, 0, 0, None]
     assert column(spark, values, T.nfkc) == ["a1 b", "日本 ab", "", "12ア", None]
+
+
+def test_scripts_are_counted_once_over_bytes(spark):
+    """One call gives both counts, whatever the language's rule asks for, and they are those of the character classes."""
+    edges = "".join(map(chr, (0x303F, 0x3040, 0x309F, 0x30A0, 0x30FF, 0x3100, 0x4DFF, 0x4E00, 0x4FFF, 0x5000, 0x9FFF, 0xA000, 0x1F600, 0xE9, 0x40, 0x5B, 0x60, 0x7B)))
+    values = [edges, edges * 3 + "AZaz", "日本のかなabc", "", None, "abc DEF", "é한국어𠀋", "日" * 700_000]
+    counts = [None if v is None else (sum(0x3040 <= ord(x) <= 0x30FF or 0x4E00 <= ord(x) <= 0x9FFF for x in v), sum(x.isascii() and x.isalpha() for x in v)) for v in values]
+    assert [None if r is None else tuple(r) for r in column(spark, values, T.script_counts)] == counts
+    assert column(spark, values, T.detect_language) == ["ja", "ja", "ja", "other", "other", "en", "other", "ja"]
+    plan = spark.range(1).select(T.detect_language(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
